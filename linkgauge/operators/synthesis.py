@@ -1,0 +1,82 @@
+"""Reproducible synthetic flows and traffic matrices, drawn from row ids by hashing."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from linkgauge.functions.rules import recommend_bandwidth_synthetic
+from linkgauge.operators.ordering import HASH_SPACE
+
+# Value ranges and choices of a synthetic flow.
+UNIFORM_RANGES = {
+    "latency_ms": (5, 250), "jitter_ms": (0, 80), "packet_loss_percent": (0, 8),
+    "bandwidth_utilization_percent": (10, 100), "actual_throughput_mbps": (1, 500), "flow_duration_sec": (1, 3600),
+}
+APPLICATIONS = ["voice", "video", "web", "file_transfer", "database"]
+PROTOCOLS = ["TCP", "UDP"]
+LINKS = ["MPLS", "Broadband", "LTE"]
+
+# Traffic matrix choices.
+LOAD_RANGE = (2000, 10000)
+TIME_DISTRIBUTIONS = ["0", "1", "2,10,5"]
+PACKET_DISTRIBUTIONS = ["0,300,0.5,1700,0.5", "0,500,0.4,1000,0.3,1400,0.3"]
+SKEWED_TOS = [0.10, 0.30, 0.60]
+EQUAL_TOS = [0.333, 0.333, 0.334]
+
+
+def draw(seed: int, block: int, piece: int, *identity: str) -> Column:
+    """A number in [0, 1) from 32 bits of a hash of the row's identity; four pieces per block."""
+    text = F.concat_ws("|", F.lit(f"{seed}:{block}"), *[F.col(c).cast("string") for c in identity])
+    return F.conv(F.substring(F.md5(text), 8 * piece + 1, 8), 16, 10).cast("double") / HASH_SPACE
+
+
+def _choice(unit: Column, values: list) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), F.floor(unit * len(values)).cast("int"))
+
+
+def synthetic_flows(ids: DataFrame, id_column: str = "id", seed: int = 42) -> DataFrame:
+    """One synthetic flow with its bandwidth target per id."""
+    numbers = {
+        name: F.lit(float(low)) + draw(seed, i // 4, i % 4, id_column) * (high - low)
+        for i, (name, (low, high)) in enumerate(UNIFORM_RANGES.items())
+    }
+    flows = ids.select(
+        id_column,
+        *[value.alias(name) for name, value in numbers.items()],
+        (F.floor(draw(seed, 1, 2, id_column) * 99990) + 10).alias("packet_count"),
+        _choice(draw(seed, 1, 3, id_column), PROTOCOLS).alias("protocol"),
+        _choice(draw(seed, 2, 0, id_column), APPLICATIONS).alias("application_type"),
+        _choice(draw(seed, 2, 1, id_column), LINKS).alias("link_type"),
+        F.floor(draw(seed, 2, 2, id_column) * 24).cast("int").alias("time_of_day"),
+    )
+    target = recommend_bandwidth_synthetic(
+        F.col("application_type"), F.col("latency_ms"), F.col("jitter_ms"), F.col("packet_loss_percent"),
+        F.col("bandwidth_utilization_percent"),
+    )
+    return flows.withColumn("recommended_bandwidth_percent", target)
+
+
+def generate_flows(spark, n: int = 50000, seed: int = 42) -> DataFrame:
+    return synthetic_flows(spark.range(n), "id", seed)
+
+
+def traffic_matrix(pairs: DataFrame, tos_weights: list[float] | None = None, seed: int = 42) -> DataFrame:
+    """Load, time and packet distribution and ToS for each (graph, src, dst) of a route table."""
+    weights = tos_weights or SKEWED_TOS
+    identity = ("graph", "src", "dst")
+    low, high = LOAD_RANGE
+    unit, tos, upto = draw(seed, 0, 3, *identity), F.lit(len(weights) - 1), 0.0
+    bounds = []
+    for code, weight in enumerate(weights[:-1]):
+        upto += weight
+        bounds.append((code, upto))
+    for code, bound in reversed(bounds):
+        tos = F.when(unit < bound, F.lit(code)).otherwise(tos)
+    return pairs.select(
+        *identity,
+        (F.floor(draw(seed, 0, 0, *identity) * (high - low + 1)) + low).alias("avg_bw"),
+        _choice(draw(seed, 0, 1, *identity), TIME_DISTRIBUTIONS).alias("time_dist"),
+        _choice(draw(seed, 0, 2, *identity), PACKET_DISTRIBUTIONS).alias("pkt_dist"),
+        tos.alias("tos"),
+    )
