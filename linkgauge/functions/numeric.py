@@ -22,6 +22,11 @@ def number(col: Column) -> Column:
     return col.try_cast("double")
 
 
+def number_in_text(col: Column) -> Column:
+    """As ``number`` for text. Words are ruled out by their first letter, because a failed parse is slow."""
+    return F.when(col.rlike(r"^\s*[-+]?[0-9.iInN]"), col.try_cast("double"))
+
+
 def is_infinite(col: Column) -> Column:
     return F.abs(col) == F.lit(INFINITY)
 

@@ -17,10 +17,14 @@ def line_head(line: Column) -> Column:
     return F.get(F.split(F.trim(line), r"\|", 2), F.lit(0))
 
 
+def line_body(line: Column) -> Column:
+    """What stands after the first '|'."""
+    return F.get(F.split(F.trim(line), r"\|", 2), F.lit(1))
+
+
 def line_records(line: Column) -> Column:
     """Non-empty ';' records after the first '|'."""
-    body = F.get(F.split(F.trim(line), r"\|", 2), F.lit(1))
-    return F.filter(F.transform(F.split(body, ";"), F.trim), lambda record: record != "")
+    return F.filter(F.split(line_body(line), r"\s*;\s*"), lambda record: F.trim(record) != "")
 
 
 def numbers(record: Column) -> Column:
@@ -48,33 +52,52 @@ def traffic_record(record: Column) -> Column:
 
 
 def result_records(line: Column) -> Column:
-    return F.transform(line_records(line), result_record)
+    return F.transform(line_records(line), lambda record: result_record(record))
 
 
 def traffic_records(line: Column) -> Column:
-    return F.transform(line_records(line), traffic_record)
+    return F.transform(line_records(line), lambda record: traffic_record(record))
+
+
+def measured_result(record: Column) -> Column:
+    """Whether a result record is complete and its delay not negative."""
+    values = F.split(record, ",")
+    delay = F.get(values, F.lit(RESULT_FIELDS.index("avg_delay"))).try_cast("double")
+    return (F.size(values) >= len(RESULT_FIELDS)) & ~(delay < 0)
+
+
+def moving_traffic(record: Column) -> Column:
+    """Whether a traffic record belongs to a path between two different nodes."""
+    return ~(F.substring_index(record, ",", 1).try_cast("double") < 0)
+
+
+def _all_numbers(text: Column) -> Column:
+    """Every token between ',' and ';' is a number; only whole records may be empty."""
+    gap = text.rlike(r",\s*(,|;|$)") | text.rlike(r"(^|;)\s*,")
+    broken = F.exists(
+        F.split(text, "[,;]"), lambda v: (F.trim(v) != "") & F.trim(v).try_cast("double").isNull()
+    )
+    return ~gap & ~broken
 
 
 def readable_result_line(line: Column) -> Column:
     """False when any number of the line cannot be read; such a simulation is left out."""
-    head = numbers(line_head(line))
-    return (
-        (F.size(head) >= 3)
-        & ~F.exists(F.slice(head, 1, 3), lambda v: v.isNull())
-        & ~F.exists(line_records(line), lambda r: F.exists(numbers(r), lambda v: v.isNull()))
-    )
+    head = F.split(line_head(line), ",")
+    first = F.array_join(F.slice(head, 1, 3), ",")
+    return (F.size(head) >= 3) & _all_numbers(first) & _all_numbers(line_body(line))
 
 
 def readable_traffic_line(line: Column) -> Column:
     """False when the head or a first, second or last number of a flow cannot be read."""
 
     def broken(record: Column) -> Column:
-        values = numbers(record)
-        first = F.get(values, F.lit(0))
-        rest = (F.size(values) < 2) | F.get(values, F.lit(1)).isNull() | F.element_at(values, -1).isNull()
-        return first.isNull() | (~(first < 0) & rest)
+        values = F.split(record, ",")
+        number = lambda i: F.trim(F.element_at(values, i)).try_cast("double")
+        first = number(1)
+        short = (F.size(values) < 2) | F.when(F.size(values) >= 2, number(2)).isNull() | number(-1).isNull()
+        return first.isNull() | (~(first < 0) & short)
 
-    return numbers(line_head(line)).getItem(0).isNotNull() & ~F.exists(line_records(line), broken)
+    return line_head(line).try_cast("double").isNotNull() & ~F.exists(line_records(line), broken)
 
 
 def path_nodes(text: Column) -> Column:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from linkgauge.functions.numeric import log_target, loss_rate
 from linkgauge.functions.parsing import (
-    class_weight, line_head, numbers, path_hops, readable_result_line, readable_traffic_line,
-    result_records, traffic_records, weight_list,
+    RESULT_FIELDS, class_weight, line_head, line_records, measured_result, moving_traffic, numbers, path_hops,
+    readable_result_line, readable_traffic_line, weight_list,
 )
 from linkgauge.functions.rules import scenario_of, tos_to_class
 from linkgauge.sources.archives import routing_name
@@ -21,16 +21,11 @@ def pair_records(lines: DataFrame) -> DataFrame:
 
     Both lists sit in the same row, so this positional join moves no data.
     """
-    traffic, results = traffic_records(F.col("traffic_line")), result_records(F.col("sim_line"))
-    listed = lines.withColumns({"_t": traffic, "_r": results})
+    listed = lines.withColumns({"_t": line_records(F.col("traffic_line")), "_r": line_records(F.col("sim_line"))})
     length = F.least(F.size("_t"), F.size("_r"))
-    indexes = F.when(length > 0, F.sequence(F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = F.transform(
-        indexes,
-        lambda i: F.struct(
-            i.alias("position"), F.get("_t", i).alias("traffic"), F.get("_r", i).alias("result")
-        ),
-    )
+    zipped = F.arrays_zip(F.slice("_t", 1, length).alias("traffic"), F.slice("_r", 1, length).alias("result"))
+    pairs = F.transform(zipped, lambda pair, i: F.struct(
+        i.alias("position"), pair["traffic"].alias("traffic"), pair["result"].alias("result")))
     return listed.withColumn("pairs", pairs).drop("_t", "_r")
 
 
@@ -39,21 +34,46 @@ def surviving_flows(lines: DataFrame, strict: bool = False) -> DataFrame:
 
     By default flows are renumbered after dropping unmeasured ones, so an unmeasured flow shifts
     the routes of all later ones. ``strict`` numbers by pair position instead: only self paths,
-    which have no route line, are left out before numbering.
+    which have no route line, are left out before numbering. Numbering happens inside the line's
+    own array; the numbers of a record are only parsed for flows that remain.
     """
     paired = pair_records(lines)
-    measured = lambda p: p["traffic"].isNotNull() & p["result"].isNotNull()
+    rest = [c for c in paired.columns if c != "pairs"]
     if strict:
-        numbered = F.filter("pairs", lambda p: p["traffic"].isNotNull())
+        numbered = F.filter("pairs", lambda p: moving_traffic(p["traffic"]))
     else:
-        numbered = F.filter("pairs", measured)
-    rest = [c for c in paired.columns if c != "pairs"]
+        numbered = F.filter("pairs", lambda p: moving_traffic(p["traffic"]) & measured_result(p["result"]))
     flows = paired.select(*rest, F.posexplode(numbered).alias("route_no", "pair"))
-    return flows.filter(measured(F.col("pair"))).select(
-        *rest, "route_no", F.col("pair.position").alias("position"), "pair.traffic", "pair.result"
+    if strict:
+        flows = flows.filter(measured_result(F.col("pair.result")))
+    texts = flows.select(
+        *rest, "route_no", "pair.position",
+        F.split("pair.traffic", ",").alias("_t"), F.split("pair.result", ",").alias("_r"),
+    )
+    number = lambda name, i: F.trim(F.get(name, F.lit(i))).try_cast("double")
+    return texts.select(
+        *rest, "route_no", "position",
+        number("_t", 0).try_cast("int").alias("time_distribution"),
+        number("_t", 1).alias("offered_bandwidth"),
+        F.trim(F.element_at("_t", -1)).try_cast("double").try_cast("int").alias("tos"),
+        *[number("_r", i).alias(name) for i, name in enumerate(RESULT_FIELDS)],
     )
 
 
+def route_facts(pairs: DataFrame, routes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Hops and topology facts per (graph, routing, route_no, slot).
+
+    ``pairs`` are the distinct (graph, routing) of a manifest. A slot is a ToS code, cut at the
+    longest weight list: from there on every code gets the same equal share.
+    """
+    longest = nodes.agg(F.coalesce(F.max(F.size(weight_list(F.col("policy"), F.col("weights")))), F.lit(0)))
+    used = pairs.join(routes, "routing").select("*", F.explode(F.sequence(F.lit(0), longest.scalar())).alias("tos"))
+    keys = ["graph", "routing", "route_no", "tos"]
+    topology = path_topology(used, nodes, keys)
+    return used.select(*keys, path_hops(F.col("nodes")).alias("hops")).join(topology, keys, "left").withColumnRenamed(
+        "tos", "slot")
+
+
 def path_topology(paths: DataFrame, nodes: DataFrame, id_columns: list[str]) -> DataFrame:
     """Dominant policy (ties: smallest name), mean and smallest class weight over a path's nodes.
 
@@ -77,7 +97,7 @@ def flow_rows(lines: DataFrame, nodes: DataFrame, routes: DataFrame, strict: boo
     """The delay table: one row per measured flow.
 
     ``lines`` has archive, line_no, sim_line, traffic_line and manifest_line. Path facts are
-    computed once per distinct (graph, route, ToS), not once per flow.
+    computed once per (graph, route, ToS slot), not once per flow.
     """
     parts = F.split(F.trim("manifest_line"), ";")
     manifest = lines.withColumns({
@@ -89,20 +109,15 @@ def flow_rows(lines: DataFrame, nodes: DataFrame, routes: DataFrame, strict: boo
         F.col("sim_num").isNotNull() & F.col("routing").isNotNull()
         & readable_result_line(F.col("sim_line")) & readable_traffic_line(F.col("traffic_line"))
     ).withColumn("max_avg_lambda", numbers(line_head(F.col("traffic_line"))).getItem(0))
-    flows = surviving_flows(readable, strict).select(
-        F.concat("archive", F.lit("_"), F.col("sim_num")).alias("simulation_id"),
-        "graph", "routing", "route_no", "max_avg_lambda", "traffic.*", "result.*",
-    )
-    path_keys = ["graph", "routing", "route_no", "tos"]
-    used = flows.select(*path_keys).distinct().join(routes, ["routing", "route_no"])
-    topology = path_topology(used, nodes, path_keys)
-    hops = routes.select("routing", "route_no", path_hops(F.col("nodes")).alias("hops"))
+    flows = surviving_flows(readable, strict)
+    longest = nodes.agg(F.coalesce(F.max(F.size(weight_list(F.col("policy"), F.col("weights")))), F.lit(0)))
+    flows = flows.withColumns({
+        "simulation_id": F.concat("archive", F.lit("_"), F.col("sim_num")),
+        "slot": F.least(F.col("tos"), longest.scalar()),
+    })
+    facts = route_facts(readable.select("graph", "routing").distinct(), routes, nodes)
     sizes = nodes.groupBy("graph").agg(F.count("*").cast("int").alias("graph_nodes"))
-    joined = (
-        flows.join(hops, ["routing", "route_no"], "left")
-        .join(topology, path_keys, "left")
-        .join(sizes, "graph", "left")
-    )
+    joined = flows.join(facts, ["graph", "routing", "route_no", "slot"], "left").join(sizes, "graph", "left")
     return joined.select(
         "simulation_id",
         scenario_of(F.col("graph")).alias("scenario"),

@@ -58,22 +58,28 @@ def delay_by_config(packets: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def inter_arrival(packets: DataFrame, keys: list[str], slice_seconds: float = 3600.0, time: str = "epoch") -> DataFrame:
+def inter_arrival(
+    packets: DataFrame, keys: list[str], slice_seconds: float = 3600.0, time: str = "epoch",
+    last: DataFrame | None = None,
+) -> DataFrame:
     """Gap to the previous packet of the same key in seconds; 0 for the first packet.
 
     Time is cut into slices and a window only sorts one (key, slice). The last time of the
-    slice before comes from a small table with one row per (key, slice).
+    slice before comes from a small table with one row per (key, slice). ``last`` (keys, last)
+    continues from packets seen earlier.
     """
     sliced = packets.withColumn("_slice", F.floor(F.col(time) / F.lit(float(slice_seconds))))
     by_time = Window.partitionBy(*keys).orderBy("_slice")
     ends = sliced.groupBy(*keys, "_slice").agg(F.max(time).alias("_end")).select(
         *keys, "_slice", F.lag("_end").over(by_time).alias("_before")
     )
+    if last is not None:
+        ends = ends.join(last, keys, "left").withColumn("_before", F.coalesce("_before", "last")).drop("last")
     inside = Window.partitionBy(*keys, "_slice").orderBy(time)
     previous = F.coalesce(F.lag(time).over(inside), F.col("_before"))
     return (
         sliced.join(ends, [*keys, "_slice"])
-        .withColumn("iat", F.coalesce(F.col(time) - previous, F.lit(0.0)))
+        .withColumn("iat", F.greatest(F.lit(0.0), F.coalesce(F.col(time) - previous, F.lit(0.0))))
         .drop("_slice", "_before")
     )
 

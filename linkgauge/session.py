@@ -12,6 +12,8 @@ from pyspark.sql import SparkSession
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+    # HotSpot never compiles methods above 8000 bytes of byte code; wide aggregates would be interpreted
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -31,6 +33,7 @@ def build_session(app: str = "linkgauge", cores: int | None = None) -> SparkSess
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", os.environ.get("LINKGAUGE_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     spark = builder.getOrCreate()

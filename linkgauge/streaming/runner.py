@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkgauge.operators.evaluation import latest_run
+from linkgauge.operators.links import inter_arrival
 from linkgauge.session import scratch_path
 
 
@@ -57,3 +58,32 @@ def run_each_batch(stream: DataFrame, decide, schema: str, name: str = "decision
     stream.writeStream.option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(keep).start(
     ).awaitTermination()
     return spark.read.schema(f"{schema}, batch int").parquet(out)
+
+
+def run_inter_arrival(
+    stream: DataFrame, keys: list[str], time: str = "epoch", slice_seconds: float = 3600.0, name: str = "gaps"
+) -> DataFrame:
+    """Gap to the previous packet of the same key over all micro-batches.
+
+    Between batches only the last time per key is kept, as a table per batch in the shared
+    folder, so a repeated batch starts from the same state. Inside a batch the time-sliced
+    operator runs, so a hot key is spread over tasks. A packet older than the last one seen
+    gets a gap of 0.
+    """
+    spark = stream.sparkSession
+    base = scratch_path(spark, name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        kinds = ", ".join(f"{c} {t}" for c, t in batch.dtypes if c in keys)
+        before = spark.read.schema(f"{kinds}, last double").parquet(f"{base}/last/{number - 1}") if number else None
+        inter_arrival(batch, keys, slice_seconds, time, before).write.mode("overwrite").parquet(
+            f"{base}/rows/batch={number}")
+        ends = batch.groupBy(*keys).agg(F.max(time).alias("last"))
+        if before is not None:
+            ends = ends.unionByName(before).groupBy(*keys).agg(F.max("last").alias("last"))
+        ends.write.mode("overwrite").parquet(f"{base}/last/{number}")
+
+    stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(
+        keep).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("iat", T.DoubleType())])
+    return spark.read.schema(schema).parquet(f"{base}/rows")

@@ -66,43 +66,6 @@ def bursts(packets: DataFrame, keys: list[str], gap: str = "5 minutes", time: st
     return grouped.select(*keys, "first_ts", "packets", length.alias("burst_sec"))
 
 
-def inter_arrival_stream(packets: DataFrame, keys: list[str], time: str = "ts", late: str = "10 minutes") -> DataFrame:
-    """Gap to the previous packet of the same key, the last time per key kept as state.
-
-    The state is one number per key and rows arrive in Arrow batches, so a hot key is processed
-    in pieces. Packets older than the last one seen get a gap of 0. State of a key that stays
-    silent beyond the watermark is dropped.
-    """
-    fields = ", ".join(f"{c} {t}" for c, t in packets.dtypes if c in keys)
-
-    def advance(key, batches, state):
-        import numpy as np
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        for batch in batches:
-            stamps = np.sort(batch[time].astype("datetime64[us]").astype("int64").to_numpy())
-            if len(stamps) == 0:
-                continue
-            start = stamps[0] if last is None else last
-            before = np.maximum.accumulate(np.concatenate([[start], stamps[:-1]]))
-            gaps = np.maximum(stamps - before, 0) / 1e6
-            out = pd.DataFrame({c: [v] * len(stamps) for c, v in zip(keys, key)})
-            out[time], out["iat"] = pd.to_datetime(stamps, unit="us"), gaps
-            last = int(max(start, stamps[-1]))
-            yield out
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + 86_400_000)
-
-    return packets.groupBy(*keys).applyInPandasWithState(
-        advance, f"{fields}, {time} timestamp, iat double", "last bigint", "append", "EventTimeTimeout"
-    )
-
-
 def recommend_batch(pattern: DataFrame, predict_log_delay, profiles=None, sla_ms=None) -> DataFrame:
     """The profile to use for one micro-batch of traffic, or ``infeasible``."""
     from linkgauge.operators.allocation import evaluate_profiles
