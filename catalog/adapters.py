@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkgauge.sources.archives import MEMBERS, join_members
+
 LINE_ID = (
     "md5(concat_ws('|', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), "
     "cast(l_suppkey as string), cast(cast(round(l_extendedprice * 100) as bigint) as string), "
@@ -181,7 +183,7 @@ def _duck_records(record: str) -> str:
 
 
 SIM_SQL = (
-    f"SELECT {K} AS line_no, 'sim' AS archive, "
+    f"SELECT {K} AS line_no, concat('sim', cast({K} % 16 as string)) AS archive, "
     f"concat('100,', cast({K} % 9 as string), ',0.5|', {_duck_records(RESULT_RECORD)}, ';') AS sim_line, "
     f"concat(cast({K} % 5000 as string), '|', {_duck_records(TRAFFIC_RECORD)}) AS traffic_line, "
     f"concat(cast({K} as string), ';', {GRAPH_NAME.format(k=K)}, ';routing_', cast({K} % 5 as string), "
@@ -237,11 +239,16 @@ def sim_lines(spark, sf_dir) -> DataFrame:
         text = record.format(k=K, i="i")
         return f"array_join(transform(sequence(cast(0 as bigint), 2 + {K} % 4), i -> {text}), ';')"
 
-    return table(spark, sf_dir, "orders").select(
-        F.expr(K).alias("line_no"), F.lit("sim").alias("archive"),
+    wide = table(spark, sf_dir, "orders").select(
+        F.expr(K).alias("line_no"), F.expr(f"concat('sim', cast({K} % 16 as string))").alias("archive"),
         F.expr(f"concat('100,', cast({K} % 9 as string), ',0.5|', {records(RESULT_RECORD)}, ';')").alias("sim_line"),
         F.expr(f"concat(cast({K} % 5000 as string), '|', {records(TRAFFIC_RECORD)})").alias("traffic_line"),
         F.expr(
             f"concat(cast({K} as string), ';', {GRAPH_NAME.format(k=K)}, ';routing_', cast({K} % 5 as string), "
             f"CASE WHEN {K} % 2 = 0 THEN '.txt' ELSE '' END)").alias("manifest_line"),
     )
+    members = [F.struct(F.lit(m).alias("member"), F.col(c).alias("line")) for m, c in MEMBERS.items()]
+    return join_members(wide.select("archive", "line_no", F.inline(F.array(*members))))
+
+
+PACKET_KEYS_SQL = "testbed, gnb, sdr, bw_mhz, slots, ratio, direction"

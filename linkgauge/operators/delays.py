@@ -115,7 +115,7 @@ def flow_rows(lines: DataFrame, nodes: DataFrame, routes: DataFrame, strict: boo
         "simulation_id": F.concat("archive", F.lit("_"), F.col("sim_num")),
         "slot": F.least(F.col("tos"), longest.scalar()),
     })
-    facts = route_facts(readable.select("graph", "routing").distinct(), routes, nodes)
+    facts = route_facts(manifest.select("graph", "routing").distinct(), routes, nodes)
     sizes = nodes.groupBy("graph").agg(F.count("*").cast("int").alias("graph_nodes"))
     joined = flows.join(facts, ["graph", "routing", "route_no", "slot"], "left").join(sizes, "graph", "left")
     return joined.select(

@@ -58,15 +58,11 @@ def delay_by_config(packets: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def inter_arrival(
-    packets: DataFrame, keys: list[str], slice_seconds: float = 3600.0, time: str = "epoch",
-    last: DataFrame | None = None,
-) -> DataFrame:
-    """Gap to the previous packet of the same key in seconds; 0 for the first packet.
+def _with_previous(packets: DataFrame, keys: list[str], slice_seconds: float, time: str, last: DataFrame | None):
+    """Add ``_slice`` and ``_previous``, the time of the packet before of the same key.
 
     Time is cut into slices and a window only sorts one (key, slice). The last time of the
-    slice before comes from a small table with one row per (key, slice). ``last`` (keys, last)
-    continues from packets seen earlier.
+    slice before comes from a small table with one row per (key, slice).
     """
     sliced = packets.withColumn("_slice", F.floor(F.col(time) / F.lit(float(slice_seconds))))
     by_time = Window.partitionBy(*keys).orderBy("_slice")
@@ -76,12 +72,53 @@ def inter_arrival(
     if last is not None:
         ends = ends.join(last, keys, "left").withColumn("_before", F.coalesce("_before", "last")).drop("last")
     inside = Window.partitionBy(*keys, "_slice").orderBy(time)
-    previous = F.coalesce(F.lag(time).over(inside), F.col("_before"))
     return (
         sliced.join(ends, [*keys, "_slice"])
-        .withColumn("iat", F.greatest(F.lit(0.0), F.coalesce(F.col(time) - previous, F.lit(0.0))))
-        .drop("_slice", "_before")
+        .withColumn("_previous", F.coalesce(F.lag(time).over(inside), F.col("_before")))
+        .drop("_before")
+    )
+
+
+def inter_arrival(
+    packets: DataFrame, keys: list[str], slice_seconds: float = 3600.0, time: str = "epoch",
+    last: DataFrame | None = None,
+) -> DataFrame:
+    """Gap to the previous packet of the same key in seconds; 0 for the first packet.
+
+    ``last`` (keys, last) continues from packets seen earlier.
+    """
+    gap = F.coalesce(F.col(time) - F.col("_previous"), F.lit(0.0))
+    linked = _with_previous(packets, keys, slice_seconds, time, last)
+    return linked.withColumn("iat", F.greatest(F.lit(0.0), gap)).drop("_slice", "_previous")
+
+
+def burst_table(
+    packets: DataFrame, keys: list[str], gap_seconds: float, slice_seconds: float = 3600.0, time: str = "epoch"
+) -> DataFrame:
+    """Packet trains: first and last time, packets and length per burst of each key.
+
+    Bursts inside one time slice are finished there. Only the first and the last piece of a
+    slice can belong to a burst across slices; these few rows are joined up per key.
+    """
+    linked = _with_previous(packets, keys, slice_seconds, time, None)
+    opens = F.col("_previous").isNull() | (F.col(time) - F.col("_previous") >= float(gap_seconds))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    pieces = (
+        linked.withColumn("_piece", F.sum(opens.cast("int")).over(inside))
+        .groupBy(*keys, "_slice", "_piece")
+        .agg(F.min(time).alias("first"), F.max(time).alias("last"), F.count("*").alias("packets"))
+    )
+    newest = F.max("_piece").over(Window.partitionBy(*keys, "_slice"))
+    pieces = pieces.withColumn("_edge", (F.col("_piece") == 0) | (F.col("_piece") == newest))
+    done = pieces.filter(~F.col("_edge")).select(*keys, "first", "last", "packets")
+    along = Window.partitionBy(*keys).orderBy("_slice", "_piece").rowsBetween(Window.unboundedPreceding, 0)
+    joined = (
+        pieces.filter("_edge").withColumn("_burst", F.sum((F.col("_piece") > 0).cast("int")).over(along))
+        .groupBy(*keys, "_burst")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("packets").alias("packets"))
+        .drop("_burst")
     )
+    return done.unionByName(joined).withColumn("burst_sec", F.col("last") - F.col("first"))
 
 
 def link_features(throughput: DataFrame, delays: DataFrame | None, capacity_mbps: float = 150.0) -> DataFrame:

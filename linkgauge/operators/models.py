@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkgauge.operators.encoding import column_kinds, feature_names, fit_encoder
+from linkgauge.operators.splitting import training_rows
 
 Predictor = Callable[[DataFrame], DataFrame]
 
@@ -143,13 +145,22 @@ def external_model(name: str, predict: Predictor) -> ModelSpec:
     return ModelSpec(name, lambda train, target, features: Fitted(predict))
 
 
-def out_of_fold(df: DataFrame, spec: ModelSpec, target: str, features: list[str], k: int) -> DataFrame:
+def _each_fold(k: int, score, parallelism: int) -> DataFrame:
+    """Union of the folds' scored rows; fits are submitted side by side, like a cross validator does."""
+    with ThreadPoolExecutor(max_workers=max(1, min(k, parallelism))) as pool:
+        return reduce(DataFrame.unionByName, list(pool.map(score, range(k))))
+
+
+def out_of_fold(
+    df: DataFrame, spec: ModelSpec, target: str, features: list[str], k: int, parallelism: int = 5
+) -> DataFrame:
     """Every row predicted by the model that did not see its fold; needs a ``fold`` column."""
-    parts = []
-    for number in range(k):
-        fitted = spec.fit(df.filter(F.col("fold") != number), target, features)
-        parts.append(fitted.predict(df.filter(F.col("fold") == number)))
-    return reduce(DataFrame.unionByName, parts)
+
+    def score(number: int) -> DataFrame:
+        fitted = spec.fit(training_rows(df, number), target, features)
+        return fitted.predict(df.filter(F.col("fold") == number))
+
+    return _each_fold(k, score, parallelism)
 
 
 def mean_out_of_fold(df: DataFrame, target: str) -> DataFrame:
@@ -206,11 +217,13 @@ def loss_specs(trees: int = 200, depth: int = 30, rounds: int = 200, seed: int =
     }
 
 
-def loss_probabilities(df: DataFrame, make, weighting: str, features: list[str], k: int) -> DataFrame:
+def loss_probabilities(
+    df: DataFrame, make, weighting: str, features: list[str], k: int, parallelism: int = 5
+) -> DataFrame:
     """Out-of-fold probability of loss as ``score``; class weights come from the training folds."""
-    parts = []
-    for number in range(k):
-        train = df.filter(F.col("fold") != number)
+
+    def score(number: int) -> DataFrame:
+        train = training_rows(df, number)
         encoder = fit_encoder(train, features)
         encoded = encoder.transform(train).select("features", F.col("label").cast("double").alias("label"))
         facts = encoded.agg(F.sum("label").alias("pos"), F.count("*").alias("n")).head()
@@ -225,8 +238,9 @@ def loss_probabilities(df: DataFrame, make, weighting: str, features: list[str],
         }[weighting]
         model = make().setLabelCol("label").setWeightCol("_weight").fit(encoded.withColumn("_weight", weight))
         scored = model.transform(encoder.transform(df.filter(F.col("fold") == number)))
-        parts.append(scored.select(*df.columns, vector_to_array("probability")[1].alias("score")))
-    return reduce(DataFrame.unionByName, parts)
+        return scored.select(*df.columns, vector_to_array("probability")[1].alias("score"))
+
+    return _each_fold(k, score, parallelism)
 
 
 def loss_label(df: DataFrame, qos_class: str = "Bronze") -> DataFrame:

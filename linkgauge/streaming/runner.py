@@ -11,8 +11,15 @@ from linkgauge.operators.links import inter_arrival
 from linkgauge.session import scratch_path
 
 
-def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    return spark.readStream.schema(schema).format(fmt).load(path)
+def file_stream(
+    spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*", fmt: str = "parquet",
+    files_per_batch: int | None = None,
+) -> DataFrame:
+    """New files of a folder as a stream."""
+    reader = spark.readStream.schema(schema).format(fmt).option("pathGlobFilter", glob)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(folder)
 
 
 def run_updates(stream: DataFrame, keys: list[str], name: str = "stream") -> DataFrame:
