@@ -117,9 +117,9 @@ def batch_delay_windows(spark, sf):
 WITH p AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER w < 14400 THEN 0 ELSE 1 END AS starts FROM events
  WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 b AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM p)
-SELECT user_id, count(*) AS packets, round(epoch_us(min(ts)) / 1e6, 4) AS first, round(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 4) AS burst_sec
+SELECT user_id, count(*) AS packets, round(epoch_us(min(ts)) / 1e6, 6) AS first, round(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 6) AS burst_sec
 FROM b GROUP BY user_id, burst""")
 def burst_table_query(spark, sf):
     events = table(spark, sf, "events").select(
         "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("epoch"))
-    return rounded(burst_table(events, ["user_id"], 14400.0).select("user_id", "packets", "first", "burst_sec"), 4)
+    return rounded(burst_table(events, ["user_id"], 14400.0).select("user_id", "packets", "first", "burst_sec"))
