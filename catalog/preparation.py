@@ -147,7 +147,7 @@ def drop_constant_zero(spark, sf):
 
 def _missing_sql(condition: str) -> str:
     return (f"WITH raw AS ({RAW_SQL}), c AS (SELECT row_id, num, CASE WHEN isinf(rate) THEN NULL ELSE rate END AS rate, "
-            f"number_text, const_five, CASE WHEN Label IN ({TOKENS}) THEN NULL ELSE Label END AS Label FROM raw) "
+            f"cast(number_text AS double) AS number_text, const_five, CASE WHEN Label IN ({TOKENS}) THEN NULL ELSE Label END AS Label FROM raw) "
             f"SELECT * FROM c WHERE {condition}")
 
 

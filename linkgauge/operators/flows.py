@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgauge.functions.numeric import clip
+from linkgauge.functions.numeric import clip, finite, number
 from linkgauge.functions.rules import (
     clean_label_keep, infer_application, infer_protocol, recommend_bandwidth_flow,
 )
@@ -34,15 +34,16 @@ def flow_features(df: DataFrame, capacity_mbps: float = 1000.0) -> DataFrame:
     ``df`` holds the raw columns (names already trimmed) and ``source_file``.
     """
     raw = normalise_nulls(df)
-    mbps = F.col("Flow Bytes/s").try_cast("double") * 8 / 1_000_000
-    loss = F.when(F.col("RST Flag Count").try_cast("double") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    value = lambda name: finite(number(F.col(name)))
+    mbps = value("Flow Bytes/s") * 8 / 1_000_000
+    loss = F.when(value("RST Flag Count") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
     features = raw.select(
-        (F.col("Flow IAT Mean").try_cast("double") / 1000).alias("latency_ms"),
-        (F.col("Flow IAT Std").try_cast("double") / 1000).alias("jitter_ms"),
+        (value("Flow IAT Mean") / 1000).alias("latency_ms"),
+        (value("Flow IAT Std") / 1000).alias("jitter_ms"),
         loss.alias("packet_loss_percent"),
         clip(mbps / F.lit(float(capacity_mbps)) * 100, 0, 100).alias("bandwidth_utilization_percent"),
         mbps.alias("actual_throughput_mbps"),
-        (F.col("Flow Duration").try_cast("double") / 1_000_000).alias("flow_duration_sec"),
+        (value("Flow Duration") / 1_000_000).alias("flow_duration_sec"),
         (F.col("Total Fwd Packets").try_cast("bigint") + F.col("Total Backward Packets").try_cast("bigint"))
         .alias("packet_count"),
         infer_protocol(F.col("Destination Port")).alias("protocol"),
@@ -52,8 +53,8 @@ def flow_features(df: DataFrame, capacity_mbps: float = 1000.0) -> DataFrame:
         clean_label_keep(F.col("Label")).alias("attack_label"),
         "source_file",
         F.col("Destination Port").try_cast("bigint").alias("destination_port"),
-        (F.col("Total Length of Fwd Packets").try_cast("double")
-         + F.col("Total Length of Bwd Packets").try_cast("double")).alias("byte_count"),
+        (value("Total Length of Fwd Packets")
+         + value("Total Length of Bwd Packets")).alias("byte_count"),
     ).withColumn("is_attack", (F.upper("attack_label") != "BENIGN").cast("int"))
     points = recommend_bandwidth_flow(
         F.col("application_type"), F.col("latency_ms"), F.col("jitter_ms"), F.col("packet_loss_percent"),

@@ -115,11 +115,15 @@ def scan_delimited(spark: SparkSession, paths, names: list[str], sep: str = ",")
         .option("header", "true").option("sep", sep).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", "true")
         .option("quote", '"').option("escape", '"')
+        # a pruned parse would not notice that a row is too long
+        .option("columnPruning", "false")
         .csv(paths)
     )
     unquoted = F.regexp_replace("_bad", '"([^"]|"")*"', "")
     found = F.size(F.split(unquoted, "\t" if sep == "\t" else re.escape(sep)))
-    kept = raw.filter(F.col("_bad").isNull() | (found <= len(names)))
+    # always true, but keeps a data column in the scan: reading the corrupt column alone is refused
+    reads_data = F.coalesce(F.length("f0"), F.lit(0)) >= 0
+    kept = raw.filter((F.col("_bad").isNull() | (found <= len(names))) & reads_data)
     return kept.select(*[F.col(f).alias(n) for f, n in zip(fields, names)])
 
 
