@@ -12,6 +12,7 @@ from linkgauge.functions.rules import (
 )
 from linkgauge.operators.ordering import exact_percentiles
 from linkgauge.operators.profiling import require_columns
+from linkgauge.session import materialize
 
 
 def traffic_pattern(df: DataFrame) -> DataFrame:
@@ -117,7 +118,8 @@ def evaluate_profiles(
     """Rank candidate profiles for a traffic pattern.
 
     ``predict_log_delay`` takes the candidate table and returns it with ``y_pred`` (log seconds);
-    all profiles are scored in one pass.
+    all profiles are scored in one pass. The scored delays are written once to the shared folder,
+    because the exact percentiles read them more than once and a model may be costly.
     """
     parsed = parse_profiles(profiles or PROFILES)
     sla = sla_ms or ALLOCATION_SLA_MS
@@ -125,6 +127,7 @@ def evaluate_profiles(
     scored = predict_log_delay(candidates).select(
         "profile_no", "qos_class", delay_ms(F.col("y_pred")).alias("pred_ms")
     )
+    scored = materialize(scored, "profiles")
     return rank_profiles(profile_scores(class_delay_summary(scored, sla, buckets), parsed, sla))
 
 

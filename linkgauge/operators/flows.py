@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgauge.functions.numeric import clip, finite, number
+from linkgauge.functions.numeric import MISSING_TOKENS, clip, finite, number
 from linkgauge.functions.rules import (
     clean_label_keep, infer_application, infer_protocol, recommend_bandwidth_flow,
 )
-from linkgauge.sources.files import normalise_nulls
 
 # The raw columns that are read.
 RAW_COLUMNS = [
@@ -31,33 +30,46 @@ FLOW_TRACE_COLUMNS = ["attack_label", "is_attack", "source_file", "destination_p
 def flow_features(df: DataFrame, capacity_mbps: float = 1000.0) -> DataFrame:
     """Latency, jitter, loss and load proxies per flow; a row with any missing value is dropped.
 
-    ``df`` holds the raw columns (names already trimmed) and ``source_file``.
+    ``df`` holds the raw columns (names already trimmed) and ``source_file``. Rows are dropped on
+    the raw values, so the filter sits right above the scan and derives nothing twice.
     """
-    raw = normalise_nulls(df)
     value = lambda name: finite(number(F.col(name)))
-    mbps = value("Flow Bytes/s") * 8 / 1_000_000
-    loss = F.when(value("RST Flag Count") > 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    features = raw.select(
-        (value("Flow IAT Mean") / 1000).alias("latency_ms"),
-        (value("Flow IAT Std") / 1000).alias("jitter_ms"),
-        loss.alias("packet_loss_percent"),
-        clip(mbps / F.lit(float(capacity_mbps)) * 100, 0, 100).alias("bandwidth_utilization_percent"),
-        mbps.alias("actual_throughput_mbps"),
-        (value("Flow Duration") / 1_000_000).alias("flow_duration_sec"),
+    label = F.when(~F.col("Label").isin(MISSING_TOKENS), F.col("Label"))
+    base = df.select(
+        value("Flow IAT Mean").alias("iat_mean"),
+        value("Flow IAT Std").alias("iat_std"),
+        value("Flow Bytes/s").alias("bytes_per_sec"),
+        value("Flow Duration").alias("duration_us"),
+        value("RST Flag Count").alias("resets"),
         (F.col("Total Fwd Packets").try_cast("bigint") + F.col("Total Backward Packets").try_cast("bigint"))
         .alias("packet_count"),
-        infer_protocol(F.col("Destination Port")).alias("protocol"),
-        infer_application(F.col("Destination Port")).alias("application_type"),
+        (value("Total Length of Fwd Packets") + value("Total Length of Bwd Packets")).alias("byte_count"),
+        F.col("Destination Port").try_cast("bigint").alias("destination_port"),
+        clean_label_keep(label).alias("attack_label"),
+        "source_file",
+    ).dropna(subset=["iat_mean", "iat_std", "bytes_per_sec", "duration_us", "packet_count", "byte_count",
+                     "destination_port", "source_file"])
+    mbps = F.col("bytes_per_sec") * 8 / 1_000_000
+    features = base.select(
+        (F.col("iat_mean") / 1000).alias("latency_ms"),
+        (F.col("iat_std") / 1000).alias("jitter_ms"),
+        F.when(F.col("resets") > 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("packet_loss_percent"),
+        clip(mbps / F.lit(float(capacity_mbps)) * 100, 0, 100).alias("bandwidth_utilization_percent"),
+        mbps.alias("actual_throughput_mbps"),
+        (F.col("duration_us") / 1_000_000).alias("flow_duration_sec"),
+        "packet_count",
+        infer_protocol(F.col("destination_port")).alias("protocol"),
+        infer_application(F.col("destination_port")).alias("application_type"),
         F.lit("unknown").alias("link_type"),
         F.lit(-1).alias("time_of_day"),
-        clean_label_keep(F.col("Label")).alias("attack_label"),
+        "attack_label",
+        (F.upper("attack_label") != "BENIGN").cast("int").alias("is_attack"),
         "source_file",
-        F.col("Destination Port").try_cast("bigint").alias("destination_port"),
-        (value("Total Length of Fwd Packets")
-         + value("Total Length of Bwd Packets")).alias("byte_count"),
-    ).withColumn("is_attack", (F.upper("attack_label") != "BENIGN").cast("int"))
+        "destination_port",
+        "byte_count",
+    )
     points = recommend_bandwidth_flow(
         F.col("application_type"), F.col("latency_ms"), F.col("jitter_ms"), F.col("packet_loss_percent"),
         F.col("bandwidth_utilization_percent"), F.col("is_attack"),
     )
-    return features.withColumn(TARGET, points).select(*FEATURE_COLUMNS, TARGET, *FLOW_TRACE_COLUMNS).dropna()
+    return features.withColumn(TARGET, points).select(*FEATURE_COLUMNS, TARGET, *FLOW_TRACE_COLUMNS)
