@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ["preparation", "simulation", "evaluation", "allocation", "modelling", "streams"]
+PARTS = ["preparation", "simulation", "evaluation", "allocation", "modelling", "streams", "files"]
 
 
 def load():

@@ -11,6 +11,7 @@ from linkgauge.functions.parsing import (
     readable_result_line, readable_traffic_line, weight_list,
 )
 from linkgauge.functions.rules import scenario_of, tos_to_class
+from linkgauge.session import materialize
 from linkgauge.sources.archives import routing_name
 
 LINK_BANDWIDTH = 100000  # fixed value: capacity of every simulated link
@@ -115,7 +116,8 @@ def flow_rows(lines: DataFrame, nodes: DataFrame, routes: DataFrame, strict: boo
         "simulation_id": F.concat("archive", F.lit("_"), F.col("sim_num")),
         "slot": F.least(F.col("tos"), longest.scalar()),
     })
-    facts = route_facts(manifest.select("graph", "routing").distinct(), routes, nodes)
+    # written first: one row per route and slot, so Spark sees its true size and joins it by broadcast if small
+    facts = materialize(route_facts(manifest.select("graph", "routing").distinct(), routes, nodes), "routes")
     sizes = nodes.groupBy("graph").agg(F.count("*").cast("int").alias("graph_nodes"))
     joined = flows.join(facts, ["graph", "routing", "route_no", "slot"], "left").join(sizes, "graph", "left")
     return joined.select(

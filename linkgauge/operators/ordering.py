@@ -11,6 +11,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkgauge.session import materialize
+
 HASH_SPACE = 2.0**32
 
 
@@ -57,10 +59,13 @@ def hash_rank(df: DataFrame, key: str, by: list[str] | None = None, prefix: int
 def hash_take(df: DataFrame, key: str, quota: Column, by: list[str] | None = None, prefix: int = 3) -> DataFrame:
     """The first ``quota`` rows of each group in hash order.
 
-    Buckets after the quota are dropped by the join, before any row is sorted.
+    Buckets after the quota are dropped by the join, before any row is sorted. The bucket table is
+    written first: Spark then knows its true size and filters by broadcast when it is small, so
+    rows that are not wanted are not even shuffled.
     """
     by = by or []
-    wanted = hash_buckets(df, key, by, prefix).filter(F.col("_before") < quota).drop("_rows")
+    counted = materialize(hash_buckets(df, key, by, prefix), "buckets")
+    wanted = counted.filter(F.col("_before") < quota).drop("_rows")
     inside = Window.partitionBy(*by, "_bucket").orderBy(key)
     return (
         df.withColumn("_bucket", F.substring(key, 1, prefix))
@@ -112,7 +117,8 @@ def exact_percentiles(
     needed = F.lit(False)
     for p in wanted.values():
         needed = needed | holds(F.floor(position(p))) | holds(F.ceil(position(p)))
-    targets = counts.filter(needed).drop("_c")
+    # written first, so that Spark knows its true size and can filter without a shuffle when it is small
+    targets = materialize(counts.filter(needed).drop("_c"), "ranks")
     values = (
         ranged.join(targets, [*keys, "_range"])
         .groupBy(*keys, "_range", "_n", "_before", "_v").agg(F.count("*").alias("_c"))

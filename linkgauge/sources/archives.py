@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkgauge.functions.parsing import path_nodes
@@ -87,13 +87,18 @@ def routing_name(col):
 
 
 def number_routes(lines: DataFrame) -> DataFrame:
-    """Number the lines of each route file by position (a file is one small topology's routes)."""
-    from pyspark.sql import Window
+    """Number the lines of each route file by position.
 
-    order = Window.partitionBy("routing").orderBy("block", "position")
-    return lines.select(
+    A window only sees one block of a file; the lines of the blocks before come from a small table.
+    """
+    before = Window.partitionBy("routing").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("routing", "block").agg(F.count("*").alias("rows")).select(
+        "routing", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before")
+    )
+    inside = Window.partitionBy("routing", "block").orderBy("position")
+    return lines.join(blocks, ["routing", "block"]).select(
         "routing",
-        (F.row_number().over(order) - 1).alias("route_no"),
+        (F.col("before") + F.row_number().over(inside) - 1).cast("int").alias("route_no"),
         path_nodes(F.col("value")).alias("nodes"),
     )
 

@@ -102,7 +102,9 @@ def split_header(header: str, sep: str) -> list[str]:
     return [name.strip() for name in names]
 
 
-def scan_delimited(spark: SparkSession, paths, names: list[str], sep: str = ",") -> DataFrame:
+def scan_delimited(
+    spark: SparkSession, paths, names: list[str], sep: str = ",", header: bool = True
+) -> DataFrame:
     """Delimited text, all columns as text. Long rows are skipped, short rows padded with NULL.
 
     The reader flags both kinds as corrupt, so the separators outside quotes are counted on the
@@ -112,7 +114,7 @@ def scan_delimited(spark: SparkSession, paths, names: list[str], sep: str = ",")
     schema = ", ".join(f"{name} string" for name in fields) + ", _bad string"
     raw = (
         spark.read.schema(schema)
-        .option("header", "true").option("sep", sep).option("mode", "PERMISSIVE")
+        .option("header", str(header).lower()).option("sep", sep).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_bad").option("enforceSchema", "true")
         .option("quote", '"').option("escape", '"')
         # a pruned parse would not notice that a row is too long
