@@ -96,6 +96,8 @@ def fourier_features(encoded: DataFrame, components: int, gamma: float, width: i
         import numpy as np
         import pandas as pd
 
+        if len(rows) == 0:
+            return pd.Series([], dtype=object)
         matrix = np.stack(rows.to_numpy())
         return pd.Series(list(np.sqrt(2.0 / len(offsets)) * np.cos(matrix @ weights + offsets)))
 

@@ -145,9 +145,8 @@ def prepare_flow_dataset(
     frames = []
     for header, paths in layouts.items():
         names = split_header(header, ",")
-        raw = scan_delimited(spark, paths, names)
-        tagged = raw.select("*", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"))
-        frames.append(prune_columns(missing_tokens_to_null(strip_columns(tagged)), [*RAW_COLUMNS, "source_file"]))
+        raw = scan_delimited(spark, paths, names, source_file="source_file")
+        frames.append(prune_columns(missing_tokens_to_null(strip_columns(raw)), [*RAW_COLUMNS, "source_file"]))
     features = flow_features(align_columns(frames), capacity_mbps)
     if sample is None:
         return features

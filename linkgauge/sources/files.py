@@ -103,12 +103,13 @@ def split_header(header: str, sep: str) -> list[str]:
 
 
 def scan_delimited(
-    spark: SparkSession, paths, names: list[str], sep: str = ",", header: bool = True
+    spark: SparkSession, paths, names: list[str], sep: str = ",", header: bool = True, source_file: str | None = None
 ) -> DataFrame:
     """Delimited text, all columns as text. Long rows are skipped, short rows padded with NULL.
 
     The reader flags both kinds as corrupt, so the separators outside quotes are counted on the
     flagged rows only. Bytes that are not UTF-8 arrive as the replacement character.
+    ``source_file`` names a column to hold the file name.
     """
     fields = [f"f{i}" for i in range(len(names))]
     schema = ", ".join(f"{name} string" for name in fields) + ", _bad string"
@@ -126,7 +127,8 @@ def scan_delimited(
     # always true, but keeps a data column in the scan: reading the corrupt column alone is refused
     reads_data = F.coalesce(F.length("f0"), F.lit(0)) >= 0
     kept = raw.filter((F.col("_bad").isNull() | (found <= len(names))) & reads_data)
-    return kept.select(*[F.col(f).alias(n) for f, n in zip(fields, names)])
+    origin = [F.col("_metadata.file_name").alias(source_file)] if source_file else []
+    return kept.select(*[F.col(f).alias(n) for f, n in zip(fields, names)], *origin)
 
 
 def scan_json(spark: SparkSession, paths, lines: bool) -> DataFrame:
