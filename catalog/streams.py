@@ -23,7 +23,7 @@ def _counter_sql(column: str) -> str:
 
 @query("stream_profile", " UNION ALL ".join(_counter_sql(c) for c in ("event_id", "event_type", "value")))
 def stream_profile(spark, sf):
-    counters = telemetry.profile_columns_stream(event_stream(spark, sf), ["event_id", "event_type", "value"])
+    counters = telemetry.profile_columns_stream(event_stream(spark, sf).select("event_id", "event_type", "value"))
     return rounded(runner.run_updates(counters, ["column"]).select(
         "column", "non_null_count", "missing_count", "numeric_count", "min", "max"))
 

@@ -11,7 +11,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgauge.operators.encoding import column_kinds, feature_names, fit_encoder
@@ -178,15 +178,30 @@ def mean_out_of_fold(df: DataFrame, target: str) -> DataFrame:
 
 
 def line_out_of_fold(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Out-of-fold straight-line fit y ~ x in closed form, one pass for all folds."""
+    """Out-of-fold straight-line fit y ~ x in closed form, one pass for all folds.
+
+    Each fold gives its counts, means and centred moments. They are moved to the grand mean, where
+    "all folds minus one" subtracts numbers of the same size as the result.
+    """
     cx, cy = F.col(x).cast("double"), F.col(y).cast("double")
-    moments = {"n": F.lit(1.0), "x": cx, "y": cy, "xx": cx * cx, "xy": cx * cy}
-    sums = df.groupBy("fold").agg(*[F.sum(e).alias(f"_{name}") for name, e in moments.items()])
-    total = sums.agg(*[F.sum(f"_{name}").alias(name) for name in moments])
-    rest = sums.select("fold", *[(total.select(m).scalar() - F.col(f"_{m}")).alias(m) for m in moments])
-    slope = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / (F.col("n") * F.col("xx") - F.col("x") * F.col("x"))
-    lines = rest.select("fold", slope.alias("_slope"), "n", "x", "y").select(
-        "fold", "_slope", ((F.col("y") - F.col("_slope") * F.col("x")) / F.col("n")).alias("_intercept")
+    cells = df.filter(cx.isNotNull() & cy.isNotNull()).groupBy("fold").agg(
+        F.count("*").alias("n"), F.avg(cx).alias("mx"), F.avg(cy).alias("my"),
+        (F.var_pop(cx) * F.count("*")).alias("m2"), (F.covar_pop(cx, cy) * F.count("*")).alias("c"),
+    )
+    grand = cells.agg((F.sum(F.col("n") * F.col("mx")) / F.sum("n")).alias("gx"),
+                      (F.sum(F.col("n") * F.col("my")) / F.sum("n")).alias("gy"))
+    gx, gy = grand.select("gx").scalar(), grand.select("gy").scalar()
+    dx, dy = F.col("mx") - gx, F.col("my") - gy
+    moved = cells.select(
+        "fold", F.col("n").cast("double").alias("n"), (F.col("n") * dx).alias("sx"), (F.col("n") * dy).alias("sy"),
+        (F.col("m2") + F.col("n") * dx * dx).alias("xx"), (F.col("c") + F.col("n") * dx * dy).alias("xy"),
+    )
+    # one row per fold reaches this window
+    everything = Window.partitionBy(F.lit(0))
+    rest = moved.select("fold", *[(F.sum(m).over(everything) - F.col(m)).alias(m) for m in ("n", "sx", "sy", "xx", "xy")])
+    slope = (F.col("xy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("xx") - F.col("sx") * F.col("sx") / F.col("n"))
+    lines = rest.select("fold", slope.alias("_slope"), "n", "sx", "sy").select(
+        "fold", "_slope", (gy + F.col("sy") / F.col("n") - F.col("_slope") * (gx + F.col("sx") / F.col("n"))).alias("_intercept")
     )
     # one row per fold, so broadcasting it is safe at any data size
     joined = df.join(F.broadcast(lines), "fold")

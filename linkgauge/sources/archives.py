@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linkgauge.functions.parsing import path_nodes
+from linkgauge.session import materialize
 
 # The three text members of a result archive.
 MEMBERS = {"simulationResults.txt": "sim_line", "traffic.txt": "traffic_line", "input_files.txt": "manifest_line"}
@@ -67,7 +68,9 @@ def join_members(lines: DataFrame) -> DataFrame:
     wide = [
         F.max(F.when(F.col("member") == member, F.col("line"))).alias(column) for member, column in MEMBERS.items()
     ]
-    return lines.join(complete_archives(lines), "archive", "left_semi").groupBy("archive", "line_no").agg(*wide)
+    # written first: one row per archive, so Spark sees that it is small and does not shuffle the lines
+    complete = materialize(complete_archives(lines), "archives")
+    return lines.join(complete, "archive", "left_semi").groupBy("archive", "line_no").agg(*wide)
 
 
 def scan_routes(spark: SparkSession, folder: str) -> DataFrame:

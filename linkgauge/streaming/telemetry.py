@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgauge.functions.numeric import is_infinite, number, share
+from linkgauge.functions.numeric import share
 from linkgauge.functions.rules import sla_threshold
+from linkgauge.operators.profiling import profile_columns
 
 
 def event_time(df: DataFrame, column: str = "ts", late: str | None = "10 minutes") -> DataFrame:
@@ -15,18 +16,9 @@ def event_time(df: DataFrame, column: str = "ts", late: str | None = "10 minutes
     return timed.withWatermark(column, late) if late else timed
 
 
-def profile_columns_stream(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Running counters per column: state is one row per column."""
-    cells = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("text")) for c in columns]
-    long = df.select(F.inline(F.array(*cells)))
-    tried = number(F.col("text"))
-    value = F.when(~F.isnan(tried), tried)
-    finite = F.when(~is_infinite(value), value)
-    return long.groupBy("column").agg(
-        F.count("text").alias("non_null_count"), F.count_if(F.col("text").isNull()).alias("missing_count"),
-        F.count_if(is_infinite(value)).alias("infinite_count"), F.count(finite).alias("numeric_count"),
-        F.min(finite).alias("min"), F.max(finite).alias("max"), F.sum(finite).alias("numeric_sum"),
-    )
+def profile_columns_stream(df: DataFrame) -> DataFrame:
+    """Running profile of all columns: the batch operator, whose state is one row of counters."""
+    return profile_columns(df)
 
 
 def delay_windows(packets: DataFrame, keys: list[str], size: str = "1 day", time: str = "ts") -> DataFrame:
