@@ -17,7 +17,6 @@ from linkgauge.sources.files import (
     align_columns, discover, drop_index, missing_tokens_to_null, probe, prune_columns, scan_dataset, scan_delimited,
     split_header, strip_columns,
 )
-from linkgauge.session import materialize
 from linkgauge.sources.sinks import write_table
 
 # Names of the link measurement files.
@@ -158,11 +157,6 @@ def prepare_flow_dataset(
 def prepare_delay_dataset(
     spark: SparkSession, archives: str, graphs: str, routes: str, strict: bool = False
 ) -> DataFrame:
-    """Result archives, topologies and routes to the delay table.
-
-    The unpacked lines are written once: an archive can only be unpacked by one task, its lines
-    can then be read by many.
-    """
+    """Result archives, topologies and routes to the delay table."""
     nodes, _ = scan_topologies(spark, graphs)
-    lines = join_members(materialize(scan_archives(spark, archives), "lines"))
-    return flow_rows(lines, nodes, scan_routes(spark, routes), strict)
+    return flow_rows(join_members(scan_archives(spark, archives)), nodes, scan_routes(spark, routes), strict)

@@ -54,23 +54,24 @@ def scan_archives(spark: SparkSession, folder: str) -> DataFrame:
     return blobs.select("path", "content").mapInPandas(read_lines, LINE_SCHEMA)
 
 
-def complete_archives(lines: DataFrame) -> DataFrame:
-    """Archives in which all three members exist and have the same number of lines."""
-    counts = lines.groupBy("archive", "member").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("archive").agg(
-        F.count("*").alias("members"), F.min("n").alias("low"), F.max("n").alias("high")
-    )
-    return sizes.filter((F.col("members") == len(MEMBERS)) & (F.col("low") == F.col("high"))).select("archive")
-
-
 def join_members(lines: DataFrame) -> DataFrame:
-    """The three members side by side by (archive, line number), complete archives only."""
+    """The three members side by side by (archive, line number).
+
+    An archive is left out when a member is missing or the line counts differ, which shows as a
+    line number without all three texts. The joined lines are written once: an archive can only
+    be unpacked by one task, its lines can then be read by many and column by column.
+    """
+    texts = list(MEMBERS.values())
     wide = [
         F.max(F.when(F.col("member") == member, F.col("line"))).alias(column) for member, column in MEMBERS.items()
     ]
-    # written first: one row per archive, so Spark sees that it is small and does not shuffle the lines
-    complete = materialize(complete_archives(lines), "archives")
-    return lines.join(complete, "archive", "left_semi").groupBy("archive", "line_no").agg(*wide)
+    joined = materialize(lines.groupBy("archive", "line_no").agg(*wide), "lines")
+    gaps = F.lit(False)
+    for text in texts:
+        gaps = gaps | F.col(text).isNull()
+    # at most one row per archive; written, so Spark sees how small it is and does not shuffle the lines
+    broken = materialize(joined.filter(gaps).select("archive").distinct(), "archives")
+    return joined.join(broken, "archive", "left_anti")
 
 
 def scan_routes(spark: SparkSession, folder: str) -> DataFrame:
