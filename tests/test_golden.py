@@ -6,26 +6,45 @@ from pyspark.sql import functions as F
 from linkgauge.functions import rules
 from linkgauge.operators import allocation, comparison, evaluation
 
-# Mean delay in ms per class under each profile, and the published scores and order.
+# Profile, mean delay in ms of Gold, Silver and Bronze, violation and delay score, in rank order.
 ALLOCATIONS = [
-    ("60/30/10", 24.4703, 24.2192, 30.8146, 0.670545, 4.947459),
+    ("60/30/10", 24.470300674438477, 24.219194412231445, 30.81458854675293, 0.6705451011657715, 4.947458763122558),
+    ("80/15/5", 24.989158630371094, 30.615755081176758, 31.27170753479004, 0.7483737945556643, 5.285721073150635),
+    ("25/65/10", 25.015138626098633, 24.284076690673828, 30.81458854675293, 0.7522707939147948, 5.031779747009277),
+    ("33/33/34", 25.11932945251465, 24.55421257019043, 33.915401458740234, 0.7678994178771974, 5.089221935272217),
+    ("50/40/10", 25.26804542541504, 24.796018600463867, 30.81458854675293, 0.790206813812256, 5.0901934432983404),
 ]
 
+# R² of two models on the same five folds.
+FIRST_FOLDS = [0.764496, 0.775073, 0.777675, 0.737076, 0.772646]
+SECOND_FOLDS = [0.767598, 0.774630, 0.776877, 0.740322, 0.770474]
+
 
 def test_allocation_scores(spark):
-    profiles = rules.parse_profiles(["60,30,10"])
-    rows = [(0, "Gold", 4592, 24.4703, 0.0, 0.0, 0.0), (0, "Silver", 8991, 24.2192, 0.0, 0.0, 0.0),
-            (0, "Bronze", 15697, 30.8146, 0.0, 0.0, 0.0)]
+    profiles = rules.parse_profiles(rules.PROFILES)
+    numbers = {rules.profile_name(p): i for i, p in enumerate(profiles)}
+    rows = [
+        (numbers[name], c, n, ms, 0.0, 0.0, 0.0)
+        for name, *means, _, _ in ALLOCATIONS for c, n, ms in zip(rules.CLASSES, (4592, 8991, 15697), means)
+    ]
     summary = spark.createDataFrame(
         rows, "profile_no int, qos_class string, rows bigint, mean_delay_ms double, p90_delay_ms double, "
               "max_delay_ms double, violation_rate double")
     scores = allocation.rank_profiles(allocation.profile_scores(summary, profiles, rules.ALLOCATION_SLA_MS))
-    row = scores.head()
-    name, *_, violation, delay = ALLOCATIONS[0]
-    assert row["profile"] == name and row["rank"] == 1 and row["recommended"] and not row["sla_feasible"]
-    assert row["weighted_violation_score"] == pytest.approx(violation, abs=1e-5)
-    assert row["weighted_delay_score"] == pytest.approx(delay, abs=1e-5)
-    assert row["traffic_rows"] == 29280
+    got = scores.orderBy("rank").collect()
+    assert [r["profile"] for r in got] == [a[0] for a in ALLOCATIONS]
+    for row, (_, *_, violation, delay) in zip(got, ALLOCATIONS):
+        assert not row["sla_feasible"] and row["traffic_rows"] == 29280
+        assert row["weighted_violation_score"] == pytest.approx(violation, abs=1e-9)
+        assert row["weighted_delay_score"] == pytest.approx(delay, abs=1e-9)
+
+
+def test_published_paired_comparison(spark):
+    row = comparison.paired_compare(_scores(spark, FIRST_FOLDS, SECOND_FOLDS), "a", "b").head()
+    assert row["paired_ttest_p"] == pytest.approx(0.6202417393803225, abs=2e-4)  # scores are rounded to 6 digits
+    assert row["wilcoxon_p"] == 0.8125 and row["tests_agree"]
+    assert row["mean_diff"] == pytest.approx(-0.0005872672278786295, abs=1e-6)
+    assert row["practical_conclusion"] == "no_meaningful_difference"
 
 
 def test_sla_confusion_counts(spark):
