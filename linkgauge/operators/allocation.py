@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkgauge.functions.numeric import delay_ms
 from linkgauge.functions.rules import (
-    ALLOCATION_SLA_MS, CLASS_PENALTY, CLASSES, PROFILES, lookup, parse_profiles, profile_name, sla_threshold,
+    ALLOCATION_SLA_MS, CLASS_PENALTY, CLASSES, PROFILES, parse_profiles, profile_name, sla_threshold,
     tos_to_class,
 )
 from linkgauge.operators.ordering import exact_percentiles
@@ -129,7 +129,3 @@ def evaluate_profiles(
     )
     scored = materialize(scored, "profiles")
     return rank_profiles(profile_scores(class_delay_summary(scored, sla, buckets), parsed, sla))
-
-
-def class_penalty(qos_class: Column) -> Column:
-    return lookup(qos_class, CLASS_PENALTY)

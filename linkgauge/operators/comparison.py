@@ -6,8 +6,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EXACT_PAIRS = 50  # fixed value: up to here the signed-rank distribution is enumerated
-
 
 def _t_two_sided():
     @F.pandas_udf("double")
@@ -67,7 +65,7 @@ def _signed_rank():
             pairs = int(pairs)
             if pairs == 0:
                 out.append(1.0)
-            elif ties == 0 and dropped == 0 and pairs <= 50:
+            elif ties == 0 and dropped == 0 and pairs <= 50:  # enumerate the signed-rank distribution
                 ways = [1]
                 for rank in range(1, pairs + 1):
                     grown = ways + [0] * rank
