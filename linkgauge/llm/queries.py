@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgauge.llm import line_frequency, line_windows, packing, shuffle_matrix, url_trees
+from linkgauge.llm import html_blocks, latent_leaks, line_frequency, line_windows, packing, prefix_join, shuffle_matrix, url_trees
 from linkgauge.llm.tokens import default_tokenizer
 
 
@@ -13,12 +13,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = latent_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("k").alias("doc_id"), "item_id", "cosine", "common", "answer", "start")
+
+
+def op3_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_frequency.judge(table(spark, sf_dir, "documents"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]
     return judged.select("doc_id", *[F.col("quality")[n].alias(n) for n in names])
 
 
+def op5_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = html_blocks.fit(html_blocks.labelled_blocks(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = F.col("main_text")
+    return html_blocks.extract(pages, tree).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_tokenizer()).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -41,7 +57,7 @@ def op10_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), model).select("page_id", "url_filter.*")
 
 
-QUERIES = {f.__name__: f for f in (op4_line_frequency, op7_best_fit_packing, op8_line_windows, op9_communication_matrix, op10_url_trees)}
+QUERIES = {f.__name__: f for f in (op2_latent_leaks, op3_grouped_prefix_join, op4_line_frequency, op5_text_blocks, op7_best_fit_packing, op8_line_windows, op9_communication_matrix, op10_url_trees)}
 
 OP4_SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, text IS NULL AS absent FROM documents),
