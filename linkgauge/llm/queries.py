@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgauge.llm import html_blocks, latent_leaks, line_frequency, line_windows, packing, prefix_join, shuffle_matrix, url_trees
+from linkgauge.llm import html_blocks, latent_leaks, line_frequency, line_windows, packing, prefix_join, secret_forest, shuffle_matrix, training_order, url_trees
 from linkgauge.llm.tokens import default_tokenizer
+from linkgauge.session import scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = latent_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("k").alias("doc_id"), "item_id", "cosine", "common", "answer", "start")
@@ -35,6 +40,10 @@ def op5_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(pages, tree).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(table(spark, sf_dir, "documents"), default_tokenizer(), scratch_path(spark, "shards"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), default_tokenizer()).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -57,7 +66,7 @@ def op10_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), model).select("page_id", "url_filter.*")
 
 
-QUERIES = {f.__name__: f for f in (op2_latent_leaks, op3_grouped_prefix_join, op4_line_frequency, op5_text_blocks, op7_best_fit_packing, op8_line_windows, op9_communication_matrix, op10_url_trees)}
+QUERIES = {f.__name__: f for f in (op1_secret_forest, op2_latent_leaks, op3_grouped_prefix_join, op4_line_frequency, op5_text_blocks, op6_training_order, op7_best_fit_packing, op8_line_windows, op9_communication_matrix, op10_url_trees)}
 
 OP4_SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, text IS NULL AS absent FROM documents),
