@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgauge.llm import line_frequency, line_windows, packing
+from linkgauge.llm import latent_leaks, line_frequency, line_windows, packing, prefix_join
 from linkgauge.llm.tokens import default_tokenizer
 from linkgauge.session import materialize
 
@@ -21,23 +21,34 @@ def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their boilerplate lines."""
-    judged = line_frequency.judge(docs).where(F.col("quality.kept"))
-    return _with_text(judged, docs.columns, F.col("quality.clean_text"))
+    judged = line_frequency.judge(docs)
+    verdict = F.col(judged.columns[-1])
+    return _with_text(judged.where(verdict["kept"]), docs.columns, verdict["clean_text"])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later occurrences of three-line windows; those that lose every word go."""
     left = line_windows.remove_repeats(docs)
-    gone = (F.col("n_removed_lines") > 0) & (F.length(F.translate("text", line_frequency.WHITE, "")) == 0)
+    gone = (F.col(left.columns[-1]) > 0) & (F.length(F.translate("text", line_frequency.WHITE, "")) == 0)
     return _with_text(left.where(~gone), docs.columns, F.col("text"))
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: five-word shingles, similarity of 0.8 or more."""
+    return prefix_join.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item was found."""
+    return latent_leaks.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2048 tokens."""
     return packing.pack(docs, default_tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("best-fit packing", pack)]
+STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("near copies", near_copies), ("decontamination", decontaminate), ("best-fit packing", pack)]
 
 # Tokens, near duplicates and latent semantics are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
