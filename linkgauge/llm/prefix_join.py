@@ -3,9 +3,10 @@
 Shingles get one order: those that few documents share first (see ``frequent_shingles``), each part by
 hash. Two sets can reach the similarity only if their prefixes in this order share a shingle. Documents
 with equal prefix and size form one group; groups, not documents, are joined and filtered by size and
-position, and what is left is expanded to members and verified on whole sets.
+position, and what is left is expanded to members, filtered by histograms of the whole sets (an upper
+bound of the overlap), and verified on whole sets.
 
-Components need no pair of documents that are known to be connected. So a few rounds link each member
+Components need no pair of documents that are known to be connected. So a first round links each member
 of a shared prefix shingle to one member drawn for it; only pairs across the components that are then left
 are joined. Every link between different components is still found and verified.
 """
@@ -27,9 +28,8 @@ from linkgauge.session import materialize
 WORDS = 5
 PERCENT = 80
 # How the order treats common shingles; it moves work, never results
-COMMON_DOCS = 24
-COMMON_KEPT = 200_000
-ROUNDS = 3
+COMMON_DOCS = 3
+COMMON_KEPT = 500_000
 
 
 def needed(n: int, percent: int) -> int:
@@ -55,22 +55,38 @@ def frequent_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
         for batch in batches:
             sets = [shingle_set(x.as_py(), words, size) for x in batch["text"]]
             found, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            often = counts > 2
+            often = counts > 1
             yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often])], names=["h", "n"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "h long, n long")
     top = counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "h").limit(COMMON_KEPT)
-    return np.sort(np.array([r.h for r in top.collect()], dtype=np.int64).view(np.uint64))
+    return np.sort(top.select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def histogram(found: np.ndarray) -> bytes:
+    """How many shingles of a set fall into each of 2^k cells of two to four on average; empty: unknown."""
+    cells = 1 << max(3, len(found).bit_length() - 2)
+    counts = np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return counts.astype(np.uint8).tobytes() if len(found) and counts.max() < 256 else b""
+
+
+def most_common(x: bytes, y: bytes) -> int:
+    """An upper bound of the overlap of two sets, from their histograms; a finer one is folded."""
+    a, b = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    if not len(a) or not len(b):
+        return 1 << 60
+    cells = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, cells).sum(axis=0), b.reshape(-1, cells).sum(axis=0)).sum())
 
 
 def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """doc_id, n, cid (128-bit hash of the set), gid (of prefix and size), prefix for each row."""
+    """doc_id, n, cid (128-bit hash of the set), gid (of prefix and size), prefix, cells (histogram) for each row."""
     common = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = WordHashes(), common.value
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for value in batch["text"]:
                 found = shingle_set(value.as_py(), words, size)
                 n = len(found)
@@ -84,19 +100,20 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int) -> D
                 rows[1].append(blake2b(found.tobytes(), digest_size=16).digest())
                 rows[2].append(blake2b(head.tobytes() + n.to_bytes(8, "little"), digest_size=16).digest())
                 rows[3].append(head.view(np.int64))
+                rows[4].append(histogram(found))
             lengths = np.cumsum([0, *map(len, rows[3])])
             flat = np.concatenate([*rows[3], np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n", "cid", "gid", "prefix"])
+                 pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat)), pa.array(rows[4], pa.binary())],
+                names=["doc_id", "n", "cid", "gid", "prefix", "cells"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, cid binary, gid binary, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, cid binary, gid binary, prefix array<long>, cells binary")
 
 
 def whole_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """cid, hashes: one row for each set among the rows."""
+    """cid, hashes: the set of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
@@ -109,7 +126,7 @@ def whole_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     [pa.array([blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))], names=["cid", "hashes"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "cid binary, hashes array<long>").dropDuplicates(["cid"])
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "cid binary, hashes array<long>")
 
 
 def _can_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
@@ -118,13 +135,33 @@ def _can_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) ->
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * most >= percent * (na + nb - most))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose whole sets reach the similarity."""
-    left = sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb"))
+def verified(pairs: DataFrame, members: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose whole sets reach the similarity.
+
+    Whole sets are built again from the texts, only for what the histograms leave.
+    """
+    cells = members.select("cid", "n", "cells").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch["na"].to_numpy(), batch["nb"].to_numpy()
+            most = np.array([most_common(x.as_py(), y.as_py()) for x, y in zip(batch["ca"], batch["cb"], strict=True)], dtype=np.int64)
+            most = np.minimum(most, np.minimum(na, nb))
+            yield batch.select(["a", "b"]).filter(pa.array(100 * most >= percent * (na + nb - most)))
+
+    ends = [cells.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}")) for x in ("a", "b")]
+    left = materialize(pairs.select("a", "b").distinct().join(ends[0], "a").join(ends[1], "b").mapInArrow(run, "a binary, b binary"), "pairs")
+    if left.isEmpty():
+        return left
+    needed_sets = materialize(left.select(F.col("a").alias("cid")).unionAll(left.select("b")).distinct(), "needed")
+    ids = members.join(needed_sets, "cid", "left_semi").select(F.col("doc_id").alias("__id")).distinct()
+    texts = docs.join(ids, F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    found = whole_sets(texts, key, text, size).join(needed_sets, "cid", "left_semi").dropDuplicates(["cid"])
+    sets = materialize(found, "sets")
     same = F.size(F.array_intersect("ha", "hb"))
     return (
-        pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+        left.join(sets.select(F.col("cid").alias("a"), F.col("hashes").alias("ha")), "a")
+        .join(sets.select(F.col("cid").alias("b"), F.col("hashes").alias("hb")), "b")
         .select("a", "b", same.alias("same"), (F.size("ha") + F.size("hb") - same).alias("all"))
         .where(100 * F.col("same") >= percent * F.col("all")).select("a", "b")
     )
@@ -168,43 +205,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         postings.withColumns({"p": F.lag("g").over(order), "q": F.lead("g").over(order)})
         .where(F.col("p").isNotNull() | F.col("q").isNotNull()).drop("p", "q"), "shared")
     # members: the different sets of groups that share a shingle, or that hold several sets
-    classes = materialize(full.groupBy(g64, "n", "cid").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = full.groupBy(g64, "n", "cid").agg(F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells"))
+    classes = materialize(classes, "classes")
     many = classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("g")
     members = materialize(classes.join(shared.select("g").unionAll(many).distinct(), "g"), "members")
-    wanted = members.select(F.col("doc_id").alias("__id")).distinct()
-    texts = docs.join(wanted, F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    sets = materialize(whole_sets(texts, key, text, size).join(members.select("cid").distinct(), "cid", "left_semi"), "sets")
+    check = lambda pairs: materialize(verified(pairs, members, docs, key, text, size, percent), "links")
 
-    parts = _Parts(members)
     heads = members.groupBy("g").agg(F.min("cid").alias("head"))
     inside = members.join(heads, "g").where(F.col("cid") != F.col("head")).select(F.col("head").alias("a"), F.col("cid").alias("b"))
-    led = materialize(shared.join(heads, "g").withColumnRenamed("head", "cid"), "led")
-    for turn in range(ROUNDS):
-        stars = _star_pairs(led.join(parts.now, "cid"), turn, percent)
-        links = verified(stars.unionAll(inside) if turn == 0 else stars, sets, percent)
-        if not parts.add(materialize(links, "links")):
-            break
-    parts.add(materialize(verified(_left_over(shared, members, parts.now, percent), sets, percent), "links"))
+    named = [heads.select(F.col("g").alias(x), F.col("head").alias(h)) for x, h in (("x", "a"), ("y", "b"))]
+    stars = _star_pairs(shared, percent).join(named[0], "x").join(named[1], "y").select("a", "b")
+    parts = _Parts(members)
+    parts.add(check(stars.unionAll(inside)))
+    parts.add(check(_left_over(shared, members, parts.now, percent)))
     return _labelled(rows, parts.now)
 
 
-def _star_pairs(led: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of one drawn member of each shared shingle and the members of other components."""
-    drawn = led.groupBy("token").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"),
-        F.min(F.struct(F.xxhash64(F.lit(turn), "token", "g").alias("h"), "cid", "comp", "n", "pos")).alias("d"),
-    ).where(F.col("low") != F.col("high")).select("token", "d.cid", "d.comp", "d.n", "d.pos").toDF("token", "dc", "dcomp", "dn", "dpos")
-    hits = led.join(drawn, "token").where((F.col("comp") != F.col("dcomp")) & _can_link(F.col("n"), F.col("pos"), F.col("dn"), F.col("dpos"), percent))
-    return hits.select(F.least("cid", "dc").alias("a"), F.greatest("cid", "dc").alias("b")).distinct()
+def _star_pairs(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of groups: one drawn for each shared shingle, and each other that has it."""
+    drawn = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "g").alias("h"), "g", "n", "pos")).alias("d"))
+    drawn = drawn.select("token", F.col("d.g").alias("dg"), F.col("d.n").alias("dn"), F.col("d.pos").alias("dpos"))
+    hits = shared.join(drawn, "token").where((F.col("g") != F.col("dg")) & _can_link(F.col("n"), F.col("pos"), F.col("dn"), F.col("dpos"), percent))
+    return hits.select(F.least("g", "dg").alias("x"), F.greatest("g", "dg").alias("y")).distinct()
 
 
 def _left_over(shared: DataFrame, members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Member pairs of group pairs that pass the filters and aren't known to be connected."""
-    placed = materialize(members.join(parts, "cid").select("g", "cid", "comp"), "placed")
+    placed = materialize(members.join(parts, "cid").select("g", "cid", F.xxhash64("comp").alias("comp")), "placed")
     spans = placed.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    open_rows = shared.join(spans, "g")
-    mixed = open_rows.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where(F.col("l") != F.col("h")).select("token")
-    open_rows = materialize(open_rows.join(mixed, "token"), "open")
+    mixed = shared.join(spans, "g").groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where(F.col("l") != F.col("h")).select("token")
+    open_rows = materialize(shared.join(mixed, "token").join(spans, "g"), "open")
     x = open_rows.select("token", *[F.col(c).alias(f"x{c}") for c in ("g", "n", "pos", "low", "high")])
     y = open_rows.select("token", *[F.col(c).alias(f"y{c}") for c in ("g", "n", "pos", "low", "high")])
     known = (F.col("xlow") == F.col("xhigh")) & (F.col("ylow") == F.col("yhigh")) & (F.col("xlow") == F.col("ylow"))
