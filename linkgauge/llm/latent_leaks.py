@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Words that occur in the benchmark are the terms: no other word can match an item. Passages are
-TF-IDF rows over them. A randomised SVD of all passages is computed by Spark (each task adds up
-``A^T A Q`` for its passages), windows of every document are projected and compared with the items by
-cosine, and candidates are checked by longest common subsequence and by the item's answer.
+The terms are the telling words of the benchmark items: those in few documents, and the rarest of each
+item. Passages are TF-IDF rows over them. A randomised SVD of all passages is computed by Spark (each task
+adds up ``A^T A Q`` for its passages), a window at every telling word of every document is projected and
+compared with all items by cosine, and candidates are checked by longest common subsequence and by the
+item's answer.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from linkgauge.llm.text import text_key
 from linkgauge.session import materialize
 
 SEED = 11
-RANK, EXTRA = 48, 8  # latent dimensions, and more directions for the sketch
+RANK, EXTRA = 128, 16  # latent dimensions, and more directions for the sketch
 PASSAGE = 32  # words of the passages that the latent space is fitted to
 WINDOWS = (24, 40, 72)  # window sizes; an item is searched in the least that is no shorter than it
 COSINE = 0.5
-COMMON_SHARE = 0.02  # words in more documents than this share say little
+COMMON_SHARE = 0.005  # words in more documents than this share say little
+RAREST = 8  # but the rarest words of an item always count
 NEAR_COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6  # shares of an item's telling words found in order
 MAX_TERMS = 2_000_000  # bound of what is sent to every task: terms and items, see items_of
 EDGES = b".,;:!?\"'()[]{}<>*#$%&|-_=/\\"
@@ -155,9 +157,9 @@ def sketch(rows: DataFrame, weights: np.ndarray, basis: np.ndarray) -> np.ndarra
                 sums = np.add.reduceat(projected[number[order]], runs, axis=0)
                 total[term[order][runs]] += sums * weight[term[order][runs], None]
         at = np.flatnonzero(np.abs(total).sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["term", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(list(total[at].astype(np.float32)), pa.list_(pa.float32()))], names=["term", "v"])
 
-    parts = rows.select("terms").mapInArrow(run, "term long, v array<double>")
+    parts = rows.select("terms").mapInArrow(run, "term long, v array<float>")
     columns = [F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(basis.shape[1])]
     out = np.zeros(basis.shape)
     for r in parts.groupBy("term").agg(*columns).collect():  # one row for each benchmark term
@@ -192,42 +194,61 @@ def _bits(words: np.ndarray) -> dict[int, int]:
     return places
 
 
-def search(rows: DataFrame, items: Items, weights: np.ndarray, space: np.ndarray, telling: np.ndarray, cosine: float = COSINE) -> DataFrame:
-    """k, t1, t2, item_id, cosine, common, answer, start: each row's best window for each item it leaks."""
+def telling_terms(items: Items, documents: int, counts: np.ndarray) -> np.ndarray:
+    """Which terms count: those in few documents, and each item's rarest."""
+    telling = counts <= COMMON_SHARE * documents
+    for words in items.words:
+        own = np.unique(words)
+        telling[own[np.lexsort((own, counts[own]))[:RAREST]]] = True
+    return telling
+
+
+def search(rows: DataFrame, items: Items, weights: np.ndarray, space: np.ndarray, cosine: float = COSINE) -> DataFrame:
+    """k, t1, t2, item_id, cosine, common, answer, start: each row's best window for each item it leaks.
+
+    ``weights`` are 0 for words that don't count. A window begins at every other word, so an item lies
+    in one window from its first telling word on.
+    """
     mapped = (weights[:, None] * space).astype(np.float32)
-    vectors = np.stack([mapped[w].sum(axis=0) for w in items.words]) if items.words else np.zeros((0, space.shape[1]), np.float32)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    sizes = np.array([next((s for s in WINDOWS if s >= len(w)), WINDOWS[-1]) for w in items.words])
-    sent = rows.sparkSession.sparkContext.broadcast((mapped, vectors, sizes, items.ids, items.words, telling))
+    words = [w[weights[w] > 0] for w in items.words]
+    vectors = np.stack([mapped[w].sum(axis=0) for w in words]) if words else np.zeros((0, space.shape[1]), np.float32)
+    norms = np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)
+    sizes = np.array([next((s for s in WINDOWS if s >= len(w)), max(WINDOWS[-1], len(w))) for w in items.words])
+    # no window with fewer telling words can pass the check of any item
+    least = min((-(-int(PARAPHRASE * 100) * len(w) // 100) for w in words if len(w)), default=1)
+    sent = rows.sparkSession.sparkContext.broadcast((mapped, vectors / norms[:, None], norms, sizes, items.ids, words, weights > 0, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mapped, vectors, sizes, ids, words, telling = sent.value
-        latent = np.vstack([mapped, np.zeros((1, mapped.shape[1]), np.float32)])  # row -1: other words
-        checks = [_Check(w, telling) for w in words]
+        mapped, vectors, lengths, sizes, ids, words, telling, least = sent.value
+        checks = [_Check(w) for w in words]
+        kept = np.append(telling, False)  # number -1: other words
         for batch in batches:
             hits: list[tuple] = []
             for first, flat, ends in _parts(batch):
+                at = np.flatnonzero(kept[flat])
+                row = np.searchsorted(ends, at, side="right") - 1
+                place = at + row * (1 << 20)  # rows lie further apart than any window
                 for size in np.unique(sizes):
                     own = np.flatnonzero(sizes == size)
-                    starts, owner = _window_starts(ends, int(size))
-                    if not len(starts):
-                        continue
-                    stops = np.minimum(starts + size, ends[owner + 1])
-                    for at in range(0, len(starts), 20_000):
-                        a, z = starts[at : at + 20_000], stops[at : at + 20_000]
-                        low = int(a[0])
-                        sums = np.zeros((int(z.max()) - low + 1, latent.shape[1]), dtype=np.float32)
-                        np.cumsum(latent[flat[low : int(z.max())]], axis=0, out=sums[1:])
-                        found = sums[z - low] - sums[a - low]
-                        norms = np.linalg.norm(found, axis=1)
+                    stop = np.searchsorted(place, place + size)
+                    start = np.flatnonzero(stop - np.arange(len(place)) >= max(1, least))
+                    for piece in np.array_split(start, max(1, len(start) // 10_000)):
+                        if not len(piece):
+                            continue
+                        low, high = int(piece[0]), int(stop[piece].max())
+                        sums = np.zeros((high - low + 1, mapped.shape[1]), dtype=np.float32)
+                        np.cumsum(mapped[flat[at[low:high]]], axis=0, out=sums[1:])
+                        found = sums[stop[piece] - low] - sums[piece - low]
+                        size_of = np.maximum(np.linalg.norm(found, axis=1), 1e-9)
                         likeness = found @ vectors[own].T
-                        for i, j in np.argwhere(likeness >= cosine * np.maximum(norms, 1e-3)[:, None]).tolist():
-                            row = int(owner[at + i])
-                            # half a window more on both sides: an item can lie across windows
-                            left, right = max(int(ends[row]), int(a[i]) - int(size) // 2), min(int(ends[row + 1]), int(z[i]) + int(size) // 2)
-                            common, answer, leak = checks[own[j]](flat[left:right])
+                        # an item in the window shows along the item's direction by its own length, less what a paraphrase leaves out
+                        for i, j in np.argwhere((likeness >= cosine * size_of[:, None]) & (likeness >= cosine * lengths[own])).tolist():
+                            one, item = int(piece[i]), int(own[j])
+                            left = int(np.searchsorted(place, place[one] - size // 2))
+                            right = int(np.searchsorted(place, place[one] + size + size // 2))
+                            common, answer, leak = checks[item](flat[at[left:right]])
                             if leak:
-                                hits.append((first + row, ids[own[j]], float(likeness[i, j] / norms[i]), common, answer, int(a[i] - ends[row])))
+                                hits.append((first + int(row[one]), ids[item], float(likeness[i, j] / size_of[i]), common, answer, int(at[one] - ends[row[one]])))
             yield _best(batch, hits)
 
     return rows.mapInArrow(run, "k long, t1 long, t2 long, item_id long, cosine double, common double, answer double, start long")
@@ -244,44 +265,25 @@ def _best(batch: pa.RecordBatch, hits: list[tuple]) -> pa.RecordBatch:
         names=["k", "t1", "t2", *names])
 
 
-def _window_starts(ends: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of windows a quarter of their size apart, and their rows; short rows are one window."""
-    lengths = np.diff(ends)
-    step = size // 4
-    counts = np.where(lengths > 0, 1 + -(-np.maximum(lengths - size, 0) // step), 0)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = np.minimum(inside * step, np.maximum(lengths[owner] - size, 0)) + ends[owner]
-    return starts, owner
-
-
 class _Check:
     """Is an item in a passage: a near copy, or a paraphrase that gives the answer?
 
-    The answer is the last third of the item. Words that many documents have don't count, unless
-    the item has fewer than four others.
+    Both are sequences of telling words. The answer is the last third of the item.
     """
 
-    def __init__(self, words: np.ndarray, telling: np.ndarray):
-        own = telling[words]
-        self.all = own.sum() < 4
-        self.words = words if self.all else words[own]
-        self.telling = telling
-        self.places = _bits(self.words)
-        last = max(1, -(-len(self.words) // 3))
-        self.answer = self.words[-last:]
+    def __init__(self, words: np.ndarray):
+        self.words, self.places = words, _bits(words)
+        self.answer = words[-max(1, -(-len(words) // 3)) :]
         self.answer_places = _bits(self.answer)
 
     def __call__(self, passage: np.ndarray) -> tuple[float, float, bool]:
-        passage = passage[passage >= 0]
-        if not self.all:
-            passage = passage[self.telling[passage]]
+        if not len(self.words):
+            return 0.0, 0.0, False
         common = common_subsequence(self.words, passage, self.places) / len(self.words)
         if common < PARAPHRASE:
             return common, 0.0, False
         answer = common_subsequence(self.answer, passage, self.answer_places) / len(self.answer)
-        least = 0.9 if self.all else NEAR_COPY
-        return common, answer, common >= least or not self.all and answer >= ANSWER
+        return common, answer, common >= NEAR_COPY or answer >= ANSWER
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -294,9 +296,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     items = items_of(benchmark, item, item_text)
     rows = materialize(term_rows(docs, items, key, text), "terms")
     total, counts = document_counts(rows, max(1, len(items.terms)))
-    weights = np.log((1 + total) / (1 + counts))
+    weights = np.where(telling_terms(items, total, counts), np.log((1 + total) / (1 + counts)) + 1e-3, 0.0)
     space = latent_space(rows, weights) if items.terms else np.zeros((1, 1))
-    return search(rows, items, weights, space, counts <= max(2, COMMON_SHARE * total))
+    return search(rows, items, weights, space)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
