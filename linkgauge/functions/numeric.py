@@ -22,9 +22,24 @@ def number(col: Column) -> Column:
     return col.try_cast("double")
 
 
+# A whole text that is a number: no suffixes such as 1d or 1f, which a cast would take
+NUMBER_PATTERN = r"^\s*[-+]?(?:[0-9]+\.?[0-9]*(?:[eE][-+]?[0-9]+)?|\.[0-9]+(?:[eE][-+]?[0-9]+)?|(?i:inf|infinity|nan))\s*$"
+
+
 def number_in_text(col: Column) -> Column:
-    """As ``number`` for text. Words are ruled out by their first letter, because a failed parse is slow."""
-    return F.when(col.rlike(r"^\s*[-+]?[0-9.iInN]"), col.try_cast("double"))
+    """As ``number`` for text: only texts that are a number as a whole."""
+    return F.when(col.rlike(NUMBER_PATTERN), col.try_cast("double"))
+
+
+def number_of(df, name: str) -> Column:
+    """The column as a double, by the strict pattern where it is text."""
+    col = F.col(name)
+    return number_in_text(col) if df.schema[name].dataType == T.StringType() else number(col)
+
+
+def whole(value: Column) -> Column:
+    """A double without a fraction as a bigint, else NULL: ``80.0`` is 80, ``80.5`` is missing."""
+    return F.when(value == F.floor(value), value.try_cast("bigint"))
 
 
 def is_infinite(col: Column) -> Column:

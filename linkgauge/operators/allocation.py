@@ -10,6 +10,7 @@ from linkgauge.functions.rules import (
     ALLOCATION_SLA_MS, CLASS_PENALTY, CLASSES, PROFILES, parse_profiles, profile_name, sla_threshold,
     tos_to_class,
 )
+from linkgauge.operators.joining import null_safe_join
 from linkgauge.operators.ordering import exact_percentiles
 from linkgauge.operators.profiling import require_columns
 from linkgauge.session import materialize
@@ -48,9 +49,12 @@ def apply_profiles(pattern: DataFrame, profiles: list[dict[str, float]]) -> Data
     })
 
 
-def class_delay_summary(scored: DataFrame, sla_ms: dict[str, float], buckets: int = 256) -> DataFrame:
-    """Per profile and class: rows, mean, exact p90, largest delay and violation rate."""
-    known = scored.filter(F.col("qos_class").isin(CLASSES))
+def class_delay_summary(scored: DataFrame, sla_ms: dict[str, float], buckets: int | None = None) -> DataFrame:
+    """Per profile and class: rows, mean, exact p90, largest delay and violation rate.
+
+    Classes without an agreement, NULL among them, keep their rows and have no violation rate.
+    """
+    known = scored
     limit = sla_threshold(F.col("qos_class"), sla_ms)
     keys = ["profile_no", "qos_class"]
     basic = known.groupBy(*keys).agg(
@@ -58,7 +62,7 @@ def class_delay_summary(scored: DataFrame, sla_ms: dict[str, float], buckets: in
         F.avg((F.col("pred_ms") > limit).cast("double")).alias("violation_rate"),
     )
     tails = exact_percentiles(known, keys, "pred_ms", {"p90_delay_ms": 0.9}, buckets)
-    return basic.join(tails, keys)
+    return null_safe_join(basic, tails, keys, "left")
 
 
 def profile_scores(summary: DataFrame, profiles: list[dict[str, float]], sla_ms: dict[str, float]) -> DataFrame:
@@ -76,7 +80,7 @@ def profile_scores(summary: DataFrame, profiles: list[dict[str, float]], sla_ms:
         wide.append(F.coalesce(F.max(F.when(here, F.col("rows"))), F.lit(0)).alias(f"{prefix}_rows"))
         for name in ("mean_delay_ms", "p90_delay_ms", "max_delay_ms", "violation_rate"):
             wide.append(F.max(F.when(here, F.col(name))).alias(f"{prefix}_{name}"))
-    by_profile = summary.groupBy("profile_no").agg(*wide)
+    by_profile = summary.groupBy("profile_no").agg(F.sum("rows").alias("all_rows"), *wide)
     joined = named.join(by_profile, "profile_no", "left")
     feasible, violation, delay = F.lit(True), F.lit(0.0), F.lit(0.0)
     for c in CLASSES:
@@ -85,7 +89,7 @@ def profile_scores(summary: DataFrame, profiles: list[dict[str, float]], sla_ms:
         feasible = feasible & F.coalesce(mean <= sla_ms[c], F.lit(False))
         violation = violation + F.coalesce(F.lit(CLASS_PENALTY[c]) * F.greatest(F.lit(0.0), load - 1), F.lit(0.0))
         delay = delay + F.coalesce(F.lit(CLASS_PENALTY[c]) * load, F.lit(0.0))
-    counted = sum((F.coalesce(F.col(f"{c.lower()}_rows"), F.lit(0)) for c in CLASSES), F.lit(0))
+    counted = F.coalesce(F.col("all_rows"), F.lit(0))
     out = joined.select(
         F.col("_p.profile").alias("profile"), *[F.col(f"_p.{c.lower()}_weight") for c in CLASSES],
         counted.alias("traffic_rows"),
@@ -113,7 +117,7 @@ def rank_profiles(scores: DataFrame) -> DataFrame:
 
 def evaluate_profiles(
     pattern: DataFrame, predict_log_delay, profiles: list[str] | None = None, sla_ms: dict[str, float] | None = None,
-    buckets: int = 256,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Rank candidate profiles for a traffic pattern.
 

@@ -55,24 +55,25 @@ def _t_two_sided():
     return p_value
 
 
-def _signed_rank():
+def _signed_rank(method: str):
     @F.pandas_udf("double")
-    def p_value(w: pd.Series, n: pd.Series, tie_term: pd.Series, zeros: pd.Series) -> pd.Series:
+    def p_value(w: pd.Series, n: pd.Series, tie_term: pd.Series, doubled: pd.Series) -> pd.Series:
         import math
+        from fractions import Fraction
 
         out = []
-        for smaller, pairs, ties, dropped in zip(w, n, tie_term, zeros):
+        for smaller, pairs, ties, ranks in zip(w, n, tie_term, doubled):
             pairs = int(pairs)
             if pairs == 0:
                 out.append(1.0)
-            elif ties == 0 and dropped == 0 and pairs <= 50:  # enumerate the signed-rank distribution
+            elif method == "exact":  # all sign patterns of the ranks, ties sharing their mean rank (doubled: whole)
                 ways = [1]
-                for rank in range(1, pairs + 1):
+                for rank in map(int, ranks):
                     grown = ways + [0] * rank
                     for i, count in enumerate(ways):
                         grown[i + rank] += count
                     ways = grown
-                out.append(min(1.0, 2.0 * sum(ways[: int(smaller) + 1]) / 2.0**pairs))
+                out.append(min(1.0, float(Fraction(2 * sum(ways[: int(2 * smaller) + 1]), 2**pairs))))
             else:
                 mean = pairs * (pairs + 1) / 4.0
                 variance = pairs * (pairs + 1) * (2 * pairs + 1) / 24.0 - ties / 48.0
@@ -98,6 +99,11 @@ def pair_folds(scores: DataFrame, first: str, second: str) -> DataFrame:
 
 def paired_statistics(paired: DataFrame) -> DataFrame:
     """Means, sample deviations, paired t statistic and the signed-rank sums; one row."""
+    return _statistics(paired).drop("doubled_ranks")
+
+
+def _statistics(paired: DataFrame) -> DataFrame:
+    """As ``paired_statistics``, with the ranks (doubled: whole numbers) of all nonzero differences."""
     gap = paired.withColumn("d", F.col("first") - F.col("second"))
     basic = gap.agg(
         F.count("*").alias("folds"), F.avg("first").alias("first_mean"), F.stddev_samp("first").alias("first_std"),
@@ -116,19 +122,27 @@ def paired_statistics(paired: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("rank") * F.col("plus")), F.lit(0.0)).alias("w_plus"),
         F.coalesce(F.sum(F.col("rank") * F.col("minus")), F.lit(0.0)).alias("w_minus"),
         F.coalesce(F.sum(F.pow("ties", F.lit(3)) - F.col("ties")), F.lit(0.0)).alias("tie_term"),
+        # one whole number per fold
+        F.flatten(F.collect_list(F.array_repeat((2 * F.col("rank")).cast("int"), F.col("ties").cast("int")))).alias("doubled_ranks"),
     )
     one = lambda name: ranks.select(name).scalar().alias(name)
-    return basic.select("*", t.alias("t"), one("pairs"), one("w_plus"), one("w_minus"), one("tie_term"))
+    return basic.select("*", t.alias("t"), one("pairs"), one("w_plus"), one("w_minus"), one("tie_term"), one("doubled_ranks"))
 
 
-def paired_compare(scores: DataFrame, first: str, second: str, alpha: float = 0.05) -> DataFrame:
+def paired_compare(scores: DataFrame, first: str, second: str, alpha: float = 0.05, method: str = "exact") -> DataFrame:
     """Paired t test and Wilcoxon signed-rank test of two models' fold scores.
 
+    ``method`` is how the signed-rank p-value comes about, whatever the number of folds: "exact" counts
+    all sign patterns (time grows with folds cubed; ties share their mean rank, zeros are left out),
+    "normal" approximates.
+
     ``scores`` has model, fold and score. Only one aggregated row reaches the small p-value helpers.
     """
-    stats = paired_statistics(pair_folds(scores, first, second))
+    if method not in ("exact", "normal"):
+        raise ValueError(f"unknown method {method}")
+    stats = _statistics(pair_folds(scores, first, second))
     t_p = _t_two_sided()(F.col("t"), (F.col("folds") - 1).cast("double"))
-    w_p = _signed_rank()(F.least("w_plus", "w_minus"), F.col("pairs"), F.col("tie_term"), F.col("zero_diffs"))
+    w_p = _signed_rank(method)(F.least("w_plus", "w_minus"), F.col("pairs"), F.col("tie_term"), F.col("doubled_ranks"))
     tested = stats.withColumns({"paired_ttest_p": t_p, "wilcoxon_p": w_p})
     t_sig, w_sig = F.coalesce(F.col("paired_ttest_p") < alpha, F.lit(False)), F.col("wilcoxon_p") < alpha
     conclusion = (
@@ -138,7 +152,7 @@ def paired_compare(scores: DataFrame, first: str, second: str, alpha: float = 0.
     return tested.select(
         F.lit(f"{first}_vs_{second}").alias("comparison"), F.col("folds").alias("cv_folds"),
         "first_mean", "first_std", "second_mean", "second_std", "mean_diff", "t", "paired_ttest_p",
-        t_sig.alias("paired_ttest_significant"), F.least("w_plus", "w_minus").alias("w"), "wilcoxon_p",
+        t_sig.alias("paired_ttest_significant"), F.least("w_plus", "w_minus").alias("w"), "wilcoxon_p", F.lit(method).alias("wilcoxon_method"),
         w_sig.alias("wilcoxon_significant"), (t_sig == w_sig).alias("tests_agree"),
         conclusion.alias("practical_conclusion"),
     )

@@ -198,7 +198,7 @@ def binary_metrics(scored: DataFrame, by: list[str] | None = None, cut: float =
     return counts.withColumns(_rates(F.col("_hits"), F.col("positives"), F.col("predicted"))).drop("_hits")
 
 
-def auc_roc(scored: DataFrame, by: list[str] | None = None, buckets: int = 256) -> DataFrame:
+def auc_roc(scored: DataFrame, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve with ties averaged, exact, from counts per distinct score.
 
     Distinct scores are ranked inside range buckets; bucket totals carry the rest.

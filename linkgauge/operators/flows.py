@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgauge.functions.numeric import MISSING_TOKENS, clip, finite, number
+from linkgauge.functions.numeric import MISSING_TOKENS, clip, finite, number_of, whole
 from linkgauge.functions.rules import (
     clean_label_keep, infer_application, infer_protocol, recommend_bandwidth_flow,
 )
@@ -33,7 +33,7 @@ def flow_features(df: DataFrame, capacity_mbps: float = 1000.0) -> DataFrame:
     ``df`` holds the raw columns (names already trimmed) and ``source_file``. Rows are dropped on
     the raw values, so the filter sits right above the scan and derives nothing twice.
     """
-    value = lambda name: finite(number(F.col(name)))
+    value = lambda name: finite(number_of(df, name))
     label = F.when(~F.col("Label").isin(MISSING_TOKENS), F.col("Label"))
     base = df.select(
         value("Flow IAT Mean").alias("iat_mean"),
@@ -41,10 +41,10 @@ def flow_features(df: DataFrame, capacity_mbps: float = 1000.0) -> DataFrame:
         value("Flow Bytes/s").alias("bytes_per_sec"),
         value("Flow Duration").alias("duration_us"),
         value("RST Flag Count").alias("resets"),
-        (F.col("Total Fwd Packets").try_cast("bigint") + F.col("Total Backward Packets").try_cast("bigint"))
+        (whole(value("Total Fwd Packets")) + whole(value("Total Backward Packets")))
         .alias("packet_count"),
         (value("Total Length of Fwd Packets") + value("Total Length of Bwd Packets")).alias("byte_count"),
-        F.col("Destination Port").try_cast("bigint").alias("destination_port"),
+        whole(value("Destination Port")).alias("destination_port"),
         clean_label_keep(label).alias("attack_label"),
         "source_file",
     ).dropna(subset=["iat_mean", "iat_std", "bytes_per_sec", "duration_us", "packet_count", "byte_count",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linkgauge.functions.numeric import clip, percent_of
 from linkgauge.operators.flows import FEATURE_COLUMNS, TARGET
+from linkgauge.operators.joining import null_safe_join
 
 # Keys of one radio configuration.
 CONFIG_KEYS = ["gnb", "sdr", "bw_mhz", "slots", "ratio", "direction"]
@@ -70,10 +71,10 @@ def _with_previous(packets: DataFrame, keys: list[str], slice_seconds: float, ti
         *keys, "_slice", F.lag("_end").over(by_time).alias("_before")
     )
     if last is not None:
-        ends = ends.join(last, keys, "left").withColumn("_before", F.coalesce("_before", "last")).drop("last")
+        ends = null_safe_join(ends, last, keys, "left").withColumn("_before", F.coalesce("_before", "last")).drop("last")
     inside = Window.partitionBy(*keys, "_slice").orderBy(time)
     return (
-        sliced.join(ends, [*keys, "_slice"])
+        null_safe_join(sliced, ends, [*keys, "_slice"])
         .withColumn("_previous", F.coalesce(F.lag(time).over(inside), F.col("_before")))
         .drop("_before")
     )
@@ -85,11 +86,13 @@ def inter_arrival(
 ) -> DataFrame:
     """Gap to the previous packet of the same key in seconds; 0 for the first packet.
 
+    NULL keys are a key of their own; a packet without time stays and has no gap.
+
     ``last`` (keys, last) continues from packets seen earlier.
     """
     gap = F.coalesce(F.col(time) - F.col("_previous"), F.lit(0.0))
     linked = _with_previous(packets, keys, slice_seconds, time, last)
-    return linked.withColumn("iat", F.greatest(F.lit(0.0), gap)).drop("_slice", "_previous")
+    return linked.withColumn("iat", F.when(F.col(time).isNotNull(), F.greatest(F.lit(0.0), gap))).drop("_slice", "_previous")
 
 
 def burst_table(
@@ -98,9 +101,10 @@ def burst_table(
     """Packet trains: first and last time, packets and length per burst of each key.
 
     Bursts inside one time slice are finished there. Only the first and the last piece of a
-    slice can belong to a burst across slices; these few rows are joined up per key.
+    slice can belong to a burst across slices; these few rows are joined up per key. Packets without
+    time belong to no train.
     """
-    linked = _with_previous(packets, keys, slice_seconds, time, None)
+    linked = _with_previous(packets.filter(F.col(time).isNotNull()), keys, slice_seconds, time, None)
     opens = F.col("_previous").isNull() | (F.col(time) - F.col("_previous") >= float(gap_seconds))
     inside = Window.partitionBy(*keys, "_slice").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     pieces = (

@@ -7,13 +7,18 @@ only the inside of a bucket is sorted; the bucket's offset makes the local rank
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkgauge.operators.joining import null_safe_join
 from linkgauge.session import materialize
 
 HASH_SPACE = 2.0**32
+# aimed rows of a bucket, which one task sorts
+BUCKET_ROWS = 20_000
 
 
 def hash_key(seed: int, *columns: str) -> Column:
@@ -33,6 +38,16 @@ def _running(window_columns: list[str], order: str):
     )
 
 
+def hash_digits(df: DataFrame) -> int:
+    """Leading hex digits of a hash that cut ``df`` into buckets of about ``BUCKET_ROWS`` rows; one count job."""
+    return max(1, math.ceil(math.log(max(2, df.count() / BUCKET_ROWS), 16)))
+
+
+def range_buckets(df: DataFrame) -> int:
+    """Range buckets of about ``BUCKET_ROWS`` rows for ``df``; one count job."""
+    return max(2, -(-df.count() // BUCKET_ROWS))
+
+
 def hash_buckets(df: DataFrame, key: str, by: list[str], prefix: int) -> DataFrame:
     """Rows per (group, leading hash digits) with the number of rows of the group before it.
 
@@ -43,53 +58,55 @@ def hash_buckets(df: DataFrame, key: str, by: list[str], prefix: int) -> DataFra
     return counts.withColumn("_before", before)
 
 
-def hash_rank(df: DataFrame, key: str, by: list[str] | None = None, prefix: int = 3, name: str = "rank") -> DataFrame:
-    """Exact 1-based rank of each row in hash order, per group."""
-    by = by or []
+def hash_rank(df: DataFrame, key: str, by: list[str] | None = None, prefix: int | None = None, name: str = "rank") -> DataFrame:
+    """Exact 1-based rank of each row in hash order, per group; NULL is a group.
+
+    Without ``prefix`` the number of buckets follows the number of rows.
+    """
+    by, prefix = by or [], prefix or hash_digits(df)
     buckets = hash_buckets(df, key, by, prefix).drop("_rows")
     inside = Window.partitionBy(*by, "_bucket").orderBy(key)
     return (
-        df.withColumn("_bucket", F.substring(key, 1, prefix))
-        .join(buckets, [*by, "_bucket"])
+        null_safe_join(df.withColumn("_bucket", F.substring(key, 1, prefix)), buckets, [*by, "_bucket"])
         .withColumn(name, F.col("_before") + F.row_number().over(inside))
         .drop("_bucket", "_before")
     )
 
 
-def hash_take(df: DataFrame, key: str, quota: Column, by: list[str] | None = None, prefix: int = 3) -> DataFrame:
-    """The first ``quota`` rows of each group in hash order.
+def hash_take(df: DataFrame, key: str, quota: Column, by: list[str] | None = None, prefix: int | None = None) -> DataFrame:
+    """The first ``quota`` rows of each group in hash order; NULL is a group.
 
     Buckets after the quota are dropped by the join, before any row is sorted. The bucket table is
     written first: Spark then knows its true size and filters by broadcast when it is small, so
     rows that are not wanted are not even shuffled.
     """
-    by = by or []
+    by, prefix = by or [], prefix or hash_digits(df)
     counted = materialize(hash_buckets(df, key, by, prefix), "buckets")
     wanted = counted.filter(F.col("_before") < quota).drop("_rows")
     inside = Window.partitionBy(*by, "_bucket").orderBy(key)
     return (
-        df.withColumn("_bucket", F.substring(key, 1, prefix))
-        .join(wanted, [*by, "_bucket"])
+        null_safe_join(df.withColumn("_bucket", F.substring(key, 1, prefix)), wanted, [*by, "_bucket"])
         .withColumn("_rank", F.col("_before") + F.row_number().over(inside))
         .filter(F.col("_rank") <= quota)
         .drop("_bucket", "_before", "_rank")
     )
 
 
-def with_range_bucket(df: DataFrame, value: str, name: str = "_range", buckets: int = 256) -> DataFrame:
+def with_range_bucket(df: DataFrame, value: str, name: str = "_range", buckets: int | None = None) -> DataFrame:
     """Add a bucket number that never decreases with the value, about equally many rows in each.
 
-    The cut points are approximate quantiles: a fixed number of doubles on the driver. They only
-    balance the work; results stay exact wherever the cuts fall.
+    The cut points are approximate quantiles, one for each bucket, on the driver. They only balance the
+    work; results stay exact wherever the cuts fall.
     """
+    buckets = buckets or range_buckets(df)
     probabilities = [i / buckets for i in range(1, buckets)]
     cuts = df.approxQuantile(value, probabilities, 1.0 / (2 * buckets))
-    splits = [float("-inf"), *sorted(set(cuts) or {0.0}), float("inf")]
+    splits = [float("-inf"), *sorted({c for c in cuts if math.isfinite(c)} or {0.0}), float("inf")]
     return Bucketizer(splits=splits, inputCol=value, outputCol=name, handleInvalid="keep").transform(df)
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], buckets: int = 256
+    df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], buckets: int | None = None
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group.
 
@@ -120,7 +137,7 @@ def exact_percentiles(
     # written first, so that Spark knows its true size and can filter without a shuffle when it is small
     targets = materialize(counts.filter(needed).drop("_c"), "ranks")
     values = (
-        ranged.join(targets, [*keys, "_range"])
+        null_safe_join(ranged, targets, [*keys, "_range"])
         .groupBy(*keys, "_range", "_n", "_before", "_v").agg(F.count("*").alias("_c"))
     )
     upto = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -134,5 +151,5 @@ def exact_percentiles(
     for name, p in wanted.items():
         low, high = at(F.floor(position(p))), at(F.ceil(position(p)))
         part = F.max(position(p) - F.floor(position(p)))
-        result.append((low + (high - low) * part).alias(name))
+        result.append(F.when(low == high, low).otherwise(low + (high - low) * part).alias(name))
     return ranked.groupBy(*keys).agg(*result)

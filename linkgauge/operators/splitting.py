@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linkgauge.operators.ordering import hash_key, hash_rank, hash_take, hash_unit
 
 
-def quota_sample(df: DataFrame, by: str, id_columns: list[str], n: int, seed: int = 42, prefix: int = 3) -> DataFrame:
+def quota_sample(df: DataFrame, by: str, id_columns: list[str], n: int, seed: int = 42, prefix: int | None = None) -> DataFrame:
     """``max(1, n // groups)`` rows per group (per file), picked in hash order over the whole group."""
     groups = df.select(by).distinct().agg(F.count("*").alias("groups"))
     quota = F.greatest(F.lit(1), F.floor(F.lit(n) / groups.scalar()))
@@ -16,14 +16,14 @@ def quota_sample(df: DataFrame, by: str, id_columns: list[str], n: int, seed: in
     return hash_take(keyed, "_key", quota, [by], prefix).drop("_key")
 
 
-def sample_rows(df: DataFrame, id_columns: list[str], n: int, seed: int = 42, prefix: int = 3) -> DataFrame:
+def sample_rows(df: DataFrame, id_columns: list[str], n: int, seed: int = 42, prefix: int | None = None) -> DataFrame:
     """Exactly ``n`` rows, or all rows when there are fewer."""
     keyed = df.withColumn("_key", hash_key(seed, *id_columns))
     return hash_take(keyed, "_key", F.lit(n), prefix=prefix).drop("_key")
 
 
 def train_test_split(
-    df: DataFrame, id_columns: list[str], test_size: float = 0.2, seed: int = 42, exact: bool = False, prefix: int = 3
+    df: DataFrame, id_columns: list[str], test_size: float = 0.2, seed: int = 42, exact: bool = False, prefix: int | None = None
 ) -> DataFrame:
     """Add ``is_test``. By default a row decides alone from its hash and no data moves.
 
@@ -46,7 +46,7 @@ def validation_split(df: DataFrame, id_columns: list[str], val_size: float = 0.1
 
 
 def kfold(
-    df: DataFrame, id_columns: list[str], k: int = 5, seed: int = 42, exact: bool = False, prefix: int = 3
+    df: DataFrame, id_columns: list[str], k: int = 5, seed: int = 42, exact: bool = False, prefix: int | None = None
 ) -> DataFrame:
     """Add ``fold`` 0..k-1; k of 1 or less turns folding off (NULL fold).
 
@@ -64,9 +64,9 @@ def kfold(
 
 
 def stratified_kfold(
-    df: DataFrame, label: str, id_columns: list[str], k: int = 5, seed: int = 42, prefix: int = 3
+    df: DataFrame, label: str, id_columns: list[str], k: int = 5, seed: int = 42, prefix: int | None = None
 ) -> DataFrame:
-    """Folds with the same share of every label, exact per label."""
+    """Folds with the same share of every label, exact per label; a missing label is a label."""
     keyed = df.withColumn("_key", hash_key(seed, *id_columns))
     ranked = hash_rank(keyed, "_key", [label], prefix, "_rank")
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_key", "_rank")

@@ -84,7 +84,7 @@ def benchmark_models(
                             score_seconds, score_seconds / max(sizes["test"], 1) * 1000))
             importances += [(*facts, name, value) for name, value in fitted.importances.items()]
         except Exception as error:
-            message = f"{type(error).__name__}: {error}"[:500]
+            message = f"{type(error).__name__}: {error}"
             results.append((*facts, "failed", message, *counted, *[None] * 3, k, *[None] * 9))
     table = spark.createDataFrame(importances, IMPORTANCE_SCHEMA)
     return spark.createDataFrame(results, RESULT_SCHEMA), rank_importance(table, ["dataset", "model", "target"])

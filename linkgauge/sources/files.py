@@ -44,7 +44,7 @@ def with_dataset(df: DataFrame, root: str, path_column: str = "path") -> DataFra
     """Dataset = first folder below the root, else the root's name, else the file's stem."""
     clean = re.sub(r"^file:/*", "/", root).rstrip("/")
     path = F.regexp_replace(F.col(path_column), r"^file:/+", "/")
-    inside = F.substring(path, len(clean) + 2, 1 << 20)
+    inside = F.substr(path, F.lit(len(clean) + 2))
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
     name = (
         F.when(path == clean, stem)
@@ -87,7 +87,7 @@ def probe(files: DataFrame) -> DataFrame:
                         if not header:
                             kind, message = "EmptyDataError", "No columns to parse from file"
                 except Exception as error:
-                    kind, message = type(error).__name__, str(error)[:500]
+                    kind, message = type(error).__name__, str(error)
                 rows.append((path, header, kind, message))
             yield pd.DataFrame(rows, columns=["path", "header", "error_type", "error_message"])
 
