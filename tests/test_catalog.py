@@ -5,18 +5,22 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from catalog import load
 from catalog.check import TABLES, compare
 
 SMALL = "/root/testdata/sf0.001"
-QUICK = ["profile_columns", "clean_policy_all", "label_imbalance", "flow_features", "link_features", "delay_by_config",
-         "surviving_flows", "delay_table", "slice_metrics", "sla_confusion", "threshold_sweep_bronze", "auc_roc_by_policy",
-         "rank_profiles", "exact_percentiles", "flow_quota_sample", "stratified_kfold", "burst_table", "stream_sla_monitor"]
+QUERIES, ORACLES = load()
 
 
 def test_every_sql_has_a_query():
-    queries, oracles = entry.queries(), entry.oracle_sql()
-    assert set(oracles) <= set(queries) and len(queries) >= 120
-    assert all(callable(q) for q in queries.values())
+    assert set(ORACLES) <= set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
+def test_other_queries_have_tests_of_their_own():
+    """Without SQL there is a named test or a green relative: no query goes unheld."""
+    assert set(QUERIES) - set(ORACLES) == {
+        "paired_compare", "linear_out_of_fold", "benchmark_models", "kernel_model", "forest_importances", "loss_classifiers",
+        "evaluate_delay_models", "permutation_importance", "stream_recommend", "discover_files"}
 
 
 @pytest.fixture(scope="module")
@@ -30,9 +34,9 @@ def connection():
     return con
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_agrees_with_sql(spark, connection, name):
-    text, good = compare(spark, connection, name, entry.queries()[name], entry.oracle_sql()[name], SMALL)
+    text, good = compare(spark, connection, name, QUERIES[name], ORACLES[name], SMALL)
     assert good, text
 
 
