@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from catalog.adapters import PACKET_KEYS_SQL, PACKET_SQL, packet_columns, table
 from catalog.allocation import formula
 from catalog.registry import query, r, rounded
 from linkgauge.operators.links import burst_table
+from linkgauge.session import scratch_path
 from linkgauge.streaming import runner, telemetry
 
 
@@ -15,6 +18,22 @@ def event_stream(spark, sf):
     return runner.file_stream(spark, sf, table(spark, sf, "events").schema, "events.parquet")
 
 
+PARTS = 4
+
+
+def event_parts(spark, sf):
+    """The events as a folder of files that arrive one after the other; every tenth row one file late."""
+    events = table(spark, sf, "events")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    low, high = events.agg(F.min(seconds), F.max(seconds)).first()
+    part = F.floor((seconds - low) / ((high - low) / PARTS + 1)) + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    numbered = events.withColumn("_part", F.least(part, F.lit(PARTS - 1)))
+    folder = scratch_path(spark, "events")
+    for number in range(PARTS):
+        numbered.where(F.col("_part") == number).drop("_part").coalesce(1).write.mode("append").parquet(folder)
+    return folder, events.schema, events.agg(F.max("ts")).first()[0]
+
+
 def _counter_sql(column: str) -> str:
     v = f"try_cast(cast({column} AS varchar) AS double)"
     return (f"SELECT '{column}' AS \"column\", count({column}) AS non_null_count, count(*) - count({column}) AS missing_count, "
@@ -32,7 +51,9 @@ def stream_profile(spark, sf):
 SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS packet_count,
  round(sum(value), 4) AS flow_duration_sec, round(avg(value) * 1000, 4) AS latency_ms FROM events WHERE value > 0 GROUP BY 1, 2""")
 def stream_delay_windows(spark, sf):
-    timed = telemetry.event_time(event_stream(spark, sf), late="1 day").withColumn("iat", F.col("value"))
+    folder, schema, _ = event_parts(spark, sf)
+    events = runner.file_stream(spark, folder, schema, files_per_batch=1)
+    timed = telemetry.event_time(events, late="365 days").withColumn("iat", F.col("value"))
     windows = telemetry.delay_windows(timed, ["event_type"])
     out = runner.run_updates(windows, ["window_start", "event_type"])
     return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), 4)
@@ -75,10 +96,19 @@ WITH p AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '4 hours
  WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 b AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM p)
 SELECT user_id, min(ts) AS first_ts, count(*) AS packets, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS burst_sec
-FROM b GROUP BY user_id, burst HAVING max(ts) + INTERVAL '4 hours' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
+FROM b GROUP BY user_id, burst""")
 def stream_bursts(spark, sf):
-    grouped = telemetry.bursts(telemetry.event_time(event_stream(spark, sf), late="1 hour"), ["user_id"], "4 hours")
-    out = runner.run_append(grouped)
+    """Several files with late rows; a heartbeat closes the last bursts; the second run goes on from the first."""
+    folder, schema, last = event_parts(spark, sf)
+    base = scratch_path(spark, "bursts")
+
+    def run():
+        events = runner.file_stream(spark, folder, schema, files_per_batch=1)
+        return runner.run_append(telemetry.bursts(telemetry.event_time(events, late="365 days"), ["user_id"], "4 hours"), path=base)
+
+    run()
+    runner.heartbeat(spark, folder, schema, "ts", last + timedelta(days=400))
+    out = run()
     return rounded(out.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")))
 
 

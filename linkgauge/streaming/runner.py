@@ -1,4 +1,9 @@
-"""Running streams to the end of the available input."""
+"""Running streams to the end of the available input.
+
+Every runner takes ``path``, a folder below which rows and checkpoint are kept: called again with the same
+path (after a restart, or when new files came) it goes on where it stopped. Batches write folders of their
+own, so a repeated batch replaces its rows. Without a path a fresh one below the shared folder is taken.
+"""
 
 from __future__ import annotations
 
@@ -22,53 +27,77 @@ def file_stream(
     return reader.load(folder)
 
 
-def run_updates(stream: DataFrame, keys: list[str], name: str = "stream") -> DataFrame:
+def run_updates(stream: DataFrame, keys: list[str], name: str = "stream", path: str | None = None) -> DataFrame:
     """Run a keyed aggregate in update mode to the end of the input; the last state per key.
 
-    Every micro-batch appends its changed rows to a table in the shared folder.
+    Every micro-batch writes its changed rows.
     """
     spark = stream.sparkSession
-    out, check = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    base = path or scratch_path(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{base}/rows/_batch={number}")
 
     query = (
-        stream.writeStream.outputMode("update").option("checkpointLocation", check)
+        stream.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True).foreachBatch(keep).start()
     )
     query.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
-    return latest_run(spark.read.schema(schema).parquet(out), keys, "_batch").drop("_batch")
+    return latest_run(_batches(spark, schema, f"{base}/rows", "_batch"), keys, "_batch").drop("_batch")
+
+
+def _batches(spark: SparkSession, schema: T.StructType, folder: str, column: str) -> DataFrame:
+    """All rows of the batch folders; Spark skips folders that begin with an underscore, so they are named."""
+    pattern = f"{folder}/{column}=*"
+    rows = spark.read.schema(T.StructType([f for f in schema.fields if f.name != column])).parquet(pattern)
+    number = F.regexp_extract(F.input_file_name(), f"/{column}=([0-9]+)/", 1).cast("int")
+    return rows.withColumn(column, number)
 
 
-def run_append(stream: DataFrame, name: str = "stream") -> DataFrame:
-    """Run a stream of rows in append mode to the end of the input into a Parquet table."""
+def run_append(stream: DataFrame, name: str = "stream", path: str | None = None) -> DataFrame:
+    """Run a stream of rows in append mode to the end of the input into a Parquet table.
+
+    Windows and sessions come out when the watermark passes them. The last ones come out when a later
+    row arrives: see ``heartbeat``.
+    """
     spark = stream.sparkSession
-    out, check = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    base = path or scratch_path(spark, name)
     query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", out)
-        .option("checkpointLocation", check).trigger(availableNow=True).start()
+        stream.writeStream.format("parquet").outputMode("append").option("path", f"{base}/rows")
+        .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
 
+def heartbeat(spark: SparkSession, folder: str, schema: T.StructType, time: str, at) -> None:
+    """Write one row without keys at a later time into a stream's folder, so that what is open is closed.
 
-def run_each_batch(stream: DataFrame, decide, schema: str, name: str = "decisions") -> DataFrame:
-    """Apply a batch function to every micro-batch and append its rows with the batch number."""
+    ``at`` must lie past the last time by the watermark's delay and the session gap. The row itself
+    opens a session that never closes.
+    """
+    row = [at if f.name == time else None for f in schema.fields]
+    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    spark.createDataFrame([tuple(row)], nullable).coalesce(1).write.mode("append").parquet(folder)
+
+
+def run_each_batch(stream: DataFrame, decide, schema: str, name: str = "decisions", path: str | None = None) -> DataFrame:
+    """Apply a batch function to every micro-batch and keep its rows with the batch number."""
     spark = stream.sparkSession
-    out, check = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    base = path or scratch_path(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
-        decide(batch).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        decide(batch).write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
 
-    stream.writeStream.option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(keep).start(
-    ).awaitTermination()
-    return spark.read.schema(f"{schema}, batch int").parquet(out)
+    stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(
+        keep).start().awaitTermination()
+    return _batches(spark, spark.createDataFrame([], schema).schema, f"{base}/rows", "batch")
 
 
 def run_inter_arrival(
-    stream: DataFrame, keys: list[str], time: str = "epoch", slice_seconds: float = 3600.0, name: str = "gaps"
+    stream: DataFrame, keys: list[str], time: str = "epoch", slice_seconds: float = 3600.0, name: str = "gaps",
+    path: str | None = None,
 ) -> DataFrame:
     """Gap to the previous packet of the same key over all micro-batches.
 
@@ -78,7 +107,7 @@ def run_inter_arrival(
     gets a gap of 0.
     """
     spark = stream.sparkSession
-    base = scratch_path(spark, name)
+    base = path or scratch_path(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
         kinds = ", ".join(f"{c} {t}" for c, t in batch.dtypes if c in keys)
