@@ -7,7 +7,7 @@ position, and what is left is expanded to members, filtered by histograms of the
 bound of the overlap), and verified on whole sets.
 
 Components need no pair of documents that are known to be connected. So a first round links each member
-of a shared prefix shingle to one member drawn for it; only pairs across the components that are then left
+of a shared prefix shingle to the least changed of them; only pairs across the components that are then left
 are joined. Every link between different components is still found and verified.
 """
 
@@ -130,8 +130,12 @@ def whole_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def _can_link(na: Column, pa_: Column, nb: Column, pb: Column, percent: int) -> Column:
-    """Size and position filters for a shingle at places pa_ and pb (from 0) of two ordered sets."""
-    most = F.least(pa_, pb) + 1 + F.least(na - 1 - pa_, nb - 1 - pb)
+    """Size and position filters for the first shingle that two ordered sets share, at places pa_ and pb (from 0).
+
+    No shingle before it is common, so what stands behind it bounds the overlap. Linked sets pass at
+    their first common shingle; that they may fail at later ones costs nothing.
+    """
+    most = 1 + F.least(na - 1 - pa_, nb - 1 - pb)
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (100 * most >= percent * (na + nb - most))
 
 
@@ -222,8 +226,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 
 def _star_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of groups: one drawn for each shared shingle, and each other that has it."""
-    drawn = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "g").alias("h"), "g", "n", "pos")).alias("d"))
+    """Pairs (x, y) of groups: one for each shared shingle, and each other that has it.
+
+    The one is where the shingle stands first: what stands before a common shingle are mostly changes that no
+    other document has, so it is the least changed copy, which most of the others are linked to.
+    """
+    drawn = shared.groupBy("token").agg(F.min(F.struct("pos", F.xxhash64("token", "g").alias("h"), "g", "n")).alias("d"))
     drawn = drawn.select("token", F.col("d.g").alias("dg"), F.col("d.n").alias("dn"), F.col("d.pos").alias("dpos"))
     hits = shared.join(drawn, "token").where((F.col("g") != F.col("dg")) & _can_link(F.col("n"), F.col("pos"), F.col("dn"), F.col("dpos"), percent))
     return hits.select(F.least("g", "dg").alias("x"), F.greatest("g", "dg").alias("y")).distinct()
