@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkgauge.llm.tokens import TokenBytes
+from linkgauge.llm.tokens import worker_tokens
 from linkgauge.session import materialize
 
 CAPACITY = 2048
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str =
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TokenBytes(tokenizer)
+        encode = worker_tokens(tokenizer)
         for batch in batches:
             out: list[list] = [[] for _ in fields]
             for doc, row, value in zip(batch["key"].to_pylist(), batch["row"].to_pylist(), batch["text"], strict=True):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import unicodedata
@@ -17,6 +18,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@functools.lru_cache(maxsize=1)
+def worker_tokens(path: str) -> TokenBytes:
+    """The one tokenizer of this Python worker, with what it remembers from earlier tasks."""
+    return TokenBytes(path)
+
+
 class TokenBytes:
     """Little-endian unsigned 32-bit ids of a text as bytes.
 
@@ -24,7 +31,7 @@ class TokenBytes:
     the other. Chunks and their pieces are remembered, and the memo is emptied when it is full.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         import json

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkgauge.llm.text import mix
-from linkgauge.llm.tokens import TokenBytes
+from linkgauge.llm.tokens import worker_tokens
 from linkgauge.session import materialize
 
 LENGTH = 2048
@@ -61,7 +61,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int
     kinds = [pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, block, number = TokenBytes(tokenizer), TaskContext.get().partitionId(), 0
+        encode, block, number = worker_tokens(tokenizer), TaskContext.get().partitionId(), 0
         shrink, full = zstandard.ZstdCompressor(level=3), 4 * length
         end = int(end_id).to_bytes(4, "little")
         rows: list[tuple] = []
@@ -107,15 +107,16 @@ def with_slots(rows: DataFrame, key: int = KEY) -> tuple[DataFrame, int]:
     counts = sorted((r.block, r.n) for r in rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect())  # one row for each block
     firsts = np.cumsum([0, *(n for _, n in counts)])
     total = int(firsts[-1])
-    starts = rows.sparkSession.createDataFrame([(b, int(f)) for (b, _), f in zip(counts, firsts, strict=False)], "block int, first long")
+    # two numbers for each block, that is, for each input partition
+    starts = rows.sparkSession.sparkContext.broadcast((np.array([b for b, _ in counts]), firsts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, first = starts.value
         for batch in batches:
-            numbers = batch["first"].to_numpy() + batch["number"].to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(feistel(numbers, total, key))], names=[*batch.schema.names[:-1], "slot"])
+            numbers = first[np.searchsorted(blocks, batch["block"].to_numpy())] + batch["number"].to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(feistel(numbers, total, key))], names=[*batch.schema.names, "slot"])
 
-    given = rows.join(starts, "block").select("block", "number", "tokens", "doc_ids", "ids", "first")
-    return given.mapInArrow(run, "block int, number long, tokens int, doc_ids array<long>, ids binary, slot long"), total
+    return rows.select("block", "number", "tokens", "doc_ids", "ids").mapInArrow(run, "block int, number long, tokens int, doc_ids array<long>, ids binary, slot long"), total
 
 
 def write_shards(slotted: DataFrame, total: int, path: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
