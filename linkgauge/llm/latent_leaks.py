@@ -25,24 +25,24 @@ SEED = 11
 RANK, EXTRA = 128, 16  # latent dimensions, and more directions for the sketch
 PASSAGE = 32  # words of the passages that the latent space is fitted to
 WINDOWS = (24, 40, 72)  # window sizes; an item is searched in the least that is no shorter than it
-COSINE = 0.5
+COSINE = 0.25
 COMMON_SHARE = 0.005  # words in more documents than this share say little
 RAREST = 8  # but the rarest words of an item always count
 NEAR_COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.6  # shares of an item's telling words found in order
 MAX_TERMS = 2_000_000  # bound of what is sent to every task: terms and items, see items_of
-EDGES = b".,;:!?\"'()[]{}<>*#$%&|-_=/\\"
+EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_=/\\"
 
 
-def plain(word: bytes) -> bytes:
-    """A word without punctuation at its ends."""
-    return word.strip(EDGES)
+def plain(word: str) -> str:
+    """A word without case and without punctuation at its ends."""
+    return word.casefold().strip(EDGES)
 
 
 @dataclass
 class Items:
     ids: list[int]
     words: list[np.ndarray]  # term numbers, in order
-    terms: dict[bytes, int]
+    terms: dict[str, int]
 
 
 def items_of(benchmark: DataFrame, key: str, text: str) -> Items:
@@ -52,10 +52,10 @@ def items_of(benchmark: DataFrame, key: str, text: str) -> Items:
     size = rows.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
     if size > MAX_TERMS:
         raise ValueError(f"the benchmark has {size} words; pass parts of at most {MAX_TERMS}")
-    terms: dict[bytes, int] = {}
+    terms: dict[str, int] = {}
     ids, words = [], []
     for k, t in sorted(map(tuple, rows.distinct().collect())):
-        found = [terms.setdefault(w, len(terms)) for w in map(plain, t.encode("utf-8", "surrogatepass").lower().split()) if w]
+        found = [terms.setdefault(w, len(terms)) for w in map(plain, t.split()) if w]
         if found:
             ids.append(k)
             words.append(np.array(found, dtype=np.int32))
@@ -65,11 +65,11 @@ def items_of(benchmark: DataFrame, key: str, text: str) -> Items:
 class _Terms(dict):
     """Word to term number, -1 for words outside the benchmark; emptied when full."""
 
-    def __init__(self, terms: dict[bytes, int], most: int = 500_000):
+    def __init__(self, terms: dict[str, int], most: int = 500_000):
         super().__init__()
         self.terms, self.most = terms, most
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: str) -> int:
         value = self.terms.get(plain(word), -1)
         if len(self) >= self.most:
             self.clear()
@@ -88,7 +88,7 @@ def term_rows(docs: DataFrame, items: Items, key: str, text: str) -> DataFrame:
                 part = batch.slice(start, 500)
                 found, ends = [], [0]
                 for value in part["text"]:
-                    words = value.as_py().encode("utf-8", "surrogatepass").lower().split()
+                    words = value.as_py().split()
                     found.append(np.fromiter(map(memo.__getitem__, words), dtype=np.int32, count=len(words)))
                     ends.append(ends[-1] + len(words))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
@@ -305,4 +305,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """``docs`` without the rows that leak an item."""
     found = materialize(leaks(docs, benchmark, key, text), "leaks").select(F.col("k").alias("__k"), F.col("t1").alias("__1"), F.col("t2").alias("__2")).distinct()
     t1, t2, _ = text_key(text)
-    return docs.join(found, F.col(key).cast("long").eqNullSafe(F.col("__k")) & (t1 == F.col("__1")) & (t2 == F.col("__2")), "left_anti")
+    # a join by shuffle at every size: what is sent of the texts grows with them alone
+    return docs.join(found.hint("merge"), F.col(key).cast("long").eqNullSafe(F.col("__k")) & (t1 == F.col("__1")) & (t2 == F.col("__2")), "left_anti")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgauge.llm.components import components
-from linkgauge.llm.text import WordHashes, split_words, text_key, window_hashes
+from linkgauge.llm.text import WHITE, WordHashes, split_words, text_key, window_hashes
 from linkgauge.session import materialize
 
 WORDS = 5
@@ -275,10 +275,14 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     Of several rows with that key and equal text one stays; rows without words all stay; where a
     component has null keys alone, its smallest text hash stays.
     """
-    found = near_duplicates(docs, key, text, size, percent)
+    found = materialize(near_duplicates(docs, key, text, size, percent), "components")
     linked = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() & F.col("component_id").isNotNull())
     gone = linked.select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    # a join by shuffle at every size: what is sent of the texts grows with them alone
+    kept = docs.join(gone.hint("merge"), F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_anti")
     tall = F.xxhash64(*text_key(text))
+    # texts move a second time only where rows repeat
+    if found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
     repeated = Window.partitionBy(key, tall).orderBy(F.lit(0))
-    return kept.withColumn("__k", F.when(F.trim(text) != "", F.row_number().over(repeated)).otherwise(1)).where("__k = 1").drop("__k")
+    return kept.withColumn("__k", F.when(F.length(F.translate(text, WHITE, "")) > 0, F.row_number().over(repeated)).otherwise(1)).where("__k = 1").drop("__k")
