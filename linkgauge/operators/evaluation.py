@@ -157,8 +157,9 @@ def sla_confusion(
 
 
 def class_order(qos_class: Column) -> Column:
-    """Sort key: Gold, Silver, Bronze, others."""
-    return F.coalesce(F.array_position(F.array(*[F.lit(c) for c in CLASSES]), qos_class), F.lit(0))
+    """Sort key for reports: Gold, Silver, Bronze, others last."""
+    place = F.array_position(F.array(*[F.lit(c) for c in CLASSES]), qos_class)
+    return F.when(place > 0, place).otherwise(F.lit(len(CLASSES) + 1))
 
 
 def threshold_sweep(

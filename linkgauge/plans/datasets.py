@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkgauge.functions.numeric import number_in_text, whole
 from linkgauge.operators.delays import flow_rows
 from linkgauge.operators.flows import RAW_COLUMNS, flow_features
 from linkgauge.operators.links import CONFIG_KEYS, delay_by_config, link_features, unpivot_directions
@@ -90,6 +91,13 @@ def clean_datasets(
     return align_columns(summaries)
 
 
+def typed_keys(df: DataFrame, bandwidth: str) -> DataFrame:
+    """Configuration keys of text files as numbers, so that ``20`` and ``20.0`` meet; a ratio may be a word."""
+    keys = {c: whole(number_in_text(F.col(c))).cast("int") for c in (bandwidth, "slots", "rep") if c in df.columns}
+    ratio = F.coalesce(number_in_text(F.col("ratio")).cast("string"), F.col("ratio"))
+    return df.withColumns({**keys, "ratio": ratio})
+
+
 def load_throughput(spark: SparkSession, folder: str) -> DataFrame:
     """Throughput files of all testbeds that exist, with provenance columns."""
     frames = []
@@ -100,7 +108,7 @@ def load_throughput(spark: SparkSession, folder: str) -> DataFrame:
                 "testbed": F.lit(testbed), "source_file": F.lit(path.rsplit("/", 1)[-1])}))
     if not frames:
         raise FileNotFoundError(f"no throughput files found in {folder}")
-    return align_columns(frames)
+    return typed_keys(align_columns(frames), "bw")
 
 
 def load_packets(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -113,7 +121,7 @@ def load_packets(spark: SparkSession, folder: str) -> DataFrame | None:
                 F.lit(testbed).alias("testbed"), "gnb", "sdr", F.col("bw").alias("bw_mhz"), "slots", "ratio",
                 "direction", F.col("Timestamp").try_cast("double").alias("epoch"),
                 F.col("iat").try_cast("double").alias("iat")))
-    return align_columns(frames) if frames else None
+    return typed_keys(align_columns(frames), "bw_mhz") if frames else None
 
 
 def prepare_link_dataset(
@@ -132,9 +140,11 @@ def prepare_flow_dataset(
 ) -> DataFrame:
     """Flow CSV files to the flow feature table, optionally an even sample per file.
 
-    Only the needed columns of each layout are read.
+    Unreadable CSV files stop the job. Whole rows are parsed (a pruned parse misses rows that are too long).
     """
-    readable, _ = probed_files(spark, folder)
+    readable, errors = probed_files(spark, folder)
+    if errors := [e for e in errors if e[1].lower().endswith(".csv")]:
+        raise ValueError(f"unreadable files: {[e[1] for e in errors]}")
     layouts: dict[str, list[str]] = {}
     for files in readable.values():
         for entry in files:

@@ -87,3 +87,18 @@ def test_signed_rank_method_is_the_callers(spark, method):
         ranks, smaller = [1, 2, 3, 4.5, 4.5, 6], 3
         sums = [sum(r for k, r in enumerate(ranks) if bits >> k & 1) for bits in range(64)]
         assert row.wilcoxon_p == pytest.approx(min(1.0, 2 * sum(s <= smaller for s in sums) / 64))
+
+
+def test_link_keys_meet_whatever_their_writing(spark):
+    from linkgauge.plans.datasets import typed_keys
+
+    rows = [("20", "2.0", "1", "0.50"), ("20.0", "2", "1.0", ".5"), ("x", None, "1", "DDSU")]
+    out = typed_keys(spark.createDataFrame(rows, "bw string, slots string, rep string, ratio string"), "bw").collect()
+    assert out[0] == out[1] == (20, 2, 1, "0.5") and out[2] == (None, None, 1, "DDSU")
+
+
+def test_other_classes_come_last(spark):
+    from linkgauge.operators.evaluation import class_order
+
+    df = spark.createDataFrame([("tos_3",), ("Bronze",), ("Gold",), (None,), ("Silver",)], "c string")
+    assert [r.c for r in df.orderBy(class_order(F.col("c")), F.col("c").desc()).collect()] == ["Gold", "Silver", "Bronze", "tos_3", None]
