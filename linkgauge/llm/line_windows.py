@@ -69,7 +69,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     gone = materialize(covered_lines(docs, key, text, width), "lines").select(
         F.col("k").alias("__k"), F.col("t1").alias("__1"), F.col("t2").alias("__2"), F.col("places").alias("__p"))
     same = (F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text) == F.col("__1")) & (F.xxhash64(F.lit(7), F.col(text)) == F.col("__2")))
-    joined = docs.join(gone, same, "left")
+    # a join by shuffle at every size: what is sent of the texts grows with them alone
+    joined = docs.join(gone.hint("merge"), same, "left")
     # hash-based difference of places: long texts cost their length
     lines = F.split(F.col(text), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__p"))
