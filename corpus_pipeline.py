@@ -9,21 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgauge.llm import latent_leaks, line_frequency, line_windows, packing, prefix_join
+from linkgauge.llm.text import spare_name
 from linkgauge.llm.tokens import default_tokenizer
 from linkgauge.session import materialize
 
 
-def _with_text(docs: DataFrame, columns: list[str], text) -> DataFrame:
-    """``columns`` with a new text and, where the table has it, the length that belongs to it."""
+def _with_text(docs: DataFrame, columns: list[str], text, *more) -> DataFrame:
+    """``columns`` with a new text and, where the table has it, the length that belongs to it; and ``more``."""
     changed = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in columns else {})
-    return docs.select([changed.get(c, F.col(c)).alias(c) for c in columns])
+    return docs.select([changed.get(c, F.col(c)).alias(c) for c in columns] + list(more))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without their boilerplate lines."""
     judged = line_frequency.judge(docs)
-    verdict = F.col(judged.columns[-1])
-    return _with_text(judged.where(verdict["kept"]), docs.columns, verdict["clean_text"])
+    verdict, kept = F.col(judged.columns[-1]), spare_name(docs, "kept")
+    clean = _with_text(judged, docs.columns, verdict["clean_text"], verdict["kept"].alias(kept))
+    # written before it is filtered: Catalyst would count every text again for each term of the condition
+    return materialize(clean, "judged").where(kept).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
