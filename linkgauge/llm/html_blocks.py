@@ -23,6 +23,8 @@ FEATURES = ["words", "links", "prev_words", "prev_links", "next_words", "next_li
 
 # HTML elements by their role in the page
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select", "button", "math", "audio", "video", "title", "datalist"}
+# Of these, the ones whose content is no markup: only their own end tag ends them
+RAW_TEXT = {"script", "style", "noscript", "iframe", "textarea", "title"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
           "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend",
           "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
@@ -41,6 +43,7 @@ CHROME_WORDS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumb
 ARTICLE_WORDS = {"article", "content", "post", "entry", "story", "main"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>|<[!?/][^>]*+>""", re.DOTALL)
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.IGNORECASE) for tag in [*RAW, "head"]}
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 _WORD = re.compile("[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -59,6 +62,16 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     return article and not chrome, chrome, hidden
 
 
+def _end_of(tag: str, page: str, start: int, in_head: bool) -> int:
+    """Behind the end tag of a raw element whose content begins at ``start``; -1 without one.
+
+    A title without its end tag doesn't reach beyond the head.
+    """
+    head = _END["head"].search(page, start) if in_head and tag == "title" else None
+    end = _END[tag].search(page, start, head.start() if head else len(page))
+    return end.end() if end else -1
+
+
 def blocks_of(page: str | None) -> list[tuple[str, list[float]]]:
     """(text, features) of each block with text, in page order; none for null or empty pages.
 
@@ -68,7 +81,8 @@ def blocks_of(page: str | None) -> list[tuple[str, list[float]]]:
     found: list[list] = []  # text, words, link words, in_article, in_chrome, heading
     text: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, in article, in chrome, hidden
-    links, heading, raw, at, page = 0, "", "", 0, page or ""
+    links, heading, raw, outer, at, page = 0, "", "", "", 0, page or ""
+    position, unclosed = 0, set()
 
     def state() -> tuple[bool, bool, bool]:
         return stack[-1][1:] if stack else (False, False, False)
@@ -86,7 +100,8 @@ def blocks_of(page: str | None) -> list[tuple[str, list[float]]]:
                 found.append([whole, n, min(1.0, linked / n), article, chrome and not titled, bool(heading)])
             text = []
 
-    for token in _TOKEN.finditer(page):
+    while token := _TOKEN.search(page, position):
+        position = token.end()
         if token.start() > at and not raw:
             text.append((page[at : token.start()], links > 0))
         if not raw or token[1] and token[2].lower() == raw:
@@ -96,12 +111,25 @@ def blocks_of(page: str | None) -> list[tuple[str, list[float]]]:
             continue
         if raw == "head" and not closing and tag in BLOCKS:  # a head without its end tag
             raw, at = "", token.end()
+        opens = tag in RAW and not closing and not token[3].endswith("/")
         if raw:
             if closing and tag == raw:
-                raw = ""
+                raw, outer = outer, ""
+            elif opens and tag not in unclosed and (raw == "head" or tag in ("script", "style")):
+                end = _end_of(tag, page, position, raw == "head")
+                if end < 0:
+                    unclosed.add(tag)
+                elif tag in RAW_TEXT:
+                    position = end
+                else:
+                    raw, outer = tag, raw
             continue
         if tag in RAW:
-            if not closing and not token[3].endswith("/"):
+            if opens and tag in RAW_TEXT:
+                at = position = _end_of(tag, page, position, False)
+                if at < 0:
+                    at = position = len(page)
+            elif opens:
                 raw = tag
             continue
         if tag == "head":

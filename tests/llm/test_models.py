@@ -32,6 +32,18 @@ def test_main_text(spark, tree, page, expected):
     assert text_of(spark, tree, page) == expected
 
 
+@pytest.mark.parametrize("page", [
+    f"<article><p>First.</p><script>for(i=0;i<n;i++){{x();}}</script><p>{PROSE}</p></article>",
+    f"<article><p>First.</p><SCRIPT>if (a<b) y()</Script ><p>{PROSE}</p><script>z()</script></article>",
+    f"<head><title>a <div> b</title><script>document.write('<div>x')</script></head><body><article><p>First.</p><p>{PROSE}</p></article>",
+    f"<head><template><div>x</div></template><style>a>b{{}}</style><body><article><p>First.</p><p>{PROSE}</p></article>",
+    f"<head><title>no end</head><body><article><p>First.</p><svg><style>a<b</style><title>x</title></svg><p>{PROSE}</p></article>",
+    f"<article><p>First.</p><style>/* </stylex> <p> */</style/><textarea><p>x</textarea><p>{PROSE}</p></article>",
+])
+def test_raw_elements_end_at_their_own_end_tag(page):
+    assert [text for text, _ in html_blocks.blocks_of(page)] == ["First.", PROSE]
+
+
 def test_long_pages_are_whole(spark, tree):
     page = "<article>" + "".join(f"<p>{PROSE} number {i}</p>" for i in range(5000)) + "</article>"
     assert text_of(spark, tree, page) == "\n".join(f"{PROSE} number {i}" for i in range(5000))
