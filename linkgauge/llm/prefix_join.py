@@ -80,7 +80,7 @@ def most_common(x: bytes, y: bytes) -> int:
 
 
 def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """doc_id, n, cid (128-bit hash of the set), gid (of prefix and size), prefix, cells (histogram) for each row."""
+    """doc_id, t1, t2 (text hashes), n, cid (128-bit hash of the set), gid (of prefix and size), prefix, cells (histogram) for each row."""
     common = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,12 +104,13 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int) -> D
             lengths = np.cumsum([0, *map(len, rows[3])])
             flat = np.concatenate([*rows[3], np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary()),
+                [batch["doc_id"], batch["t1"], batch["t2"], pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary()),
                  pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat)), pa.array(rows[4], pa.binary())],
-                names=["doc_id", "n", "cid", "gid", "prefix", "cells"])
+                names=["doc_id", "t1", "t2", "n", "cid", "gid", "prefix", "cells"])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, cid binary, gid binary, prefix array<long>, cells binary")
+    t1, t2, _ = text_key(text)
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, cid binary, gid binary, prefix array<long>, cells binary")
 
 
 def whole_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -198,6 +199,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     nulls could give is null. Null, empty and word-free texts have the empty set, are linked with nothing
     and stand for themselves. Repeated rows each stay. Other columns are not read.
     """
+    return _labelled_rows(docs, key, text, size, percent).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+def _labelled_rows(docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """The columns of ``near_duplicates``, t1, t2, and chosen: whether the row stands for its component."""
     rows = materialize(prefixes(docs, key, text, size, percent), "prefixes")
     full = rows.where(F.col("n") > 0)
     g64 = F.xxhash64("gid").alias("g")
@@ -257,32 +263,36 @@ def _left_over(shared: DataFrame, members: DataFrame, parts: DataFrame, percent:
 
 
 def _labelled(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    known = rows.select("doc_id", "n", "cid").join(parts, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    known = rows.select("doc_id", "t1", "t2", "n", "cid").join(parts, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     full = known.where(F.col("n") > 0)
-    classes = full.groupBy("cid", "comp").agg(F.min("doc_id").alias("class_id"))
-    whole = classes.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    ids = classes.join(whole, "comp").select(F.col("cid").alias("c"), "class_id", "component_id")
+    # ids may be null or repeat, so a row is known by id and text
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
+    classes = full.groupBy("cid", "comp").agg(F.min("doc_id").alias("class_id"), F.min(row).alias("least"))
+    whole = classes.groupBy("comp").agg(F.min("class_id").alias("component_id"), F.min("least").alias("least"))
+    ids = classes.drop("least").join(whole, "comp").select(F.col("cid").alias("c"), "class_id", "component_id", "least")
     empty = F.col("n") == 0
     return known.join(ids, (F.col("cid") == F.col("c")) & ~empty, "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+        F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "t1", "t2", (empty | row.eqNullSafe(F.col("least"))).alias("chosen"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component of near duplicates: the one whose key is its id.
 
-    Of several rows with that key and equal text one stays; rows without words all stay; where a
-    component has null keys alone, its smallest text hash stays.
+    Of several texts with that key the one with the smallest hash stays, of several rows with that key and equal
+    text one; where a component has null keys alone, its smallest text hash stays. Rows without words all stay.
     """
-    found = materialize(near_duplicates(docs, key, text, size, percent), "components")
-    linked = found.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id")) | F.col("doc_id").isNull() & F.col("component_id").isNotNull())
-    gone = linked.select(F.col("doc_id").alias("__id")).distinct()
+    found = materialize(_labelled_rows(docs, key, text, size, percent).select("doc_id", "n_shingles", "t1", "t2", "chosen"), "components")
+    gone = found.where(~F.col("chosen")).select(F.col("doc_id").alias("__id"), F.col("t1").alias("__1"), F.col("t2").alias("__2")).distinct()
+    t1, t2, _ = text_key(text)
     # a join by shuffle at every size: what is sent of the texts grows with them alone
-    kept = docs.join(gone.hint("merge"), F.col(key).cast("long").eqNullSafe(F.col("__id")), "left_anti")
-    tall = F.xxhash64(*text_key(text))
+    kept = docs.join(gone.hint("merge"), F.col(key).cast("long").eqNullSafe(F.col("__id")) & (t1 == F.col("__1")) & (t2 == F.col("__2")), "left_anti")
     # texts move a second time only where rows repeat
-    if found.where("n_shingles > 0").groupBy("doc_id").count().where("count > 1").isEmpty():
+    if found.where("n_shingles > 0 AND chosen").groupBy("doc_id", "t1", "t2").count().where("count > 1").isEmpty():
         return kept
-    repeated = Window.partitionBy(key, tall).orderBy(F.lit(0))
-    return kept.withColumn("__k", F.when(F.length(F.translate(text, WHITE, "")) > 0, F.row_number().over(repeated)).otherwise(1)).where("__k = 1").drop("__k")
+    # equal rows are merged before they are sent, rows without words have a number each
+    worded = F.length(F.translate(text, WHITE, "")) > 0
+    told = kept.withColumns({"__k": F.col(key).cast("long"), "__1": t1, "__2": t2, "__n": F.when(worded, -1).otherwise(F.monotonically_increasing_id())})
+    return told.dropDuplicates(["__k", "__1", "__2", "__n"]).drop("__k", "__1", "__2", "__n")

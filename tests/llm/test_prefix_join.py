@@ -78,6 +78,21 @@ def test_one_of_each_and_empty_tables(spark):
     assert prefix_join.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_by_key_and_text(spark):
+    words = lambda start, n=50: " ".join(f"w{i}" for i in range(start, start + n))
+    kept = lambda rows: sorted(map(tuple, prefix_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    copied, near, other, third = words(0), words(0) + " changed", words(100), words(200)
+    # a copy without a key takes no other row without a key along
+    rows = [(1, copied), (None, near), (None, other), (None, None), (None, ""), (None, "")]
+    assert kept(rows) == sorted([rows[0], *rows[2:]], key=repr)
+    # nor does a copy take another text with its key along
+    assert kept([(1, copied), (2, near), (2, other)]) == sorted([(1, copied), (2, other)], key=repr)
+    # near copies without a key, or with one key: one stays, equal rows too
+    for key in (None, 4):
+        left = kept([(key, copied), (key, near), (key, near), (key, copied), (key, third), (key, " "), (key, " ")])
+        assert len(left) == 4 and left.count((key, " ")) == 2 and (key, third) in left
+
+
 def test_histogram_bounds_the_overlap():
     random_set = lambda n, s: np.unique(np.random.default_rng(s).integers(0, 2**63, n).astype(np.uint64))
     for s in range(20):
