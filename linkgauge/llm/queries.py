@@ -27,10 +27,19 @@ def op3_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+VERDICTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]
+
+
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the limits of its SQL: more than 20 texts of a host, lines of up to 20 words."""
+    judged = line_frequency.judge(table(spark, sf_dir, "documents"), max_percent=0, long_lines=False)
+    return judged.select("doc_id", *[F.col("quality")[n].alias(n) for n in VERDICTS])
+
+
+def op4_line_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As in the pipeline: a share of the host's texts, lines of every length."""
     judged = line_frequency.judge(table(spark, sf_dir, "documents"))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]
-    return judged.select("doc_id", *[F.col("quality")[n].alias(n) for n in names])
+    return judged.select("doc_id", *[F.col("quality")[n].alias(n) for n in VERDICTS])
 
 
 def op5_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +75,7 @@ def op10_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), model).select("page_id", "url_filter.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_forest, op2_latent_leaks, op3_grouped_prefix_join, op4_line_frequency, op5_text_blocks, op6_training_order, op7_best_fit_packing, op8_line_windows, op9_communication_matrix, op10_url_trees)}
+QUERIES = {f.__name__: f for f in (op1_secret_forest, op2_latent_leaks, op3_grouped_prefix_join, op4_line_frequency, op4_line_share, op5_text_blocks, op6_training_order, op7_best_fit_packing, op8_line_windows, op9_communication_matrix, op10_url_trees)}
 
 OP4_SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, text IS NULL AS absent FROM documents),

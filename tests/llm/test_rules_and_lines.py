@@ -1,6 +1,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from linkgauge.llm import line_frequency, line_windows, queries
 
@@ -53,6 +54,26 @@ def test_copies_of_a_text_count_once(spark):
     assert {r.kept for r in out.select("quality.kept").collect()} == {True}
 
 
+def test_lines_are_judged_by_their_share_of_the_host(spark):
+    prose = lambda i: "\n".join(f"a{i}x{k} b{i}x{k} c{i}x{k}" for k in range(20))
+    rows = [(i, prose(i) + ("\nand so it was" if i < 30 else "") + ("\nall rights reserved" if i % 10 == 0 else ""), h) for h in ("big", None) for i in range(1000)]
+    rows += [(i, prose(i) + ("\nand so it was" if i < 30 else ""), "small") for i in range(100)]
+    out = line_frequency.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    lost = {(r.source, r.doc_id): r.n for r in out.select("source", "doc_id", F.col("quality.n_removed_words").alias("n")).collect()}
+    for host in ("big", None):
+        assert all(lost[host, i] == (3 if i % 10 == 0 else 0) for i in range(1000))
+    assert all(lost["small", i] == (4 if i < 30 else 0) for i in range(100))
+
+
+def test_long_lines_stay_once(spark):
+    notes = [" ".join(f"{x}{i}" for i in range(40)) for x in "pq"]
+    rows = [(i, "\n".join([notes[0], f"{LONG} {i}", notes[1]]), "h") for i in range(30)]
+    out = line_frequency.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", "text", "quality.*").collect()
+    whole = [r for r in out if r.clean_text == r.text]
+    assert len(whole) == 1 and whole[0].n_removed_words == 0 and all(r.kept for r in out)
+    assert all(r.clean_text == f"{LONG} {r.doc_id}" and r.n_removed_words == 80 for r in out if r is not whole[0])
+
+
 def test_quality_rules_match_sql(spark, docs):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]
     ours = line_frequency.judge(docs).selectExpr("doc_id", *[f"_quality.{n}" for n in names])
