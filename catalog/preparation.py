@@ -282,6 +282,22 @@ def classify_by_application(spark, sf):
         F.count("*").alias("n"))
 
 
+@query("classify_qos_all_applications", f"""
+WITH raw AS ({FLOW_SQL}), p AS (SELECT row_id, destination_port, {PROTOCOL_SQL} AS protocol, {APPLICATION_SQL} AS application FROM raw),
+rules(qos, ord, proto, lo, hi) AS (VALUES {POLICY_ROWS}),
+q AS (SELECT p.row_id, p.application, coalesce(arg_min(r.qos, r.ord), 'Bronze') AS by_port FROM p
+  LEFT JOIN rules r ON p.protocol = r.proto AND coalesce(p.destination_port, -1) BETWEEN r.lo AND r.hi GROUP BY 1, 2)
+SELECT application, CASE WHEN application IN ('voice', 'video', 'dns') THEN 'Gold'
+ WHEN application IN ('web', 'ssh', 'database', 'mail') THEN 'Silver' WHEN application = 'other' THEN by_port ELSE 'Bronze' END AS qos_class,
+ count(*) AS n FROM q GROUP BY 1, 2""")
+def classify_all_applications(spark, sf):
+    """Every row; applications without a class of their own take that of protocol and port."""
+    port = F.col("destination_port")
+    tagged = flow_records(spark, sf).select(rules.infer_application(port).alias("application"), rules.infer_protocol(port).alias("protocol"), port)
+    qos = rules.classify_qos(F.col("application"), F.col("protocol"), port)
+    return tagged.select("application", qos.alias("qos_class")).groupBy("application", "qos_class").agg(F.count("*").alias("n"))
+
+
 FLOW_FEATURE_SQL = f"""
 WITH raw AS ({FLOW_SQL}), b AS (SELECT *, CASE WHEN isinf(bytes_per_sec) THEN NULL ELSE bytes_per_sec END * 8 / 1e6 AS mbps,
   replace(trim(coalesce(label, 'nan')), '�', '-') AS attack_label FROM raw),
@@ -461,6 +477,19 @@ def link_features_quick(spark, sf):
         F.sum("bandwidth_utilization_percent").alias("utilization")), 4)
 
 
+@query("link_features_without_packets_rows", f"""
+WITH w AS ({THROUGHPUT_SQL}), s AS (
+ SELECT source_file, 'uplink' AS direction, mbpsactual_uplink AS a, meanjitterms_uplink AS j, meanloss_uplink AS l, mbpsoffered_uplink AS o FROM w UNION ALL
+ SELECT source_file, 'downlink', mbpsactual_downlink, meanjitterms_downlink, meanloss_downlink, mbpsoffered_downlink FROM w)
+SELECT source_file, direction, -1e0 AS latency_ms, round(j, 9) AS jitter_ms, round(least(100e0, greatest(0e0, l * 100)), 9) AS packet_loss_percent,
+ round(least(100e0, greatest(0e0, o / 150e0 * 100)), 9) AS bandwidth_utilization_percent, round(a, 9) AS actual_throughput_mbps FROM s""")
+def link_features_rows(spark, sf):
+    """Every row of both directions."""
+    table_ = links.link_features(links.unpivot_directions(throughput_wide(spark, sf)), None)
+    return rounded(table_.select("source_file", "direction", "latency_ms", "jitter_ms", "packet_loss_percent",
+                                 "bandwidth_utilization_percent", "actual_throughput_mbps"), 9)
+
+
 @query("clip_and_ratio", f"""
 WITH w AS ({THROUGHPUT_SQL}) SELECT order_id,
  CASE WHEN meanjitterms_uplink IS NULL THEN NULL ELSE round(least(3e0, greatest(1e0, meanjitterms_uplink)), 6) END AS clipped,
