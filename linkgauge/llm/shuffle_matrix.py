@@ -41,19 +41,27 @@ def draw(counts: list[int], sizes: list[int], seed: list[int]) -> np.ndarray:
 
 
 def _hypergeometric(random: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """numpy draws up to 1e9 rows a side; larger ones as the sum of draws from halves."""
+    """numpy draws up to 1e9 rows a side, larger ones are drawn by inversion: both follow the law exactly."""
     if n == 0 or good == 0:
         return 0
     if bad == 0:
         return n
     if good + bad < 1_000_000_000:
         return int(random.hypergeometric(good, bad, n))
-    # rows that come from the first half of all, by a normal with the exact mean and variance, then each half exactly
-    total, g1, b1 = good + bad, good // 2, bad // 2
-    p = (g1 + b1) / total
-    first = round(random.normal(n * p, (n * p * (1 - p) * (total - n) / max(1, total - 1)) ** 0.5))
-    first = min(max(first, n - (total - g1 - b1), 0), g1 + b1, n)
-    return _hypergeometric(random, g1, b1, first) + _hypergeometric(random, good - g1, bad - b1, n - first)
+    return _by_inversion(random, good, bad, n)
+
+
+def _by_inversion(random: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """Chances relative to the likeliest number, by the ratio of neighbours, over all that a 53-bit uniform can meet."""
+    total = good + bad
+    mode = (n + 1) * (good + 1) // (total + 2)
+    width = 50 + int(12 * (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5)
+    low, high = max(0, n - bad, mode - width), min(good, n, mode + width)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log((good - k) * (n - k) / ((k + 1) * (bad - n + k + 1)))
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    chances = np.cumsum(np.exp(logs - logs.max()))
+    return low + min(int(np.searchsorted(chances, random.random() * chances[-1], side="right")), high - low)
 
 
 def plan_exchange(blocks: DataFrame, shards: int, seed: int = SEED) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pytest
@@ -130,3 +131,20 @@ def test_shards_round_trip(spark, tmp_path):
     assert parts == pieces and not open_part
     empty = str(tmp_path / "none")
     assert training_order.materialise(docs.limit(0), default_tokenizer(), empty).count() == 0 and list(training_order.read_from(empty)) == []
+
+
+def test_large_draws_follow_the_law():
+    """Inversion agrees with the law at small sizes, and huge draws need no normal."""
+    class Uniform:
+        def random(self):
+            return self.at
+
+    draw = Uniform()
+    for good, bad, n in ((7, 9, 5), (3, 20, 21), (40, 2, 30)):
+        seen = []
+        for draw.at in (np.arange(20_000) + 0.5) / 20_000:
+            seen.append(shuffle_matrix._by_inversion(draw, good, bad, n))
+        for k in range(n + 1):
+            assert abs(seen.count(k) / 20_000 - comb(good, k) * comb(bad, n - k) / comb(good + bad, n)) < 2e-4
+    draw.at = 0.5
+    assert abs(shuffle_matrix._hypergeometric(draw, 2_000_000_000, 6_000_000_000, 4_000_000_000) - 1_000_000_000) < 10
