@@ -92,6 +92,29 @@ def hash_take(df: DataFrame, key: str, quota: Column, by: list[str] | None = Non
     )
 
 
+def range_positions(df: DataFrame, *order: Column, part: str = "_part", place: str = "_place") -> DataFrame:
+    """``df`` written in order: ``part`` numbers ascending ranges, ``place`` counts rows (from 0) inside one.
+
+    Spark samples the order and cuts ranges of about equal size, so a hot value is split wherever the columns
+    after it differ. ``df`` is read twice; give it written.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = ranged.select(
+        "*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(place))
+    return materialize(numbered, "ranges")
+
+
+def part_offsets(placed: DataFrame, by: list[str], part: str = "_part", place: str = "_place") -> DataFrame:
+    """``by``, part, _first (place of the group's first row in that part), _before (its rows in earlier parts).
+
+    One row for each group and part it has rows in: at most groups plus parts. A row's rank in its group, from 0,
+    is ``_before + place - _first``.
+    """
+    cells = placed.groupBy(*by, part).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(_running(by, part)) - F.col("_rows")
+    return cells.withColumn("_before", before).drop("_rows")
+
+
 def with_range_bucket(df: DataFrame, value: str, name: str = "_range", buckets: int | None = None) -> DataFrame:
     """Add a bucket number that never decreases with the value, about equally many rows in each.
 
