@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkgauge.llm import html_blocks, latent_leaks, line_frequency, line_windows, packing, prefix_join, secret_forest, shuffle_matrix, training_order, url_trees
+from linkgauge.llm import html_blocks, latent_leaks, line_frequency, line_windows, mixing, packing, prefix_join, prefix_trie, secret_forest, shuffle_matrix, spelling, training_order, url_trees
 from linkgauge.llm.tokens import default_tokenizer
 from linkgauge.session import scratch_path
 
@@ -75,7 +75,21 @@ def op10_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), model).select("page_id", "url_filter.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_forest, op2_latent_leaks, op3_grouped_prefix_join, op4_line_frequency, op4_line_share, op5_text_blocks, op6_training_order, op7_best_fit_packing, op8_line_windows, op9_communication_matrix, op10_url_trees)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    return mixing.mix(sized).select("doc_id", "size", *[F.col("mix")[c].alias(c) for c in ("source_size", "target", "taken", "copies")])
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"), change=lambda run: spelling.misspelt(run, F.col("doc_id"), 199))
+    return spelling.spelling_variants(words)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_forest, op2_latent_leaks, op3_grouped_prefix_join, op4_line_frequency, op4_line_share, op5_text_blocks, op6_training_order, op7_best_fit_packing, op8_line_windows, op9_communication_matrix, op10_url_trees, op11_prefix_trie, op12_systematic_mix, op13_spelling_variants)}
 
 OP4_SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, text IS NULL AS absent FROM documents),
@@ -124,4 +138,21 @@ SELECT s.doc_id, kept.clean AS text, coalesce(kept.n_removed_lines, 0) AS n_remo
 FROM documents s LEFT JOIN kept ON s.doc_id IS NOT DISTINCT FROM kept.doc_id AND s.text = kept.text
 """
 
-SQL = {"op4_line_frequency": OP4_SQL, "op8_line_windows": OP8_SQL}
+OP12_SQL = """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+o AS (SELECT *, 3 * sum(source_size) OVER o - 3 * source_size AS capped, sum(w) OVER () - sum(w) OVER o + w AS shares, sum(source_size) OVER () AS total, row_number() OVER o AS k
+      FROM w WINDOW o AS (ORDER BY 3 * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT * FROM o WHERE (total - capped) * w <= 3 * source_size * shares ORDER BY k LIMIT 1),
+t AS (SELECT o.source, o.source_size,
+      CASE WHEN o.k < f.k THEN (3 * o.source_size)::DOUBLE ELSE ((f.total - f.capped) * o.w)::DOUBLE / f.shares::DOUBLE END AS target FROM o, f),
+e AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size * 4294967296) END::HUGEINT AS step,
+      ('0x' || substr(md5('1:' || coalesce(source, '')), 1, 8))::HUGEINT AS first FROM t),
+r AS (SELECT d.doc_id, d.size, e.source_size, e.target, step, first, row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) - 1 AS i
+      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+c AS (SELECT *, (((i + 1) * step + first) // 4294967296 - (i * step + first) // 4294967296)::BIGINT AS copies FROM r)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
+"""
+
+SQL = {"op12_systematic_mix": OP12_SQL, "op4_line_frequency": OP4_SQL, "op8_line_windows": OP8_SQL}
