@@ -248,7 +248,7 @@ def sim_lines(spark, sf_dir) -> DataFrame:
             f"CASE WHEN {K} % 2 = 0 THEN '.txt' ELSE '' END)").alias("manifest_line"),
     )
     members = [F.struct(F.lit(m).alias("member"), F.col(c).alias("line")) for m, c in MEMBERS.items()]
-    return join_members(wide.select("archive", "line_no", F.inline(F.array(*members))))
+    return join_members(wide.select("archive", "line_no", F.inline(F.array(*members))))[0]
 
 
 PACKET_KEYS_SQL = "testbed, gnb, sdr, bw_mhz, slots, ratio, direction"

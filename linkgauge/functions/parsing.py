@@ -101,7 +101,9 @@ def readable_traffic_line(line: Column) -> Column:
 
 
 def path_nodes(text: Column) -> Column:
-    return F.transform(F.split(F.trim(text), ","), lambda node: F.trim(node).cast("int"))
+    """The node numbers of a comma path; NULL when anything in it is no whole number."""
+    nodes = F.transform(F.split(F.trim(text), ","), lambda node: F.trim(node).try_cast("int"))
+    return F.when(~F.exists(nodes, lambda node: node.isNull()), nodes)
 
 
 def path_hops(nodes: Column) -> Column:
@@ -110,8 +112,9 @@ def path_hops(nodes: Column) -> Column:
 
 
 def weight_list(policy: Column, weights: Column) -> Column:
-    """Queue weights of a node; strict priority gives everything to the first class."""
-    parsed = F.transform(F.split(weights, ","), lambda w: F.trim(w).cast("double"))
+    """Queue weights of a node; strict priority gives everything to the first class. NULL when one is no number."""
+    given = F.transform(F.split(weights, ","), lambda w: F.trim(w).try_cast("double"))
+    parsed = F.when(~F.exists(given, lambda w: w.isNull()), given)
     return F.when(policy == "SP", F.array(F.lit(100.0), F.lit(0.0), F.lit(0.0))).otherwise(parsed)
 
 

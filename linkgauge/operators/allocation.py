@@ -49,7 +49,7 @@ def apply_profiles(pattern: DataFrame, profiles: list[dict[str, float]]) -> Data
     })
 
 
-def class_delay_summary(scored: DataFrame, sla_ms: dict[str, float], buckets: int | None = None) -> DataFrame:
+def class_delay_summary(scored: DataFrame, sla_ms: dict[str, float]) -> DataFrame:
     """Per profile and class: rows, mean, exact p90, largest delay and violation rate.
 
     Classes without an agreement, NULL among them, keep their rows and have no violation rate.
@@ -61,7 +61,7 @@ def class_delay_summary(scored: DataFrame, sla_ms: dict[str, float], buckets: in
         F.count("*").alias("rows"), F.avg("pred_ms").alias("mean_delay_ms"), F.max("pred_ms").alias("max_delay_ms"),
         F.avg((F.col("pred_ms") > limit).cast("double")).alias("violation_rate"),
     )
-    tails = exact_percentiles(known, keys, "pred_ms", {"p90_delay_ms": 0.9}, buckets)
+    tails = exact_percentiles(known, keys, "pred_ms", {"p90_delay_ms": 0.9})
     return null_safe_join(basic, tails, keys, "left")
 
 
@@ -117,7 +117,6 @@ def rank_profiles(scores: DataFrame) -> DataFrame:
 
 def evaluate_profiles(
     pattern: DataFrame, predict_log_delay, profiles: list[str] | None = None, sla_ms: dict[str, float] | None = None,
-    buckets: int | None = None,
 ) -> DataFrame:
     """Rank candidate profiles for a traffic pattern.
 
@@ -132,4 +131,4 @@ def evaluate_profiles(
         "profile_no", "qos_class", delay_ms(F.col("y_pred")).alias("pred_ms")
     )
     scored = materialize(scored, "profiles")
-    return rank_profiles(profile_scores(class_delay_summary(scored, sla, buckets), parsed, sla))
+    return rank_profiles(profile_scores(class_delay_summary(scored, sla), parsed, sla))

@@ -79,7 +79,8 @@ def path_topology(paths: DataFrame, nodes: DataFrame, id_columns: list[str]) ->
     """Dominant policy (ties: smallest name), mean and smallest class weight over a path's nodes.
 
     ``paths`` has the id columns, ``graph``, ``nodes`` and ``tos``; ``nodes`` has graph, node,
-    policy and weights. A group is one path, as long as its hops.
+    policy and weights. A group is one path, as long as its hops. Nodes that a graph does not have count for
+    nothing: see ``unknown_nodes``.
     """
     steps = paths.select(*id_columns, "graph", "tos", F.explode("nodes").alias("node"))
     facts = nodes.select("graph", "node", "policy", weight_list(F.col("policy"), F.col("weights")).alias("weight_list"))
@@ -94,18 +95,41 @@ def path_topology(paths: DataFrame, nodes: DataFrame, id_columns: list[str]) ->
     )
 
 
-def flow_rows(lines: DataFrame, nodes: DataFrame, routes: DataFrame, strict: bool = False) -> DataFrame:
-    """The delay table: one row per measured flow.
+def unknown_nodes(lines: DataFrame, routes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """graph, routing, node: nodes on routes that simulations use in a known graph which does not have them."""
+    pairs = with_manifest(lines).select("graph", "routing").distinct().join(nodes.select("graph").distinct(), "graph", "left_semi")
+    steps = pairs.join(routes, "routing").select("graph", "routing", F.explode("nodes").alias("node")).distinct()
+    return steps.join(nodes, ["graph", "node"], "left_anti").select("graph", "routing", "node")
 
-    ``lines`` has archive, line_no, sim_line, traffic_line and manifest_line. Path facts are
-    computed once per (graph, route, ToS slot), not once per flow.
-    """
+
+def with_manifest(lines: DataFrame) -> DataFrame:
+    """The parts of a manifest line: simulation number, graph file and routing name; NULL where one is not there."""
     parts = F.split(F.trim("manifest_line"), ";")
-    manifest = lines.withColumns({
+    return lines.withColumns({
         "sim_num": F.trim(F.get(parts, F.lit(0))).try_cast("int"),
         "graph": F.trim(F.get(parts, F.lit(1))),
         "routing": routing_name(F.get(parts, F.lit(2))),
     })
+
+
+def skipped_lines(lines: DataFrame) -> DataFrame:
+    """archive, line_no, reason of the simulations that are left out because a line cannot be read."""
+    reasons = {
+        "manifest line": F.col("sim_num").isNull() | F.col("routing").isNull(),
+        "result line": ~F.coalesce(readable_result_line(F.col("sim_line")), F.lit(False)),
+        "traffic line": ~F.coalesce(readable_traffic_line(F.col("traffic_line")), F.lit(False)),
+    }
+    first = F.coalesce(*[F.when(wrong, F.lit(reason)) for reason, wrong in reasons.items()])
+    return with_manifest(lines).select("archive", "line_no", first.alias("reason")).filter(F.col("reason").isNotNull())
+
+
+def flow_rows(lines: DataFrame, nodes: DataFrame, routes: DataFrame, strict: bool = False) -> DataFrame:
+    """The delay table: one row per measured flow.
+
+    ``lines`` has archive, line_no, sim_line, traffic_line and manifest_line. Path facts are
+    computed once per (graph, route, ToS slot), not once per flow.
+    """
+    manifest = with_manifest(lines)
     readable = manifest.filter(
         F.col("sim_num").isNotNull() & F.col("routing").isNotNull()
         & readable_result_line(F.col("sim_line")) & readable_traffic_line(F.col("traffic_line"))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from linkgauge.functions.numeric import clip, delay_ms, share
 from linkgauge.functions.rules import CLASSES, sla_threshold, target_family
-from linkgauge.operators.ordering import with_range_bucket
+from linkgauge.operators.ordering import range_positions
+from linkgauge.session import materialize
 from linkgauge.operators.profiling import require_columns
 
 SLICES = ["qos_class", "scenario", "scheduling_policy"]
@@ -199,23 +200,23 @@ def binary_metrics(scored: DataFrame, by: list[str] | None = None, cut: float =
     return counts.withColumns(_rates(F.col("_hits"), F.col("positives"), F.col("predicted"))).drop("_hits")
 
 
-def auc_roc(scored: DataFrame, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+def auc_roc(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve with ties averaged, exact, from counts per distinct score.
 
-    Distinct scores are ranked inside range buckets; bucket totals carry the rest.
+    Counts are sorted in ranges of about equal size and ranked inside a range; totals of the ranges carry the
+    rest. Rows without a score take no part.
     """
     by = by or []
-    ranged = with_range_bucket(scored.select(*by, "score", "label"), "score", buckets=buckets)
-    counts = ranged.groupBy(*by, "_range", "score").agg(
-        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
-    )
-    inside = Window.partitionBy(*by, "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    counts = scored.where(F.col("score").isNotNull()).groupBy(*by, "score").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    placed = range_positions(materialize(counts, "scores"), *[F.col(c) for c in [*by, "score"]])
+    inside = Window.partitionBy(*by, "_part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     below = F.sum("neg").over(inside) - F.col("neg")
     won = F.col("pos").cast("double") * (below + F.col("neg") * 0.5)
-    cells = counts.withColumn("_won", won).groupBy(*by, "_range").agg(
+    cells = placed.withColumn("_won", won).groupBy(*by, "_part").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("_won").alias("won")
     )
-    across = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
     earlier = F.sum("neg").over(across) - F.col("neg")
     total = cells.withColumn("won", F.col("won") + F.col("pos").cast("double") * earlier).groupBy(*by).agg(
         F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.sum("won").alias("won")

