@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-PARTS = ["preparation", "simulation", "evaluation", "allocation", "modelling", "streams", "files"]
+PARTS = ["preparation", "simulation", "evaluation", "allocation", "modelling", "streams", "files", "raw_files"]
 
 
 def load():

@@ -11,6 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from linkgauge.functions.parsing import path_nodes
 from linkgauge.session import materialize
+from linkgauge.sources.files import located
 
 # The three text members of a result archive.
 MEMBERS = {"simulationResults.txt": "sim_line", "traffic.txt": "traffic_line", "input_files.txt": "manifest_line"}
@@ -77,12 +78,10 @@ def archive_lines(path: str) -> Iterator[tuple]:
     """
     import tarfile
 
-    import pyarrow.fs as pafs
-
     archive = path.rsplit("/", 1)[-1].removesuffix(".gz").replace(".tar", "")
     seen: set[str] = set()
     try:
-        filesystem, inner = pafs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:/") else "file:///" + path[5:].lstrip("/"))
+        filesystem, inner = located(path)
         with filesystem.open_input_stream(inner, compression="gzip") as stream, tarfile.open(fileobj=stream, mode="r|") as tar:
             for member in tar:
                 suffix = next((s for s in MEMBERS if member.name.endswith(s)), None)

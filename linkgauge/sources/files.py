@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,23 @@ from linkgauge.functions.numeric import FLOATING, MISSING_TOKENS, finite
 
 # File suffixes that are read.
 SUFFIXES = ["csv", "tsv", "txt", "json", "jsonl", "ndjson", "parquet"]
+# bytes in which the first line of a delimited file must end
+HEADER_BYTES = 1 << 20
 SEPARATORS = {"csv": ",", "tsv": "\t", "txt": "\t"}
 
 LISTING_SCHEMA = "path string, length long, suffix string, dataset string"
 PROBE_SCHEMA = "path string, header string, error_type string, error_message string"
 
 
+def located(path: str):
+    """(Arrow file system, path inside it) of a path as Spark tells it, for use in tasks."""
+    import pyarrow.fs as pafs
+
+    if "://" not in path:
+        return pafs.LocalFileSystem(), re.sub(r"^file:/*", "/", path)
+    return pafs.FileSystem.from_uri(quote(path, safe=":/%@"))
+
+
 def _suffix(path):
     return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
 
@@ -25,12 +37,13 @@ def _suffix(path):
 def discover(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
     """Supported files below a folder (or the file itself) with size, suffix and dataset name.
 
-    Only the listing is read: the file content column is pruned away.
+    Only the listing is read: the file content column is pruned away. Scans leave out files without a byte; they are
+    taken from the listing that the scan was planned with.
     """
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select("path", "length").withColumn("suffix", _suffix(F.col("path")))
-    )
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    planned = spark.createDataFrame([(unquote(re.sub(r"^file:/+", "file:/", path)),) for path in scan.inputFiles()], "path string")
+    empty = planned.join(scan, "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"))
+    listed = scan.unionAll(empty).withColumn("suffix", _suffix(F.col("path")))
     for text in exclude or []:
         if text:
             listed = listed.filter(~F.contains(F.col("path"), F.lit(text)))
@@ -54,15 +67,14 @@ def with_dataset(df: DataFrame, root: str, path_column: str = "path") -> DataFra
     return df.withColumn("dataset", name)
 
 
-def probe(files: DataFrame) -> DataFrame:
+def probe(files: DataFrame, limit: int = HEADER_BYTES) -> DataFrame:
     """First line of each delimited file and whether a Parquet file has a readable footer.
 
-    Runs in tasks, a few bytes per file, so one bad file becomes one error row.
+    Runs in tasks, at most ``limit`` bytes per file, so one bad file becomes one error row.
     """
 
     def inspect(batches):
         import pandas as pd
-        import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
         for batch in batches:
@@ -70,19 +82,15 @@ def probe(files: DataFrame) -> DataFrame:
             for path, suffix in zip(batch["path"], batch["suffix"]):
                 header, kind, message = None, None, None
                 try:
-                    url = path if not path.startswith("file:/") else "file:///" + path[5:].lstrip("/")
-                    filesystem, inner = pafs.FileSystem.from_uri(url)
+                    filesystem, inner = located(path)
                     if suffix == "parquet":
                         with filesystem.open_input_file(inner) as handle:
                             pq.read_metadata(handle)
                     elif suffix in ("csv", "tsv", "txt"):
-                        data = b""
                         with filesystem.open_input_stream(inner) as handle:
-                            while b"\n" not in data:
-                                piece = handle.read(65536)
-                                if not piece:
-                                    break
-                                data += piece
+                            data = handle.read(limit)
+                        if b"\n" not in data and len(data) >= limit:
+                            raise ValueError(f"no end of the first line in {limit} bytes")
                         header = data.split(b"\n", 1)[0].decode("utf-8", "replace").strip("\r﻿")
                         if not header:
                             kind, message = "EmptyDataError", "No columns to parse from file"

@@ -39,6 +39,16 @@ def test_discover_and_dataset_names(spark, raw):
     assert [r["dataset"] for r in single] == ["top"]
 
 
+def test_headers_are_bounded_and_empty_files_told(spark, tmp_path):
+    (tmp_path / "long name.csv").write_text("a" * 5000)
+    (tmp_path / "good.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "empty.csv").write_text("")
+    found = files.discover(spark, str(tmp_path))
+    got = {r["path"].rsplit("/", 1)[-1]: (r["header"], r["error_type"]) for r in files.probe(found, limit=1000).collect()}
+    assert got == {"long name.csv": (None, "ValueError"), "good.csv": ("a,b", None), "empty.csv": ("", "EmptyDataError")}
+    assert {r["length"] for r in found.collect()} == {5000, 8, 0}
+
+
 def test_discover_errors(spark, tmp_path):
     (tmp_path / "x.md").write_text("x")
     with pytest.raises(FileNotFoundError):
