@@ -2,61 +2,79 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import functions as F
 
-from catalog.adapters import PACKET_KEYS_SQL, PACKET_SQL, packet_columns, table
-from catalog.allocation import formula
+from catalog.adapters import DELAY_SQL, PACKET_KEYS_SQL, PACKETS, packet_columns, table
+from catalog.allocation import CANDIDATES, SUMMARY, _scores, formula
 from catalog.registry import query, r, rounded
 from linkgauge.operators.links import burst_table
 from linkgauge.session import scratch_path
 from linkgauge.streaming import runner, telemetry
 
 
-def event_stream(spark, sf):
-    return runner.file_stream(spark, sf, table(spark, sf, "events").schema, "events.parquet")
-
-
 PARTS = 4
+# the events in four parts that arrive one after the other, every tenth row one part late
+PART_SQL = f"""x AS (SELECT *, epoch_us(ts) / 1e6 AS seconds FROM events), b AS (SELECT min(seconds) AS low, max(seconds) AS high FROM x),
+e AS (SELECT x.*, cast(least(floor((seconds - low) / ((high - low) / {PARTS} + 1)) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END, {PARTS - 1}) AS int) AS part
+ FROM x, b),
+m AS (SELECT part, date_trunc('milliseconds', max(ts)) AS top FROM e GROUP BY 1),
+k AS (SELECT part, max(top) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL '1 day' AS mark FROM m)"""
 
 
-def event_parts(spark, sf):
-    """The events as a folder of files that arrive one after the other; every tenth row one file late."""
+def arrivals(spark, sf):
+    """A folder into which the parts arrive, one for each step of the iteration; yields (folder, schema).
+
+    The events are read once and written by part; every run of a query after a step is a restart.
+    """
     events = table(spark, sf, "events")
     seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     low, high = events.agg(F.min(seconds), F.max(seconds)).first()
     part = F.floor((seconds - low) / ((high - low) / PARTS + 1)) + F.when(F.col("event_id") % 10 == 0, 1).otherwise(0)
-    numbered = events.withColumn("_part", F.least(part, F.lit(PARTS - 1)))
-    folder = scratch_path(spark, "events")
+    waiting, folder = scratch_path(spark, "waiting"), scratch_path(spark, "events")
+    events.withColumn("part", F.least(part, F.lit(PARTS - 1)).cast("int")).write.partitionBy("part").parquet(waiting)
     for number in range(PARTS):
-        numbered.where(F.col("_part") == number).drop("_part").coalesce(1).write.mode("append").parquet(folder)
-    return folder, events.schema, events.agg(F.max("ts")).first()[0]
+        spark.read.schema(events.schema).parquet(f"{waiting}/part={number}").write.mode("append").parquet(folder)
+        yield folder, events.schema
+
+
+def run_arrivals(spark, sf, run):
+    """The result of ``run(stream, path)`` after the last part; each part is a run of its own from the same path."""
+    base, out = scratch_path(spark, "stream"), None
+    for folder, schema in arrivals(spark, sf):
+        out = run(runner.file_stream(spark, folder, schema), base)
+    return out
+
+
+COUNTED = ("event_id", "event_type", "value")
 
 
 def _counter_sql(column: str) -> str:
     v = f"try_cast(cast({column} AS varchar) AS double)"
     return (f"SELECT '{column}' AS \"column\", count({column}) AS non_null_count, count(*) - count({column}) AS missing_count, "
-            f"count({v}) AS numeric_count, round(min({v}), 6) AS min, round(max({v}), 6) AS max FROM events")
+            f"count({v}) AS numeric_count, cast(0 AS bigint) AS infinite_count, "
+            f"round(min({v}), 6) AS min, round(max({v}), 6) AS max, round(avg({v}), 6) AS mean FROM events")
 
 
-@query("stream_profile", " UNION ALL ".join(_counter_sql(c) for c in ("event_id", "event_type", "value")))
+@query("stream_profile", " UNION ALL ".join(_counter_sql(c) for c in COUNTED))
 def stream_profile(spark, sf):
-    counters = telemetry.profile_columns_stream(event_stream(spark, sf).select("event_id", "event_type", "value"))
-    return rounded(runner.run_updates(counters, ["column"]).select(
-        "column", "non_null_count", "missing_count", "numeric_count", "min", "max"))
+    """All fields of the running profile, over four parts with restarts."""
+    def run(events, base):
+        return runner.run_updates(telemetry.profile_columns_stream(events.select(*COUNTED)), ["column"], path=base)
+
+    out = run_arrivals(spark, sf, run)
+    return rounded(out.select("column", "non_null_count", "missing_count", "numeric_count", "infinite_count", "min", "max", "mean"))
 
 
 @query("stream_delay_windows", """
 SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type, count(*) AS packet_count,
  round(sum(value), 4) AS flow_duration_sec, round(avg(value) * 1000, 4) AS latency_ms FROM events WHERE value > 0 GROUP BY 1, 2""")
 def stream_delay_windows(spark, sf):
-    folder, schema, _ = event_parts(spark, sf)
-    events = runner.file_stream(spark, folder, schema, files_per_batch=1)
-    timed = telemetry.event_time(events, late="365 days").withColumn("iat", F.col("value"))
-    windows = telemetry.delay_windows(timed, ["event_type"])
-    out = runner.run_updates(windows, ["window_start", "event_type"])
-    return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), 4)
+    """A watermark that waits longer than any row is late: nothing is lost."""
+    def run(events, base):
+        timed = telemetry.event_time(events, late="365 days").withColumn("iat", F.col("value"))
+        return runner.run_updates(telemetry.delay_windows(timed, ["event_type"]), ["window_start", "event_type"], path=base)
+
+    return rounded(run_arrivals(spark, sf, run).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), 4)
 
 
 CLASS_OF_EVENT = "CASE event_type WHEN 'click' THEN 'Gold' WHEN 'view' THEN 'Silver' ELSE 'Bronze' END"
@@ -64,29 +82,32 @@ LIMIT_OF_CLASS = "CASE qos_class WHEN 'Gold' THEN 30e0 WHEN 'Silver' THEN 50e0 E
 SLA = {"Gold": 30.0, "Silver": 50.0, "Bronze": 60.0}
 MONITOR = f"""SELECT w AS window_start, qos_class, count(*) AS rows, count(*) FILTER (WHERE value > {LIMIT_OF_CLASS}) AS violations,
  round(count(*) FILTER (WHERE value > {LIMIT_OF_CLASS}) / count(*), 6) AS violation_rate,
- count(*) FILTER (WHERE value > {LIMIT_OF_CLASS}) / count(*) > 0.35e0 AS alarm FROM e GROUP BY 1, 2"""
+ count(*) FILTER (WHERE value > {LIMIT_OF_CLASS}) / count(*) > 0.35e0 AS alarm FROM d GROUP BY 1, 2"""
 
 
-def _delays(spark, sf):
-    timed = telemetry.event_time(event_stream(spark, sf), late="1 day")
-    return timed.select("ts", F.expr(CLASS_OF_EVENT).alias("qos_class"), F.col("value").alias("delay_ms"))
+def _monitor_sql(windows: str) -> str:
+    """A row counts for a window unless the watermark (a day behind the parts before) has passed its end."""
+    return f"""WITH {PART_SQL}, o AS ({windows}),
+d AS (SELECT w, {CLASS_OF_EVENT} AS qos_class, value FROM o JOIN k USING (part) WHERE mark IS NULL OR w + INTERVAL '1 day' > mark) {MONITOR}"""
 
 
 def _monitor(spark, sf, slide):
-    windows = telemetry.sla_monitor(_delays(spark, sf), SLA, 0.35, "1 day", slide)
-    out = runner.run_updates(windows, ["window_start", "qos_class"])
-    return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
+    def run(events, base):
+        timed = telemetry.event_time(events, late="1 day")
+        delays = timed.select("ts", F.expr(CLASS_OF_EVENT).alias("qos_class"), F.col("value").alias("delay_ms"))
+        return runner.run_updates(telemetry.sla_monitor(delays, SLA, 0.35, "1 day", slide), ["window_start", "qos_class"], path=base)
+
+    return rounded(run_arrivals(spark, sf, run).withColumn("window_start", F.col("window_start").cast("timestamp_ntz")))
 
 
-@query("stream_sla_monitor", f"""
-WITH e AS (SELECT time_bucket(INTERVAL '1 day', ts) AS w, {CLASS_OF_EVENT} AS qos_class, value FROM events) {MONITOR}""")
+@query("stream_sla_monitor", _monitor_sql("SELECT *, time_bucket(INTERVAL '1 day', ts) AS w FROM e"))
 def stream_sla_monitor(spark, sf):
+    """Rows that come a part late are too late for a watermark of one day."""
     return _monitor(spark, sf, None)
 
 
-@query("stream_sla_monitor_sliding", f"""
-WITH e AS (SELECT time_bucket(INTERVAL '6 hours', ts) - to_hours(6 * i) AS w, {CLASS_OF_EVENT} AS qos_class, value
- FROM events, range(0, 4) t(i)) {MONITOR}""")
+@query("stream_sla_monitor_sliding", _monitor_sql(
+    "SELECT e.*, time_bucket(INTERVAL '6 hours', ts) - to_hours(6 * i) AS w FROM e, range(0, 4) t(i)"))
 def stream_sla_monitor_sliding(spark, sf):
     return _monitor(spark, sf, "6 hours")
 
@@ -98,39 +119,51 @@ b AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts) AS burst FRO
 SELECT user_id, min(ts) AS first_ts, count(*) AS packets, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS burst_sec
 FROM b GROUP BY user_id, burst""")
 def stream_bursts(spark, sf):
-    """Several files with late rows; a heartbeat closes the last bursts; the second run goes on from the first."""
-    folder, schema, last = event_parts(spark, sf)
-    base = scratch_path(spark, "bursts")
-
-    def run():
-        events = runner.file_stream(spark, folder, schema, files_per_batch=1)
-        return runner.run_append(telemetry.bursts(telemetry.event_time(events, late="365 days"), ["user_id"], "4 hours"), path=base)
+    """Closed bursts from the stream and open ones from its state; each restart goes on from both."""
+    def run(events, base):
+        timed = telemetry.event_time(events, late="120 days")
+        closed = runner.run_append(telemetry.bursts(timed, ["user_id"], "4 hours"), path=base)
+        return closed.unionByName(telemetry.open_bursts(runner.open_state(spark, base), ["user_id"]))
 
-    run()
-    runner.heartbeat(spark, folder, schema, "ts", last + timedelta(days=400))
-    out = run()
-    return rounded(out.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")))
+    return rounded(run_arrivals(spark, sf, run).withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")))
 
 
 @query("stream_inter_arrival", f"""
-WITH p AS ({PACKET_SQL}) SELECT event_id, round(coalesce(epoch - lag(epoch) OVER (PARTITION BY {PACKET_KEYS_SQL} ORDER BY epoch), 0e0), 5)
- AS iat FROM p""")
+WITH {PART_SQL}, p AS (SELECT part, {', '.join(f'{v} AS {c}' for c, v in PACKETS.items())}, seconds AS epoch FROM e),
+o AS (SELECT *, max(epoch) OVER (PARTITION BY {PACKET_KEYS_SQL} ORDER BY part, epoch, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM p)
+SELECT event_id, round(greatest(0e0, coalesce(epoch - latest, 0e0)), 5) AS iat FROM o""")
 def stream_inter_arrival(spark, sf):
+    """Gaps go on over parts and restarts; a packet that comes after a later one has none."""
     keys = PACKET_KEYS_SQL.split(", ")
-    gaps = runner.run_inter_arrival(packet_columns(event_stream(spark, sf)), keys)
-    return rounded(gaps.select("event_id", "iat"), 5)
+
+    def run(events, base):
+        return runner.run_append(runner.inter_arrival_stream(packet_columns(events), keys), path=base)
+
+    return rounded(run_arrivals(spark, sf, run).select("event_id", "iat"), 5)
 
 
-@query("stream_recommend", None)
+TRAFFIC = {"tos": "CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END", "qos_class": CLASS_OF_EVENT,
+           "offered_bandwidth": "value * 100", "routing_hops": "user_id % 6 + 1"}
+BATCH_CANDIDATES = CANDIDATES.replace(DELAY_SQL, "SELECT part, " + ", ".join(f"{v} AS {c}" for c, v in TRAFFIC.items()) + " FROM e")
+BATCH_SUMMARY = SUMMARY.replace("SELECT profile_no,", "SELECT part, profile_no,").replace("GROUP BY 1, 2, 3", "GROUP BY 1, 2, 3, 4")
+
+
+@query("stream_recommend", f"""
+WITH {PART_SQL}, {BATCH_CANDIDATES}, {BATCH_SUMMARY},
+wd AS (SELECT part, profile_no, profile, {_scores()}, cast(sum(n) AS bigint) AS traffic_rows FROM cs GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY sla_feasible DESC, violation, delay, profile_no) AS rank FROM wd)
+SELECT part AS batch, CASE WHEN sla_feasible THEN profile ELSE 'infeasible' END AS decision, profile, sla_feasible, traffic_rows,
+ round(violation, 6) AS weighted_violation_score, round(delay, 6) AS weighted_delay_score FROM r WHERE rank = 1""")
 def stream_recommend(spark, sf):
-    """One decision per micro-batch of traffic."""
-    stream = event_stream(spark, sf).select(
-        F.expr("CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 2 END").alias("tos"),
-        F.lit("Bronze").alias("qos_class"), (F.col("value") * 100).alias("offered_bandwidth"),
-        (F.col("user_id") % 6 + 1).alias("routing_hops"))
+    """One decision for each part of the traffic."""
     schema = ("decision string, profile string, sla_feasible boolean, traffic_rows bigint, "
               "weighted_violation_score double, weighted_delay_score double")
-    return rounded(runner.run_each_batch(stream, lambda batch: telemetry.recommend_batch(batch, formula), schema))
+
+    def run(events, base):
+        pattern = events.select(*[F.expr(v).alias(c) for c, v in {**TRAFFIC, "qos_class": "'Bronze'"}.items()])
+        return runner.run_each_batch(pattern, lambda batch: telemetry.recommend_batch(batch, formula), schema, path=base)
+
+    return rounded(run_arrivals(spark, sf, run))
 
 
 @query("batch_delay_windows", """

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkgauge.operators.evaluation import latest_run
-from linkgauge.operators.links import inter_arrival
 from linkgauge.session import scratch_path
 
 
@@ -58,8 +57,8 @@ def _batches(spark: SparkSession, schema: T.StructType, folder: str, column: str
 def run_append(stream: DataFrame, name: str = "stream", path: str | None = None) -> DataFrame:
     """Run a stream of rows in append mode to the end of the input into a Parquet table.
 
-    Windows and sessions come out when the watermark passes them. The last ones come out when a later
-    row arrives: see ``heartbeat``.
+    Windows and sessions come out when the watermark passes them; those still open are in the state: see
+    ``open_state``.
     """
     spark = stream.sparkSession
     base = path or scratch_path(spark, name)
@@ -71,15 +70,12 @@ def run_append(stream: DataFrame, name: str = "stream", path: str | None = None)
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
-def heartbeat(spark: SparkSession, folder: str, schema: T.StructType, time: str, at) -> None:
-    """Write one row without keys at a later time into a stream's folder, so that what is open is closed.
+def open_state(spark: SparkSession, path: str) -> DataFrame:
+    """What a stateful stream holds after its last batch: key and value structs, read from its checkpoint.
 
-    ``at`` must lie past the last time by the watermark's delay and the session gap. The row itself
-    opens a session that never closes.
+    The stream and its input stay as they are: later rows still join what is open.
     """
-    row = [at if f.name == time else None for f in schema.fields]
-    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
-    spark.createDataFrame([tuple(row)], nullable).coalesce(1).write.mode("append").parquet(folder)
+    return spark.read.format("statestore").load(f"{path}/checkpoint")
 
 
 def run_each_batch(stream: DataFrame, decide, schema: str, name: str = "decisions", path: str | None = None) -> DataFrame:
@@ -95,31 +91,27 @@ def run_each_batch(stream: DataFrame, decide, schema: str, name: str = "decision
     return _batches(spark, spark.createDataFrame([], schema).schema, f"{base}/rows", "batch")
 
 
-def run_inter_arrival(
-    stream: DataFrame, keys: list[str], time: str = "epoch", slice_seconds: float = 3600.0, name: str = "gaps",
-    path: str | None = None,
-) -> DataFrame:
-    """Gap to the previous packet of the same key over all micro-batches.
+def inter_arrival_stream(stream: DataFrame, keys: list[str], time: str = "epoch") -> DataFrame:
+    """Gap to the previous packet of the same key over all micro-batches, as column ``iat``.
 
-    Between batches only the last time per key is kept, as a table per batch in the shared
-    folder, so a repeated batch starts from the same state. Inside a batch the time-sliced
-    operator runs, so a hot key is spread over tasks. A packet older than the last one seen
-    gets a gap of 0.
+    The state is the latest time of each key. A batch reads and writes the state of the keys it holds, nothing
+    else. A packet older than the latest one seen gets 0, a packet without time NULL. The packets of one key in one micro-batch meet in a task; the number of files of a
+    batch bounds them.
     """
-    spark = stream.sparkSession
-    base = path or scratch_path(spark, name)
+    columns = stream.columns
 
-    def keep(batch: DataFrame, number: int) -> None:
-        kinds = ", ".join(f"{c} {t}" for c, t in batch.dtypes if c in keys)
-        before = spark.read.schema(f"{kinds}, last double").parquet(f"{base}/last/{number - 1}") if number else None
-        inter_arrival(batch, keys, slice_seconds, time, before).write.mode("overwrite").parquet(
-            f"{base}/rows/batch={number}")
-        ends = batch.groupBy(*keys).agg(F.max(time).alias("last"))
-        if before is not None:
-            ends = ends.unionByName(before).groupBy(*keys).agg(F.max("last").alias("last"))
-        ends.write.mode("overwrite").parquet(f"{base}/last/{number}")
+    def gaps(key, frames, state):
+        import pandas as pd
+
+        frame = pd.concat(list(frames), ignore_index=True).sort_values(time, kind="stable")
+        before = frame[time].cummax().shift()
+        if state.exists:
+            before = before.fillna(state.get[0]).clip(lower=state.get[0])
+        frame["iat"] = (frame[time] - before).fillna(0.0).clip(lower=0.0).where(frame[time].notna())
+        if frame[time].notna().any():
+            latest = float(frame[time].max())
+            state.update((max(latest, state.get[0]) if state.exists else latest,))
+        yield frame[[*columns, "iat"]]
 
-    stream.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(
-        keep).start().awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("iat", T.DoubleType())])
-    return spark.read.schema(schema).parquet(f"{base}/rows")
+    return stream.groupBy(*keys).applyInPandasWithState(gaps, schema, "latest double", "append", "NoTimeout")

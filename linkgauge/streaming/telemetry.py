@@ -58,6 +58,13 @@ def bursts(packets: DataFrame, keys: list[str], gap: str = "5 minutes", time: st
     return grouped.select(*keys, "first_ts", "packets", length.alias("burst_sec"))
 
 
+def open_bursts(state: DataFrame, keys: list[str]) -> DataFrame:
+    """The bursts that ``bursts`` has not closed, from its state (``runner.open_state``)."""
+    v = lambda name: F.col(f"value.{name}")
+    length = (F.unix_micros(v("max")) - F.unix_micros(v("min"))) / 1e6
+    return state.select(*[F.col(f"key.{k}").alias(k) for k in keys], v("min").alias("first_ts"), v("count").alias("packets"), length.alias("burst_sec"))
+
+
 def recommend_batch(pattern: DataFrame, predict_log_delay, profiles=None, sla_ms=None) -> DataFrame:
     """The profile to use for one micro-batch of traffic, or ``infeasible``."""
     from linkgauge.operators.allocation import evaluate_profiles

@@ -168,10 +168,42 @@ def test_inter_arrival_across_micro_batches(spark, tmp_path):
     for i, batch in enumerate(times):
         _write_batches(spark, path, [spark.createDataFrame([("k", t) for t in batch], "k string, epoch double")])
     stream = runner.file_stream(spark, path, spark.read.parquet(path).schema, "*.parquet", files_per_batch=1)
-    gaps = sorted((r["epoch"], r["iat"]) for r in runner.run_inter_arrival(stream, ["k"], slice_seconds=5.0).collect())
+    base = str(tmp_path / "out")
+    gaps = sorted((r["epoch"], r["iat"]) for r in runner.run_append(runner.inter_arrival_stream(stream, ["k"]), path=base).collect())
     assert gaps == [(1.0, 0.0), (2.0, 1.0), (10.0, 8.0), (11.5, 1.5), (12.0, 0.5), (30.0, 18.0)]
 
 
+def test_inter_arrival_goes_on_after_a_restart(spark, tmp_path):
+    """A late packet has no gap and doesn't move the latest time; rows without time or key stay; other keys keep their state."""
+    path, base = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [[("a", 1.0), ("b", 5.0), (None, 2.0)], [("a", 4.0), ("a", None), (None, 2.5)], [("a", 3.0), ("a", 6.0), ("b", 5.5)]]
+    for batch in batches:
+        _write_batches(spark, path, [spark.createDataFrame(batch, "k string, epoch double")])
+        stream = runner.file_stream(spark, path, spark.read.parquet(path).schema, "*.parquet")
+        out = runner.run_append(runner.inter_arrival_stream(stream, ["k"]), path=base)
+    assert sorted(((r["k"], r["epoch"], r["iat"]) for r in out.collect()), key=repr) == sorted([
+        ("a", 1.0, 0.0), ("b", 5.0, 0.0), (None, 2.0, 0.0), ("a", 4.0, 3.0), ("a", None, None), (None, 2.5, 0.5), ("a", 3.0, 0.0), ("a", 6.0, 2.0), ("b", 5.5, 0.5)], key=repr)
+
+
+def test_open_bursts_come_from_the_state(spark, tmp_path):
+    """Closed and open bursts together are all bursts; a run a day later loses no packet."""
+    path, base = str(tmp_path / "in"), str(tmp_path / "out")
+    seen = []
+    for day, seconds in ((1, [0, 60, 4000]), (1, [120, 90_000]), (2, [7000, 86_000])):
+        seen += [1_700_000_000 + day * 86_400 + s for s in seconds]
+        frame = spark.createDataFrame([("k", 1_700_000_000 + day * 86_400 + s) for s in seconds], "k string, s long").select(
+            "k", F.timestamp_seconds("s").alias("ts"))
+        _write_batches(spark, path, [frame])
+        before = spark.read.parquet(path).count()
+        stream = telemetry.event_time(runner.file_stream(spark, path, frame.schema), late="3 days")
+        closed = runner.run_append(telemetry.bursts(stream, ["k"], "10 minutes"), path=base)
+        both = closed.unionByName(telemetry.open_bursts(runner.open_state(spark, base), ["k"]))
+        runs = sorted(seen)
+        starts = 1 + sum(b - a >= 600 for a, b in zip(runs, runs[1:], strict=False))
+        assert both.count() == starts and both.agg(F.sum("packets")).first()[0] == len(seen)
+        assert spark.read.parquet(path).count() == before == len(seen)
+
+
 def test_monitor_over_micro_batches_equals_batch(spark, tmp_path):
     rows = [(f"2024-01-01 00:{i % 60:02d}:00", ["Gold", "Bronze"][i % 2], float(i % 90)) for i in range(240)]
     frame = spark.createDataFrame(rows, "t string, qos_class string, delay_ms double").select(
