@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.adapters import DELAY_SQL, delay_flows, table
+from catalog.evaluation import DELAY_METRICS, FLOWS, SETS, SLICE_KEYS
 from catalog.registry import query, r, rounded
 from linkgauge.functions.numeric import log_target
 from linkgauge.operators import attribution, encoding, evaluation, models
@@ -95,9 +96,42 @@ def feature_drop_lists(spark, sf):
         F.lit(len(feature_columns(df.columns, "loss", "label"))).alias("loss_inputs"))
 
 
-@query("linear_out_of_fold")
+INPUTS = {
+    "offered_bandwidth": "offered_bandwidth", "routing_hops": "routing_hops", "n_nodes": "n_nodes", "max_avg_lambda": "max_avg_lambda",
+    "gold": "CASE WHEN qos_class = 'Gold' THEN 1e0 ELSE 0e0 END", "silver": "CASE WHEN qos_class = 'Silver' THEN 1e0 ELSE 0e0 END"}
+
+
+def _least_squares_sql() -> str:
+    """Held-out least squares by taking one input after the other out of all later ones and the target.
+
+    Each step regresses on the rows outside the held fold; what is left of the target at the end is the error.
+    """
+    names = list(INPUTS)
+    steps = [f"t0 AS (SELECT f.fold AS held, row_id, lg.fold, {', '.join(f'cast({v} AS double) AS {n}' for n, v in INPUTS.items())}, y_true AS y "
+             "FROM lg, (SELECT DISTINCT fold FROM lg) f)"]
+    for i, name in enumerate(names):
+        later = [*names[i + 1 :], "y"]
+        fits = ", ".join(f"regr_slope({v}, {name}) AS b_{v}, regr_intercept({v}, {name}) AS a_{v}" for v in later)
+        rest = ", ".join(f"{v} - a_{v} - b_{v} * {name} AS {v}" for v in later)
+        steps.append(f"c{i} AS (SELECT held, {fits} FROM t{i} WHERE fold <> held GROUP BY 1)")
+        steps.append(f"t{i + 1} AS (SELECT held, row_id, fold, {rest} FROM t{i} JOIN c{i} USING (held))")
+    last = f"t{len(names)}"
+    steps.append(f"scored AS (SELECT lg.*, y_true - y AS y_pred, avg_delay * 1000 AS true_ms, exp(y_true - y) * 1000 AS pred_ms "
+                 f"FROM lg JOIN {last} ON lg.row_id = {last}.row_id AND lg.fold = {last}.held)")
+    return f"{FLOWS}, {', '.join(steps)}"
+
+
+@query("linear_out_of_fold", f"WITH {_least_squares_sql()} SELECT {SLICE_KEYS}, count(*) AS rows, {DELAY_METRICS} FROM scored {SETS}")
 def linear_out_of_fold(spark, sf):
-    """Least squares on encoded inputs, five folds, sliced."""
+    """Least squares on numbers and classes, five folds from one Gram matrix each, sliced."""
+    given = delay_flows(spark, sf).withColumn("y_true", log_target(F.col("avg_delay")))
+    scored = models.linear_out_of_fold(given, {n: F.expr(v) for n, v in INPUTS.items()}, "y_true")
+    return rounded(evaluation.slice_metrics(evaluation.with_delay_ms(scored, "avg_delay")))
+
+
+@query("linear_model")
+def linear_model(spark, sf):
+    """Least squares on all encoded inputs, five folds, fitted one by one, sliced."""
     return rounded(evaluation.slice_metrics(training.delay_scored(flows(spark, sf), models.linear_model(), ["row_id"])))
 
 

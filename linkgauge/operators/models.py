@@ -11,7 +11,7 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgauge.operators.encoding import column_kinds, feature_names, fit_encoder
@@ -208,6 +208,71 @@ def line_out_of_fold(df: DataFrame, x: str, y: str) -> DataFrame:
     return joined.withColumn("y_pred", F.col("_intercept") + F.col("_slope") * cx).drop("_slope", "_intercept")
 
 
+def fold_gram(df: DataFrame, names: list[str]) -> dict:
+    """Per fold: rows, means and centred cross products of ``names``, from one mergeable aggregate over ``df``.
+
+    What reaches the driver is one row per fold with a number for each pair of columns. Rows with a NULL in any
+    of them are left out.
+    """
+    import numpy as np
+
+    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1)]
+    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
+    cells = df.filter(complete & F.col("fold").isNotNull()).groupBy("fold").agg(
+        F.count("*").alias("n"), F.array(*[F.avg(c) for c in names]).alias("means"),
+        F.array(*[F.covar_pop(names[i], names[j]) for i, j in pairs]).alias("covariances"))
+    found = {}
+    for row in cells.toLocalIterator():
+        products = np.zeros((len(names), len(names)))
+        for (i, j), value in zip(pairs, row["covariances"], strict=True):
+            products[i, j] = products[j, i] = value * row["n"]
+        found[row["fold"]] = (row["n"], np.array(row["means"]), products)
+    return found
+
+
+def merge_grams(parts: list[tuple]):
+    """Rows, means and centred cross products of several parts together; centred at each step, so nothing cancels."""
+    n, means, products = 0, 0.0, 0.0
+    for more, other, cross in parts:
+        apart = other - means
+        products = products + cross + (apart[:, None] * apart[None, :]) * (n * more / (n + more) if n else 0.0)
+        means = means + apart * (more / (n + more))
+        n += more
+    return n, means, products
+
+
+def linear_out_of_fold(df: DataFrame, inputs: dict[str, Column], target: str) -> DataFrame:
+    """Out-of-fold least squares in closed form: ``df`` with ``y_pred``; two scans whatever the number of folds.
+
+    A Gram matrix per fold is made in one aggregate; the rows outside a fold are the merge of the other matrices, and
+    the normal equations are solved on the driver, least norm where inputs depend on each other. ``inputs``
+    are named expressions without NULLs, categories as 0/1; a row with a NULL input, or alone with its
+    fold, has no prediction.
+    """
+    import numpy as np
+
+    names = [f"_x{i}" for i in range(len(inputs))]
+    typed = df.withColumns({**{x: value.cast("double") for x, value in zip(names, inputs.values(), strict=True)}, "_y": F.col(target).cast("double")})
+    grams = fold_gram(typed, [*names, "_y"])
+    lines = {}
+    for fold in grams:
+        rest = [g for f, g in grams.items() if f != fold]
+        if not rest:
+            continue
+        _, means, products = merge_grams(rest)
+        # standardised, so that columns of very different size weigh alike
+        size = np.sqrt(np.diag(products)[:-1])
+        size[size == 0] = 1.0
+        scaled = np.linalg.lstsq(products[:-1, :-1] / size[:, None] / size[None, :], products[:-1, -1] / size, rcond=None)[0] / size
+        lines[fold] = [float(means[-1] - scaled @ means[:-1]), *map(float, scaled)]
+    if not lines:
+        return typed.drop(*names, "_y").withColumn("y_pred", F.lit(None).cast("double"))
+    known = F.create_map(*[x for fold, line in lines.items() for x in (F.lit(fold), F.array(*map(F.lit, line)))])
+    line = F.try_element_at(known, F.col("fold"))
+    value = reduce(lambda a, b: a + b, [F.get("_line", F.lit(i + 1)) * F.col(x) for i, x in enumerate(names)], F.get("_line", F.lit(0)))
+    return typed.withColumn("_line", line).withColumn("y_pred", value).drop(*names, "_y", "_line")
+
+
 def line_model(x: str) -> ModelSpec:
     """Straight line on one column, fitted in one aggregation and applied lazily."""
 

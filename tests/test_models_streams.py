@@ -157,6 +157,31 @@ def test_synthetic_flows_ranges(spark):
     assert row[0] >= 10 and row[1] < 100000 and row[2] >= 35 and row[3] <= 95 and row[4] == 5
 
 
+def test_linear_folds_from_gram_matrices(spark):
+    """As least squares fitted fold by fold: large means, dependent and constant inputs, NULLs, a fold that is alone."""
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    n = 300
+    x = draw.normal(size=(n, 3)) * [1, 1e-3, 50] + [1e6, 0, -7]
+    y = x @ [2.0, 500.0, -0.1] + draw.normal(size=n)
+    fold = draw.integers(0, 4, n)
+    rows = [(i, int(fold[i]), *map(float, x[i]), float(y[i])) for i in range(n)]
+    rows += [(n, 1, None, 0.0, 0.0, 1.0), (n + 1, 2, 1e6, 0.0, -7.0, None), (n + 2, None, 1e6, 0.0, -7.0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, fold int, a double, b double, c double, y double")
+    inputs = {"a": F.col("a"), "b": F.col("b"), "c": F.col("c"), "twice": F.col("a") * 2, "one": F.lit(1.0)}
+    got = {r["id"]: r["y_pred"] for r in models.linear_out_of_fold(df, inputs, "y").collect()}
+    for f in range(4):
+        train = fold != f
+        mean = x[train].mean(axis=0)
+        b, *_ = np.linalg.lstsq(np.c_[np.ones(train.sum()), x[train] - mean], y[train], rcond=None)
+        for i in np.flatnonzero(~train):
+            assert got[i] == pytest.approx(b[0] + (x[i] - mean) @ b[1:], rel=1e-9, abs=1e-6)
+    assert got[n] is None and got[n + 1] is not None and got[n + 2] is None
+    alone = models.linear_out_of_fold(df.filter("fold = 1"), inputs, "y")
+    assert alone.columns == [*df.columns, "y_pred"] and alone.filter("y_pred IS NOT NULL").count() == 0
+
+
 def _write_batches(spark, path, frames):
     for frame in frames:
         frame.coalesce(1).write.mode("append").parquet(path)
