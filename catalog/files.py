@@ -39,6 +39,19 @@ def scan_delimited_long_rows(spark, sf):
     return files.scan_delimited(spark, path, ["key", "name"], "\t", header=False)
 
 
+@query("scan_quoted_line_breaks", """
+SELECT cast(c_custkey AS varchar) AS key, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE concat(c_name, chr(10), '"', c_mktsegment, '",', chr(10)) END AS name
+FROM customer WHERE c_custkey % 11 <> 0""")
+def scan_quoted_line_breaks(spark, sf):
+    """Fields with line breaks, quotes and separators; short rows are padded, long rows skipped."""
+    path = scratch_path(spark, "csv")
+    name = F.concat(F.lit('"'), F.col("c_name"), F.lit('\n""'), "c_mktsegment", F.lit('"",\n"'))
+    key = F.col("c_custkey").cast("string")
+    line = F.when(F.col("c_custkey") % 11 == 0, F.concat_ws(",", key, name, F.lit('"more\n"'))).when(F.col("c_custkey") % 5 == 0, key).otherwise(F.concat_ws(",", key, name))
+    table(spark, sf, "customer").select(line.alias("value")).write.text(path)
+    return files.scan_records(spark, path, ["key", "name"], header=False)
+
+
 @query("scan_json_lines", "SELECT event_id, event_type, value FROM events")
 def scan_json_lines(spark, sf):
     path = scratch_path(spark, "json")

@@ -195,6 +195,19 @@ def external_model(spark, sf):
     return rounded(evaluation.grouped_metrics(scored, ["qos_class"], {"e": ("log_avg_delay", "y_pred")}, {"e": {"mae": "mae"}}))
 
 
+@query("batch_model", f"""
+WITH f AS ({DELAY_SQL}) SELECT qos_class, count(*) AS rows,
+ round(avg(abs(ln(greatest(avg_delay, 1e-9)) - (-4 + routing_hops * 0.3e0 - n_nodes * 0.01e0))), 6) AS mae FROM f GROUP BY 1""")
+def batch_model(spark, sf):
+    """A model that was trained elsewhere, as a batch predictor on numpy columns."""
+    def make():
+        return lambda hops, nodes: -4 + hops * 0.3 - nodes * 0.01
+
+    spec = models.batch_model("given", make, ["routing_hops", "n_nodes"])
+    scored = spec.fit(None, "log_avg_delay", []).predict(flows(spark, sf))
+    return rounded(evaluation.grouped_metrics(scored, ["qos_class"], {"e": ("log_avg_delay", "y_pred")}, {"e": {"mae": "mae"}}))
+
+
 SLOPES = ", ".join(f"regr_slope(y, {c}) AS w_{c}, avg({c}) AS m_{c}" for c in NUMERIC)
 ATTR_SQL = f"""WITH f AS (SELECT *, ln(greatest(avg_delay, 1e-9)) AS y FROM ({DELAY_SQL})), s AS (SELECT {SLOPES} FROM f)"""
 

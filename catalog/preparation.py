@@ -268,28 +268,18 @@ def classify_qos(spark, sf):
         "destination_port", "protocol", "qos_class").agg(F.count("*").alias("n"))
 
 
-@query("classify_qos_by_application", f"""
-WITH raw AS ({FLOW_SQL}), a AS (SELECT {APPLICATION_SQL} AS application FROM raw)
-SELECT application, CASE WHEN application IN ('voice', 'video', 'dns') THEN 'Gold'
- WHEN application IN ('web', 'ssh', 'database', 'mail') THEN 'Silver' ELSE 'Bronze' END AS qos_class, count(*) AS n
-FROM a WHERE application <> 'other' GROUP BY 1, 2""")
-def classify_by_application(spark, sf):
-    port = F.col("destination_port")
-    tagged = flow_records(spark, sf).select(rules.infer_application(port).alias("application"), port)
-    known = tagged.filter(F.col("application") != "other")
-    qos = rules.classify_qos(F.col("application"), F.lit("TCP"), F.col("destination_port"))
-    return known.select("application", qos.alias("qos_class")).groupBy("application", "qos_class").agg(
-        F.count("*").alias("n"))
-
-
-@query("classify_qos_all_applications", f"""
+ALL_APPLICATIONS = f"""
 WITH raw AS ({FLOW_SQL}), p AS (SELECT row_id, destination_port, {PROTOCOL_SQL} AS protocol, {APPLICATION_SQL} AS application FROM raw),
 rules(qos, ord, proto, lo, hi) AS (VALUES {POLICY_ROWS}),
 q AS (SELECT p.row_id, p.application, coalesce(arg_min(r.qos, r.ord), 'Bronze') AS by_port FROM p
   LEFT JOIN rules r ON p.protocol = r.proto AND coalesce(p.destination_port, -1) BETWEEN r.lo AND r.hi GROUP BY 1, 2)
 SELECT application, CASE WHEN application IN ('voice', 'video', 'dns') THEN 'Gold'
  WHEN application IN ('web', 'ssh', 'database', 'mail') THEN 'Silver' WHEN application = 'other' THEN by_port ELSE 'Bronze' END AS qos_class,
- count(*) AS n FROM q GROUP BY 1, 2""")
+ count(*) AS n FROM q GROUP BY 1, 2"""
+
+
+@query("classify_qos_by_application", ALL_APPLICATIONS)
+@query("classify_qos_all_applications", ALL_APPLICATIONS)
 def classify_all_applications(spark, sf):
     """Every row; applications without a class of their own take that of protocol and port."""
     port = F.col("destination_port")
@@ -467,22 +457,16 @@ def link_features(spark, sf):
     return rounded(features.withColumns({c: F.round(c, 4) for c in ("latency_ms", "flow_duration_sec")}), 9)
 
 
-@query("link_features_without_packets", f"""
-WITH w AS ({THROUGHPUT_SQL}) SELECT 'uplink' AS direction, count(*) AS n, round(sum(-1e0), 4) AS latency,
- round(sum(least(100e0, mbpsoffered_uplink / 150e0 * 100)), 4) AS utilization FROM w""")
-def link_features_quick(spark, sf):
-    table_ = links.link_features(links.unpivot_directions(throughput_wide(spark, sf)), None)
-    return rounded(table_.filter(F.col("direction") == "uplink").groupBy("direction").agg(
-        F.count("*").alias("n"), F.sum("latency_ms").alias("latency"),
-        F.sum("bandwidth_utilization_percent").alias("utilization")), 4)
-
-
-@query("link_features_without_packets_rows", f"""
+BOTH_DIRECTIONS = f"""
 WITH w AS ({THROUGHPUT_SQL}), s AS (
  SELECT source_file, 'uplink' AS direction, mbpsactual_uplink AS a, meanjitterms_uplink AS j, meanloss_uplink AS l, mbpsoffered_uplink AS o FROM w UNION ALL
  SELECT source_file, 'downlink', mbpsactual_downlink, meanjitterms_downlink, meanloss_downlink, mbpsoffered_downlink FROM w)
 SELECT source_file, direction, -1e0 AS latency_ms, round(j, 9) AS jitter_ms, round(least(100e0, greatest(0e0, l * 100)), 9) AS packet_loss_percent,
- round(least(100e0, greatest(0e0, o / 150e0 * 100)), 9) AS bandwidth_utilization_percent, round(a, 9) AS actual_throughput_mbps FROM s""")
+ round(least(100e0, greatest(0e0, o / 150e0 * 100)), 9) AS bandwidth_utilization_percent, round(a, 9) AS actual_throughput_mbps FROM s"""
+
+
+@query("link_features_without_packets", BOTH_DIRECTIONS)
+@query("link_features_without_packets_rows", BOTH_DIRECTIONS)
 def link_features_rows(spark, sf):
     """Every row of both directions."""
     table_ = links.link_features(links.unpivot_directions(throughput_wide(spark, sf)), None)

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkgauge.functions.numeric import number
-from linkgauge.operators.ordering import exact_percentiles
+from linkgauge.operators.ordering import exact_percentiles, part_offsets, range_positions
+from linkgauge.session import materialize
+
+# categories of a column that are encoded one by one
+MAX_CATEGORIES = 10_000
 
 
 def column_kinds(df: DataFrame, features: list[str]) -> tuple[list[str], list[str]]:
@@ -68,12 +72,24 @@ def _literal(value) -> str:
     return repr(float(value)) + "D" if isinstance(value, (int, float)) else "'" + value.replace("'", "\\'") + "'"
 
 
-def fit_encoder(train: DataFrame, features: list[str], scale: bool = False) -> PipelineModel:
+def check_width(train: DataFrame, categorical: list[str], most: int) -> None:
+    """Stop when a column has more than about ``most`` categories: its labels and its vectors would have no bound."""
+    if not categorical:
+        return
+    sizes = train.agg(*[F.approx_count_distinct(F.col(f"`{c}`").cast("string"), 0.02).alias(c) for c in categorical]).first().asDict()
+    wide = {c: n for c, n in sizes.items() if n > most}
+    if wide:
+        raise ValueError(f"too many categories to encode one by one: {wide}; drop these columns or use encode_tokens")
+
+
+def fit_encoder(train: DataFrame, features: list[str], scale: bool = False, max_categories: int = MAX_CATEGORIES) -> PipelineModel:
     """Fill, optionally standardise, one-hot encode; adds the vector ``features``.
 
-    A category not seen in training becomes all zeros. Medians are exact.
+    A category not seen in training becomes all zeros. Medians are exact. A column of more than
+    ``max_categories`` values is an error.
     """
     numeric, categorical = column_kinds(train, features)
+    check_width(train, categorical, max_categories)
     fills = fill_values(train, numeric, categorical)
     parts = [f"coalesce(cast(`{c}` as double), {_literal(fills.get(c))}) as `_n_{c}`" for c in numeric]
     parts += [f"coalesce(cast(`{c}` as string), {_literal(fills.get(c))}) as `_c_{c}`" for c in categorical]
@@ -130,10 +146,10 @@ def encode_tokens(train: DataFrame, df: DataFrame, numeric: list[str], categoric
 def category_index(train: DataFrame, column: str) -> DataFrame:
     """(value, token): alphabetical position from 1 of the distinct training values.
 
-    The window runs over distinct values of one feature, not over rows.
+    Values are sorted in ranges; counts and offsets of the ranges make the numbers dense, so no task and no
+    driver holds them all.
     """
-    from pyspark.sql import Window
-
     values = train.select(F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias("value")).distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy("value")
-    return values.withColumn("token", F.row_number().over(order))
+    placed = range_positions(materialize(values, "values"), F.col("value"))
+    token = F.col("_before") + F.col("_place") - F.col("_first") + 1
+    return placed.join(part_offsets(placed, []), "_part").select("value", token.cast("int").alias("token"))

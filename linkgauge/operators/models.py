@@ -147,6 +147,16 @@ def external_model(name: str, predict: Predictor) -> ModelSpec:
     return ModelSpec(name, lambda train, target, features: Fitted(predict))
 
 
+def batch_model(name: str, make_predict, inputs: list[str], batch_size: int = 10_000) -> ModelSpec:
+    """Bring your own model as a batch predictor: ``make_predict()`` runs once in each Python worker (to load the
+    model) and gives a function from numpy columns to predictions. Rows are sent in Arrow batches."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import DoubleType
+
+    predict = predict_batch_udf(make_predict, return_type=DoubleType(), batch_size=batch_size)
+    return external_model(name, lambda df: df.withColumn("y_pred", predict(*[F.col(c).cast("double") for c in inputs])))
+
+
 def _each_fold(k: int, score, parallelism: int) -> DataFrame:
     """Union of the folds' scored rows; fits are submitted side by side, like a cross validator does."""
     with ThreadPoolExecutor(max_workers=max(1, min(k, parallelism))) as pool:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkgauge.functions.numeric import FLOATING, MISSING_TOKENS, finite
+from linkgauge.session import materialize
 
 # File suffixes that are read.
 SUFFIXES = ["csv", "tsv", "txt", "json", "jsonl", "ndjson", "parquet"]
@@ -139,6 +140,79 @@ def scan_delimited(
     return kept.select(*[F.col(f).alias(n) for f, n in zip(fields, names)], *origin)
 
 
+def _ends_open(line: Column, sep: str, start: str = "^|") -> Column:
+    """Whether a line that begins outside quotes ends inside a quoted field. Quotes inside plain fields are text."""
+    inside = '[^"]*+(?:""[^"]*+)*+'
+    done = F.regexp_replace(line, f'({start}{re.escape(sep)})"{inside}"(?={re.escape(sep)}|$)', "$1")
+    return done.rlike(f'({start}{re.escape(sep)})"{inside}$')
+
+
+def has_line_breaks(spark: SparkSession, paths, sep: str = ",") -> bool:
+    """Whether any line ends inside a quoted field; the search ends at the first."""
+    return not spark.read.text(paths).filter(_ends_open(F.col("value"), sep)).isEmpty()
+
+
+def csv_records(spark: SparkSession, paths, sep: str = ",") -> DataFrame:
+    """Records of delimited text whose quoted fields may hold line breaks: file, record_no (from 0), record.
+
+    Large files stay split. Each line maps "inside quotes before it" to "inside quotes after it": it keeps, swaps or sets the
+    state, whatever came before. Lines are composed inside a block, blocks by a small table with one row each, so
+    every line learns its state; lines that stand alone stay where they are, the others are joined by record.
+    """
+    text = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), "value")
+    rest = F.regexp_replace("value", '^[^"]*+(?:""[^"]*+)*+', "")
+    after_close = _ends_open(F.concat(F.lit("x"), F.substr(rest, F.lit(2))), sep, "")
+    lines = text.withColumns({"out": _ends_open(F.col("value"), sep), "in": (rest == "") | after_close})
+    lines = materialize(lines.withColumns({
+        "sets": F.when(F.col("out") == F.col("in"), F.col("out")), "swaps": (F.col("out") & ~F.col("in")).cast("int")}).drop("out", "in"), "csv")
+
+    def state(before, along):
+        """The state after a row: that of the last setting row, or ``before``, swapped as often as rows since then swap."""
+        total = F.sum("swaps").over(along)
+        last = F.last(F.when(F.col("sets").isNotNull(), F.struct("sets", total.alias("total"))), ignorenulls=True).over(along)
+        odd = lambda n: n % 2 == 1
+        return F.when(last.isNotNull(), last["sets"] != odd(total - last["total"])).otherwise(before != odd(total))
+
+    along = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    # a block as one row: what it sets, if it does, and whether it swaps
+    set_at = F.max(F.when(F.col("sets").isNotNull(), F.struct("at", "sets", "total")))
+    blocks = lines.withColumn("total", F.sum("swaps").over(along)).groupBy("file", "block").agg(
+        set_at.alias("s"), F.max("total").alias("swaps")).select(
+        "file", "block", (F.col("s.sets") != ((F.col("swaps") - F.col("s.total")) % 2 == 1)).alias("sets"), "swaps")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("after", state(F.lit(False), earlier))
+    whole = Window.partitionBy("file").orderBy("block")
+    starts = materialize(blocks.select("file", "block", F.coalesce(F.lag("after").over(whole), F.lit(False)).alias("before")), "blocks")
+    known = lines.join(starts, ["file", "block"]).withColumn("after", state(F.col("before"), along))
+    opened = F.coalesce(F.lag("after").over(Window.partitionBy("file", "block").orderBy("at")), F.col("before"))
+    told = known.withColumn("opened", opened).withColumn("begins", F.when(~F.col("opened"), 1).otherwise(0))
+    told = materialize(told.withColumn("inside", F.sum("begins").over(along)).select("file", "block", "at", "value", "opened", "after", "inside"), "csv")
+    counts = told.groupBy("file", "block").agg(F.max("inside").alias("begun"))
+    offset = F.coalesce(F.sum("begun").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("file", "block", offset.alias("offset"))
+    numbered = told.join(offsets, ["file", "block"]).select("file", "at", "block", "value", (F.col("offset") + F.col("inside") - 1).alias("record_no"), "opened", "after")
+    alone = ~F.col("opened") & ~F.col("after")
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("block", "at", "value"))), lambda x: x["value"])
+    joined = numbered.filter(~alone).groupBy("file", "record_no").agg(F.array_join(pieces, "\n").alias("record"))
+    return numbered.filter(alone).select("file", "record_no", F.col("value").alias("record")).unionAll(joined)
+
+
+def scan_records(spark: SparkSession, paths, names: list[str], sep: str = ",", header: bool = True, source_file: str | None = None) -> DataFrame:
+    """As ``scan_delimited``, for files whose quoted fields hold line breaks. Of each record only wanted fields are kept."""
+    records = csv_records(spark, paths, sep).filter(F.col("record").rlike(r"\S"))
+    if header:
+        records = records.filter("record_no > 0")
+    inside = '[^"]*+(?:""[^"]*+)*+'
+    unquoted = F.regexp_replace("record", f'"{inside}"', "")
+    fitting = records.filter(F.size(F.split(unquoted, re.escape(sep))) <= len(names))
+    fields = ", ".join(f"f{i} string" for i in range(len(names)))
+    parsed = F.from_csv("record", fields, {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxCharsPerColumn": "-1"})
+    origin = [F.element_at(F.split("file", "/"), -1).alias(source_file)] if source_file else []
+    return fitting.withColumn("_p", parsed).select(*[F.col(f"_p.f{i}").alias(n) for i, n in enumerate(names)], *origin)
+
+
 def scan_json(spark: SparkSession, paths, lines: bool) -> DataFrame:
     """JSON by line or as a whole document."""
     return spark.read.option("multiLine", str(not lines).lower()).json(paths)
@@ -231,7 +305,8 @@ def scan_dataset(spark: SparkSession, files: list[dict]) -> DataFrame:
     for (kind, header), paths in layouts.items():
         if kind in SEPARATORS:
             names = split_header(header, SEPARATORS[kind])
-            frames.append(missing_tokens_to_null(scan_delimited(spark, paths, names, SEPARATORS[kind])))
+            scan = scan_records if has_line_breaks(spark, paths, SEPARATORS[kind]) else scan_delimited
+            frames.append(missing_tokens_to_null(scan(spark, paths, names, SEPARATORS[kind])))
         elif kind == "parquet":
             frames.append(strip_columns(scan_parquet(spark, paths)))
         else:

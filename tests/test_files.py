@@ -62,6 +62,35 @@ def test_delimited_long_and_short_rows(spark, raw):
     assert got["3"] is None and "4" not in got and got["5"] == "�" and len(got) == 5
 
 
+@pytest.mark.parametrize("block", [40, 64, 1000, 128 << 20])
+def test_quoted_line_breaks_in_split_files(spark, tmp_path, block):
+    """Records as Python's reader sees them, wherever the file is cut: breaks, doubled quotes, quotes inside plain fields."""
+    import csv
+    import random
+
+    draw = random.Random(block)
+    cells = ["a", "", "5 inch", 'say ""hi""', "x,y", "one\ntwo", "three\n\n,four\"", 'end"', "é", "long " * 9, "\n"]
+    rows = [[draw.choice(cells) for _ in range(draw.choice([3, 3, 3, 3, 2, 4]))] for _ in range(150)]
+    for number in (1, 2):
+        with open(tmp_path / f"{number}.csv", "w", newline="") as out:
+            csv.writer(out, lineterminator="\n").writerows([["p", "q", "r"], *rows[number::2]])
+            out.write('plain 5" and 6",mid"dle,7"\n')
+    expected = []
+    for number in (1, 2):
+        with open(tmp_path / f"{number}.csv", newline="") as given:
+            read = [r for r in list(csv.reader(given))[1:] if r]
+        expected += [tuple(x or None for x in [*r, None, None][:3]) for r in read if len(r) <= 3]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    try:
+        assert files.has_line_breaks(spark, str(tmp_path))
+        got = [tuple(r) for r in files.scan_records(spark, str(tmp_path), ["p", "q", "r"]).collect()]
+        numbers = files.csv_records(spark, str(tmp_path)).groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("record_no").alias("d"), F.max("record_no").alias("m")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(128 << 20))
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+    assert all(r.n == r.d == r.m + 1 for r in numbers)
+
+
 def test_inspect(spark, raw):
     summaries, labels, errors = datasets.inspect_datasets(spark, raw, exclude=["skip_me"])
     assert [(e["dataset"], e["file"].rsplit("/", 1)[-1]) for e in errors.collect()] == [("beta", "broken.parquet")]
