@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from linkgauge.functions.numeric import clip, percent_of
 from linkgauge.operators.flows import FEATURE_COLUMNS, TARGET
 from linkgauge.operators.joining import null_safe_join
+from linkgauge.session import materialize
+
+# rows of a (key, time slice) that one task sorts; fuller slices are cut into at most CUTS parts
+SLICE_ROWS = 1_000_000
+CUTS = 1 << 20
 
 # Keys of one radio configuration.
 CONFIG_KEYS = ["gnb", "sdr", "bw_mhz", "slots", "ratio", "direction"]
@@ -59,17 +64,36 @@ def delay_by_config(packets: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _with_previous(packets: DataFrame, keys: list[str], slice_seconds: float, time: str, last: DataFrame | None):
+def _sliced(packets: DataFrame, keys: list[str], slice_seconds: float, time: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """``packets`` with ``_slice``, a number that grows with time, and the end of each (key, slice).
+
+    A slice of more than ``most`` rows is cut into as many equal parts as make it even a quarter as full; slices are
+    counted anyway for their ends, so nothing more is read when none is.
+    """
+    sliced = packets.withColumn("_slice", F.floor(F.col(time) / F.lit(float(slice_seconds))) * CUTS)
+    counts = materialize(sliced.groupBy(*keys, "_slice").agg(
+        F.max(time).alias("_end"), F.min(time).alias("_low"), F.count("*").alias("_rows")), "slices")
+    full = counts.filter((F.col("_rows") > most) & (F.col("_low") < F.col("_end")))
+    if full.isEmpty():
+        return sliced, counts.select(*keys, "_slice", "_end")
+    cuts = F.least(F.lit(CUTS), F.ceil(F.col("_rows") * 4 / F.lit(most)))
+    # written, so that Spark sees how small it is: one row for each full slice
+    cut = materialize(full.select(*keys, "_slice", "_low", (F.col("_end") - F.col("_low")).alias("_width"), cuts.alias("_cuts")), "cuts")
+    inside = F.least(F.floor((F.col(time) - F.col("_low")) / F.col("_width") * F.col("_cuts")), F.col("_cuts") - 1)
+    finer = null_safe_join(sliced, cut, [*keys, "_slice"], "left").withColumn("_slice", F.col("_slice") + F.coalesce(inside, F.lit(0)))
+    finer = finer.drop("_low", "_width", "_cuts")
+    return finer, finer.groupBy(*keys, "_slice").agg(F.max(time).alias("_end"))
+
+
+def _with_previous(packets: DataFrame, keys: list[str], slice_seconds: float, time: str, last: DataFrame | None, most: int = SLICE_ROWS):
     """Add ``_slice`` and ``_previous``, the time of the packet before of the same key.
 
     Time is cut into slices and a window only sorts one (key, slice). The last time of the
     slice before comes from a small table with one row per (key, slice).
     """
-    sliced = packets.withColumn("_slice", F.floor(F.col(time) / F.lit(float(slice_seconds))))
+    sliced, found = _sliced(packets, keys, slice_seconds, time, most)
     by_time = Window.partitionBy(*keys).orderBy("_slice")
-    ends = sliced.groupBy(*keys, "_slice").agg(F.max(time).alias("_end")).select(
-        *keys, "_slice", F.lag("_end").over(by_time).alias("_before")
-    )
+    ends = found.select(*keys, "_slice", F.lag("_end").over(by_time).alias("_before"))
     if last is not None:
         ends = null_safe_join(ends, last, keys, "left").withColumn("_before", F.coalesce("_before", "last")).drop("last")
     inside = Window.partitionBy(*keys, "_slice").orderBy(time)
@@ -82,7 +106,7 @@ def _with_previous(packets: DataFrame, keys: list[str], slice_seconds: float, ti
 
 def inter_arrival(
     packets: DataFrame, keys: list[str], slice_seconds: float = 3600.0, time: str = "epoch",
-    last: DataFrame | None = None,
+    last: DataFrame | None = None, slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Gap to the previous packet of the same key in seconds; 0 for the first packet.
 
@@ -91,12 +115,13 @@ def inter_arrival(
     ``last`` (keys, last) continues from packets seen earlier.
     """
     gap = F.coalesce(F.col(time) - F.col("_previous"), F.lit(0.0))
-    linked = _with_previous(packets, keys, slice_seconds, time, last)
+    linked = _with_previous(packets, keys, slice_seconds, time, last, slice_rows)
     return linked.withColumn("iat", F.when(F.col(time).isNotNull(), F.greatest(F.lit(0.0), gap))).drop("_slice", "_previous")
 
 
 def burst_table(
-    packets: DataFrame, keys: list[str], gap_seconds: float, slice_seconds: float = 3600.0, time: str = "epoch"
+    packets: DataFrame, keys: list[str], gap_seconds: float, slice_seconds: float = 3600.0, time: str = "epoch",
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Packet trains: first and last time, packets and length per burst of each key.
 
@@ -104,7 +129,7 @@ def burst_table(
     slice can belong to a burst across slices; these few rows are joined up per key. Packets without
     time belong to no train.
     """
-    linked = _with_previous(packets.filter(F.col(time).isNotNull()), keys, slice_seconds, time, None)
+    linked = _with_previous(packets.filter(F.col(time).isNotNull()), keys, slice_seconds, time, None, slice_rows)
     opens = F.col("_previous").isNull() | (F.col(time) - F.col("_previous") >= float(gap_seconds))
     inside = Window.partitionBy(*keys, "_slice").orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
     pieces = (

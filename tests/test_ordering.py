@@ -181,3 +181,16 @@ def test_slices_of_one_row_and_flat_truth(spark):
     assert got[("overall", "all")]["rows"] == 3
     assert got[("qos_class", "Gold")]["rmsle_delay_ms"] == pytest.approx(np.log(2))
     assert sum(r["rows"] for k, r in got.items() if k[0] == "scenario") == 3
+
+
+def test_full_time_slices_are_cut(spark):
+    """A key with most packets in one hour: no slice keeps more rows than allowed, and gaps and trains stay the same."""
+    rng = random.Random(12)
+    rows = [("hot", 7200 + rng.random() * 3000) for _ in range(3000)] + [("hot", float(i * 900)) for i in range(40)] + [("k", 5.0), (None, 6.0), (None, 8.5), ("k", None)]
+    df = spark.createDataFrame(rows, "k string, epoch double")
+    sliced, _ = links._sliced(df, ["k"], 3600.0, "epoch", 100)
+    assert sliced.groupBy("k", "_slice").count().agg(F.max("count")).first()[0] <= 100
+    key = lambda r: tuple((x is not None, x) for x in r)
+    for build in (lambda n: links.inter_arrival(df, ["k"], slice_rows=n), lambda n: links.burst_table(df, ["k"], 2.0, slice_rows=n)):
+        whole, cut = (sorted((tuple(r) for r in build(n).collect()), key=key) for n in (10**6, 100))
+        assert len(whole) == len(cut) and all(a == pytest.approx(b) for a, b in zip(whole, cut, strict=True))
