@@ -30,6 +30,8 @@ PERCENT = 80
 # How the order treats common shingles; it moves work, never results
 COMMON_DOCS = 3
 COMMON_KEPT = 500_000
+# open shingles of a set that tell at which one a pair meets; it moves work, never results
+EARLIER = 8
 
 
 def needed(n: int, percent: int) -> int:
@@ -59,7 +61,12 @@ def frequent_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often])], names=["h", "n"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "h long, n long")
-    top = counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_DOCS).orderBy(F.desc("n"), "h").limit(COMMON_KEPT)
+    often = materialize(counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_DOCS), "common")
+    # the least count that leaves no more than COMMON_KEPT: no task and no sort sees more than that many
+    steps = Window.partitionBy(F.lit(0)).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    kept = often.groupBy("n").agg(F.count(F.lit(1)).alias("k")).withColumn("k", F.sum("k").over(steps)).where(F.col("k") <= COMMON_KEPT)
+    least = kept.agg(F.min("n")).first()[0]
+    top = often.where(F.lit(False) if least is None else F.col("n") >= least)
     return np.sort(top.select("h").toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -210,15 +217,13 @@ def _labelled_rows(docs: DataFrame, key: str, text: str, size: int, percent: int
     groups = full.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = groups.select(g64, "n", F.posexplode("prefix").alias("pos", "token"))
     # a shingle that one group alone has in its prefix links nothing
-    order = Window.partitionBy("token").orderBy("n", "g")
-    shared = materialize(
-        postings.withColumns({"p": F.lag("g").over(order), "q": F.lead("g").over(order)})
-        .where(F.col("p").isNotNull() | F.col("q").isNotNull()).drop("p", "q"), "shared")
+    several = postings.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("token")
+    shared = materialize(postings.join(several, "token", "left_semi"), "shared")
     # members: the different sets of groups that share a shingle, or that hold several sets
-    classes = full.groupBy(g64, "n", "cid").agg(F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells"))
-    classes = materialize(classes, "classes")
-    many = classes.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("g")
-    members = materialize(classes.join(shared.select("g").unionAll(many).distinct(), "g"), "members")
+    many = full.groupBy(g64).agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high").select("g")
+    wanted = materialize(shared.select("g").unionAll(many).distinct(), "groups")
+    members = full.select(g64, "n", "cid", "doc_id", "cells").join(wanted, "g", "left_semi")
+    members = materialize(members.groupBy("g", "n", "cid").agg(F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells")), "members")
     check = lambda pairs: materialize(verified(pairs, members, docs, key, text, size, percent), "links")
 
     heads = members.groupBy("g").agg(F.min("cid").alias("head"))
@@ -243,20 +248,58 @@ def _star_pairs(shared: DataFrame, percent: int) -> DataFrame:
     return hits.select(F.least("g", "dg").alias("x"), F.greatest("g", "dg").alias("y")).distinct()
 
 
+def _reach(n: Column, pos: Column, percent: int) -> Column:
+    """The largest set that a set of ``n``, whose first common shingle is at ``pos``, can be linked to."""
+    return F.floor((100 + percent) * (n - pos) / percent) - n
+
+
+def _open_rows(shared: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
+    """The rows (token, g, n, pos, part) that may still link to another component at their token, with ``reach`` and ``main``.
+
+    A row stays if another component has a row at the token that is small enough for it and reaches it. That
+    needs no pair of rows: the least size and the largest reach of each (token, component), and of all other
+    components, tell. ``main`` is the component with most rows at the token.
+    """
+    rows = shared.join(spans, "g").withColumn("reach", _reach(F.col("n"), F.col("pos"), percent))
+    cells = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.max("reach").alias("most"))
+    cells = materialize(cells, "cells")
+    first = cells.groupBy("token").agg(
+        F.min(F.struct("least", "part")).alias("a"), F.max(F.struct("most", "part")).alias("b"), F.max(F.struct("k", "part")).alias("m"))
+    others = cells.join(first, "token").groupBy("token").agg(
+        F.min(F.when(F.col("part") != F.col("a.part"), F.col("least"))).alias("second_least"),
+        F.max(F.when(F.col("part") != F.col("b.part"), F.col("most"))).alias("second_most")).where(F.col("second_least").isNotNull())
+    facts = first.join(others, "token").select(
+        "token", F.col("a.least").alias("least"), F.col("a.part").alias("least_part"), F.col("b.most").alias("most"), F.col("b.part").alias("most_part"),
+        "second_least", "second_most", F.col("m.part").alias("main"))
+    least = F.when(F.col("part") == F.col("least_part"), F.col("second_least")).otherwise(F.col("least"))
+    most = F.when(F.col("part") == F.col("most_part"), F.col("second_most")).otherwise(F.col("most"))
+    return materialize(rows.join(facts, "token").where((least <= F.col("reach")) & (most >= F.col("n"))).select(
+        "token", "g", "n", "pos", "part", "reach", "main"), "open")
+
+
 def _left_over(shared: DataFrame, members: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Member pairs of group pairs that pass the filters and aren't known to be connected."""
+    """Member pairs of group pairs that pass the filters and aren't known to be connected.
+
+    Rows of a token's largest component never meet each other, only the other rows meet it; and a pair meets at
+    its first common shingle, as far as the first ``EARLIER`` open shingles of both tell.
+    """
     placed = materialize(members.join(parts, "cid").select("g", "cid", F.xxhash64("comp").alias("comp")), "placed")
-    spans = placed.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    mixed = shared.join(spans, "g").groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).where(F.col("l") != F.col("h")).select("token")
-    open_rows = materialize(shared.join(mixed, "token").join(spans, "g"), "open")
-    x = open_rows.select("token", *[F.col(c).alias(f"x{c}") for c in ("g", "n", "pos", "low", "high")])
-    y = open_rows.select("token", *[F.col(c).alias(f"y{c}") for c in ("g", "n", "pos", "low", "high")])
-    known = (F.col("xlow") == F.col("xhigh")) & (F.col("ylow") == F.col("yhigh")) & (F.col("xlow") == F.col("ylow"))
-    pairs = (
-        x.join(y, "token").where((F.col("xg") < F.col("yg")) & ~known & _can_link(F.col("xn"), F.col("xpos"), F.col("yn"), F.col("ypos"), percent))
-        .select(F.col("xg").alias("x"), F.col("yg").alias("y")).distinct()
-    )
-    same = spans.where(F.col("low") != F.col("high")).select(F.col("g").alias("x"), F.col("g").alias("y"))
+    both = placed.groupBy("g").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    # a group with members in several components is a part of its own
+    spans = both.select("g", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.xxhash64("g", "low")).alias("part"))
+    rows = _open_rows(shared, spans, percent)
+    firsts = rows.groupBy("g").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "token"))), 1, EARLIER).alias("firsts"))
+    earlier = F.transform(F.filter("firsts", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
+    told = materialize(rows.join(firsts, "g").select("token", "g", "n", "pos", "part", "reach", "main", earlier.alias("earlier")), "open")
+    columns = ("g", "n", "part", "reach", "earlier")
+    x = told.where(F.col("part") != F.col("main")).select("token", "main", *[F.col(c).alias(f"x{c}") for c in columns])
+    y = told.select("token", *[F.col(c).alias(f"y{c}") for c in columns])
+    # a pair outside the main component meets once, by the order of its groups
+    once = (F.col("ypart") == F.col("main")) | (F.col("xg") < F.col("yg"))
+    fits = (F.col("yn") <= F.col("xreach")) & (F.col("xn") <= F.col("yreach")) & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
+    met = x.join(y, "token").where((F.col("xpart") != F.col("ypart")) & once & fits & ~F.arrays_overlap("xearlier", "yearlier"))
+    pairs = met.select(F.least("xg", "yg").alias("x"), F.greatest("xg", "yg").alias("y")).distinct()
+    same = both.where(F.col("low") != F.col("high")).select(F.col("g").alias("x"), F.col("g").alias("y"))
     first = placed.toDF("x", "a", "comp_a")
     second = placed.toDF("y", "b", "comp_b")
     return pairs.unionAll(same).join(first, "x").join(second, "y").where("comp_a != comp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -107,3 +107,44 @@ def test_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1001), (1005, 1001)]
     out = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {i: 0 for i in range(201)} | {1000: 1000, 1001: 1000, 1005: 1000}
+
+
+def hot_corpus(seed):
+    """One text that all documents have parts of: copies with words changed, lines cut, words added, around the limit; some are strays."""
+    draw = random.Random(seed)
+    word = lambda: f"w{draw.randint(0, 10**6)}"
+    base, rows = [f"b{i}" for i in range(90)], []
+    for _ in range(110):
+        copy = list(base)
+        for _ in range(draw.choice([0, 1, 2, 3, 4])):
+            copy[draw.randrange(len(copy))] = word()
+        if draw.random() < 0.5:
+            start, size = draw.randrange(60), draw.choice([5, 10, 15, 20])
+            del copy[start : start + size]
+        copy += [word() for _ in range(draw.choice([0, 0, 5, 10, 20]))]
+        rows.append(" ".join(copy))
+    family = base[40:] + [word() for _ in range(40)]
+    rows += [" ".join([*family[:i], word(), *family[i + 1 :]]) for i in range(0, 80, 8)]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("seed,earlier", [(1, 8), (2, 1), (3, 3)])
+def test_a_shingle_that_all_have(spark, monkeypatch, seed, earlier):
+    monkeypatch.setattr(prefix_join, "EARLIER", earlier)
+    rows = hot_corpus(seed)
+    docs = spark.createDataFrame([(*r, "c", 1) for r in rows], SCHEMA).repartition(3)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in prefix_join.near_duplicates(docs).collect()]
+    expected = brute(rows)
+    assert len({c for _, _, c in expected}) > 20 and sorted(got) == sorted(expected)
+
+
+def test_rows_that_reach_no_other_component_are_dropped(spark):
+    """By the least size and largest reach of the other components; the rest stays, whatever its component."""
+    rows = [(1, 10, 100, 0, 7), (1, 11, 100, 5, 7), (1, 12, 100, 30, 8), (1, 13, 70, 0, 9), (2, 10, 100, 1, 7), (2, 11, 100, 6, 7)]
+    shared = spark.createDataFrame([r[:4] for r in rows], "token long, g long, n long, pos long")
+    spans = spark.createDataFrame(sorted({(r[1], r[4]) for r in rows}), "g long, part long")
+    assert prefix_join._open_rows(shared, spans, 80).count() == 0
+    more = spark.createDataFrame([(1, 14, 90, 2), (1, 15, 70, 3)], "token long, g long, n long, pos long")
+    parts = spark.createDataFrame([(14, 5), (15, 6)], "g long, part long")
+    left = prefix_join._open_rows(shared.unionAll(more), spans.unionAll(parts), 80)
+    assert {(r.token, r.g, r.main) for r in left.collect()} == {(1, 10, 7), (1, 11, 7), (1, 13, 7), (1, 14, 7), (1, 15, 7)}
