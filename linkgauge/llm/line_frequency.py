@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkgauge.llm.text import WHITE, spare_name, text_key
+from linkgauge.operators.joining import null_safe_join
+from linkgauge.session import materialize
 
 # Production limits
 MAX_DOCS = 20  # distinct texts of a host that may share a line, however small the host
@@ -165,3 +167,37 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", max_docs: i
         *[c(k).alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         F.col("__lost").alias("n_removed_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
         clean.alias("clean_text"))).select(*docs.columns, name)
+
+
+def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", max_docs: int = MAX_DOCS,
+             max_line_words: int = MAX_LINE_WORDS, min_left_percent: int = MIN_LEFT_PERCENT, max_percent: float = MAX_PERCENT) -> DataFrame:
+    """The verdicts of ``judge`` without cleaned texts: the columns of ``docs`` but its text, and a struct ``quality``.
+
+    Counts are made where a text is read, lines leave as hashes, and what a text loses is summed over its lines: no
+    text is shuffled. A line of more than ``max_line_words`` words stays in the text whose ``key`` is least (null last,
+    then by hash). Copies of a text in a host count once and get one verdict; a null host is a host of its own; null
+    and empty texts have no words and fail; repeated rows each stay; columns of any name stay.
+    """
+    name = spare_name(docs, "quality")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    narrow = docs.select(F.struct(*rest).alias("row"), F.col(host).alias("host"), _text_struct(text).alias("key"), text_counts(F.col(text)).alias("c"))
+    given = docs.where(F.col(text).isNotNull())
+    split = F.filter(F.split(F.col(text), "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
+    at = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"))
+    lines = given.select(F.col(host).alias("host"), _text_struct(text).alias("key"), at.alias("at"), F.explode(split).alias("line"))
+    lines = materialize(lines.groupBy("host", "key", line_key(F.col("line")).alias("line"), _line_words(F.col("line")).alias("words")).agg(
+        F.min("at").alias("at"), F.count(F.lit(1)).alias("times")), "lines")
+    texts = materialize(given.select(F.col(host).alias("host"), _text_struct(text).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("copies")), "texts")
+    often = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("at", "key.k0")).alias("first")).where(F.col("n_docs") > max_docs)
+    often = null_safe_join(often, texts.groupBy("host").agg(F.count(F.lit(1)).alias("n_texts")), ["host"])
+    often = materialize(often.where(100 * F.col("n_docs") > max_percent * F.col("n_texts")).select("host", "line", "first"), "often")
+    stays = (F.col("words") > max_line_words) & (F.struct("at", "key.k0") == F.col("first"))
+    total = null_safe_join(lines, often, ["host", "line"]).where(~stays).groupBy("host", "key").agg(F.sum(F.col("times") * F.col("words")).alias("total"))
+    lost = null_safe_join(total, texts, ["host", "key"]).select("host", "key", F.expr("total div copies").alias("lost"))
+    told = null_safe_join(narrow, lost, ["host", "key"], "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
+    c = lambda k: F.col("c")[k]
+    failed = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
+    depleted = 100 * (c("n_words") - F.col("lost")) < min_left_percent * c("n_words")
+    return told.select("row", F.struct(
+        *[c(k).alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        F.col("lost").alias("n_removed_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept")).alias("q")).select("row.*", F.col("q").alias(name))

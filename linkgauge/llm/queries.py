@@ -31,14 +31,8 @@ VERDICTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the limits of its SQL: more than 20 texts of a host, lines of up to 20 words."""
-    judged = line_frequency.judge(table(spark, sf_dir, "documents"), max_percent=0, long_lines=False)
-    return judged.select("doc_id", *[F.col("quality")[n].alias(n) for n in VERDICTS])
-
-
-def op4_line_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As in the pipeline: a share of the host's texts, lines of every length."""
-    judged = line_frequency.judge(table(spark, sf_dir, "documents"))
+    """The rules of the pipeline: lines of every length in more than 20 texts and 4 % of the host's texts."""
+    judged = line_frequency.verdicts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return judged.select("doc_id", *[F.col("quality")[n].alias(n) for n in VERDICTS])
 
 
@@ -89,7 +83,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(words)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_forest, op2_latent_leaks, op3_grouped_prefix_join, op4_line_frequency, op4_line_share, op5_text_blocks, op6_training_order, op7_best_fit_packing, op8_line_windows, op9_communication_matrix, op10_url_trees, op11_prefix_trie, op12_systematic_mix, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_secret_forest, op2_latent_leaks, op3_grouped_prefix_join, op4_line_frequency, op5_text_blocks, op6_training_order, op7_best_fit_packing, op8_line_windows, op9_communication_matrix, op10_url_trees, op11_prefix_trie, op12_systematic_mix, op13_spelling_variants)}
 
 OP4_SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, text IS NULL AS absent FROM documents),
@@ -105,12 +99,18 @@ l AS (SELECT DISTINCT source, text, array_to_string(regexp_extract_all(x, '[^\\x
       FROM (SELECT source, text, unnest(full_lines) AS x FROM c WHERE NOT absent)),
 n AS (SELECT source, text, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line,
       len(string_split(raw, ' ')) AS words FROM l),
-short AS (SELECT DISTINCT * FROM n WHERE words <= 20),
-boiler AS (SELECT source, line FROM short GROUP BY ALL HAVING count(*) > 20),
+own AS (SELECT source, text, min(doc_id) AS doc_id FROM c WHERE NOT absent GROUP BY ALL),
+every AS (SELECT DISTINCT * FROM n),
+hosts AS (SELECT source, count(*) AS n_texts FROM own GROUP BY source),
+boiler AS (SELECT e.source, e.line, min(own.doc_id) AS first FROM every e
+      JOIN own ON e.source IS NOT DISTINCT FROM own.source AND e.text = own.text JOIN hosts h ON e.source IS NOT DISTINCT FROM h.source
+      GROUP BY e.source, e.line, h.n_texts HAVING count(*) > 20 AND 100 * count(*) > 4 * h.n_texts),
 lines AS (SELECT source, text, translate(array_to_string(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line
       FROM (SELECT source, text, unnest(full_lines) AS x FROM (SELECT DISTINCT source, text, full_lines FROM c WHERE NOT absent))),
 lost AS (SELECT s.source, s.text, sum(len(string_split(s.line, ' '))) AS n
-      FROM lines s JOIN boiler b ON s.source IS NOT DISTINCT FROM b.source AND s.line = b.line GROUP BY ALL),
+      FROM lines s JOIN boiler b ON s.source IS NOT DISTINCT FROM b.source AND s.line = b.line
+      JOIN own ON s.source IS NOT DISTINCT FROM own.source AND s.text = own.text
+      WHERE NOT (len(string_split(s.line, ' ')) > 20 AND own.doc_id = b.first) GROUP BY ALL),
 r AS (SELECT c.doc_id, c.n_words::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
         length(regexp_replace(c.text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
         (len(full_lines) - len(list_distinct(full_lines)))::BIGINT AS n_dup_lines,
