@@ -1,4 +1,4 @@
-"""Queries for simulator records, paths, topologies and synthetic traffic."""
+"""Queries for simulator records, paths, topologies and loads."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from catalog.adapters import (
 )
 from catalog.registry import query, r, rounded
 from linkgauge.functions.parsing import path_hops, result_records, traffic_records
-from linkgauge.operators import delays, routing, synthesis
+from linkgauge.operators import delays, loads, routing
 
 RECORDS = "list_filter(string_split(split_part({line}, '|', 2), ';'), lambda v: trim(v) <> '')"
 RES = RECORDS.format(line="sim_line")
@@ -138,46 +138,26 @@ def all_pairs_paths(spark, sf):
     return routing.route_table(routing.all_pairs_paths(edges(spark, sf)))
 
 
-def _draw(seed: int, block: int, piece: int, *identity: str) -> str:
-    text = f"md5(concat_ws('|', '{seed}:{block}', {', '.join(f'cast({c} AS varchar)' for c in identity)}))"
-    return f"(cast(('0x' || substr({text}, {8 * piece + 1}, 8)) AS bigint) / 4294967296e0)"
+ROUTED = f"""WITH {FLOWS_CTE}, {SHIFTED}, ro AS ({ROUTES_SQL}),
+m AS (SELECT line_no, split_part(manifest_line, ';', 2) AS graph, replace(split_part(manifest_line, ';', 3), '.txt', '') AS routing FROM s),
+fl AS (SELECT graph, nodes, cast(t[2] AS double) AS bw, cast(t[-1] AS int) AS tos FROM f JOIN m USING (line_no) JOIN ro USING (routing, route_no))"""
 
 
-MATRIX_ID = ("graph", "src", "dst")
+def routed(spark, sf):
+    """The measured flows of the simulator lines with the nodes of their routes."""
+    flows = delays.surviving_flows(delays.with_manifest(sim_lines(spark, sf)))
+    return loads.routed_flows(flows, routes(spark, sf))
 
 
-@query("traffic_matrix", f"""
-WITH ro AS ({ROUTES_SQL}), pairs AS (SELECT routing AS graph, route_no AS src, nodes[-1] AS dst FROM ro)
-SELECT graph, src, dst, cast(floor({_draw(42, 0, 0, *MATRIX_ID)} * 8001) AS bigint) + 2000 AS avg_bw,
- ['0', '1', '2,10,5'][cast(floor({_draw(42, 0, 1, *MATRIX_ID)} * 3) AS int) + 1] AS time_dist,
- ['0,300,0.5,1700,0.5', '0,500,0.4,1000,0.3,1400,0.3'][cast(floor({_draw(42, 0, 2, *MATRIX_ID)} * 2) AS int) + 1] AS pkt_dist,
- cast(CASE WHEN {_draw(42, 0, 3, *MATRIX_ID)} < 0.1e0 THEN 0 WHEN {_draw(42, 0, 3, *MATRIX_ID)} < 0.4e0 THEN 1 ELSE 2 END AS int) AS tos
-FROM pairs""")
+@query("traffic_matrix", f"""{ROUTED}, c AS (SELECT graph, nodes[1] AS src, nodes[-1] AS dst, tos, count(*) AS n, sum(bw) AS bw FROM fl GROUP BY ALL)
+SELECT graph, src, dst, cast(sum(n) AS bigint) AS flows, round(sum(bw) / sum(n), 6) AS avg_bw, arg_min(tos, -n * 1000 + tos) AS tos FROM c GROUP BY 1, 2, 3""")
 def traffic_matrix(spark, sf):
-    pairs = routes(spark, sf).select(
-        F.col("routing").alias("graph"), F.col("route_no").alias("src"), F.element_at("nodes", -1).alias("dst"))
-    return synthesis.traffic_matrix(pairs)
-
-
-NUMBERS = list(synthesis.UNIFORM_RANGES.items())
-SYNTH_COLUMNS = ", ".join(
-    f"{float(low)}e0 + {_draw(42, i // 4, i % 4, 'o_orderkey')} * {high - low} AS {name}"
-    for i, (name, (low, high)) in enumerate(NUMBERS))
-
-
-@query("synthetic_flows", f"""
-WITH f AS (SELECT o_orderkey, {SYNTH_COLUMNS},
- cast(floor({_draw(42, 1, 2, 'o_orderkey')} * 99990) AS bigint) + 10 AS packet_count,
- ['TCP', 'UDP'][cast(floor({_draw(42, 1, 3, 'o_orderkey')} * 2) AS int) + 1] AS protocol,
- ['voice', 'video', 'web', 'file_transfer', 'database'][cast(floor({_draw(42, 2, 0, 'o_orderkey')} * 5) AS int) + 1] AS application_type,
- ['MPLS', 'Broadband', 'LTE'][cast(floor({_draw(42, 2, 1, 'o_orderkey')} * 3) AS int) + 1] AS link_type,
- cast(floor({_draw(42, 2, 2, 'o_orderkey')} * 24) AS int) AS time_of_day FROM orders)
-SELECT o_orderkey, {r(*[n for n, _ in NUMBERS], digits=9)}, packet_count, protocol, application_type, link_type, time_of_day,
- cast(least(100, 30 + CASE application_type WHEN 'voice' THEN 30 WHEN 'video' THEN 25 WHEN 'database' THEN 15 WHEN 'web' THEN 10
-  ELSE 5 END + CASE WHEN latency_ms > 100 THEN 10 ELSE 0 END + CASE WHEN jitter_ms > 30 THEN 10 ELSE 0 END
-  + CASE WHEN packet_loss_percent > 2 THEN 10 ELSE 0 END + CASE WHEN bandwidth_utilization_percent > 80 THEN 5 ELSE 0 END) AS int)
-  AS recommended_bandwidth_percent FROM f""")
-def synthetic_flows(spark, sf):
-    ids = table(spark, sf, "orders").select("o_orderkey")
-    flows = synthesis.synthetic_flows(ids, "o_orderkey")
-    return rounded(flows, 9)
+    """What the measured flows ask for between end points."""
+    return rounded(loads.traffic_matrix(routed(spark, sf)))
+
+
+@query("link_loads", f"""{ROUTED}, h AS (SELECT graph, bw, nodes, unnest(range(1, len(nodes))) AS i FROM fl)
+SELECT graph, nodes[i] AS src, nodes[i + 1] AS dst, count(*) AS flows, round(sum(bw), 4) AS bandwidth FROM h GROUP BY 1, 2, 3""")
+def link_loads(spark, sf):
+    """What the measured flows put on each link of their routes."""
+    return rounded(loads.link_loads(routed(spark, sf)), 4)

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from linkgauge.operators import allocation, attribution, encoding, evaluation, models, routing, synthesis
+from linkgauge.operators import allocation, attribution, encoding, evaluation, loads, models, routing
 from linkgauge.plans import targets, training
 from linkgauge.streaming import runner, telemetry
 
@@ -147,14 +147,15 @@ def test_shortest_paths(spark):
     assert got[(1, 0, 4)] == [0, 1, 2, 4] and got[(1, 4, 0)] == [4, 2, 1, 0] and got[(2, 6, 5)] == [6, 5]
 
 
-def test_synthetic_flows_ranges(spark):
-    flows_ = synthesis.generate_flows(spark, 2000)
-    for name, (low, high) in synthesis.UNIFORM_RANGES.items():
-        row = flows_.agg(F.min(name), F.max(name), F.avg(name)).head()
-        assert low <= row[0] and row[1] < high and abs(row[2] - (low + high) / 2) < (high - low) * 0.05
-    row = flows_.agg(F.min("packet_count"), F.max("packet_count"), F.min("recommended_bandwidth_percent"),
-                     F.max("recommended_bandwidth_percent"), F.count_distinct("application_type")).head()
-    assert row[0] >= 10 and row[1] < 100000 and row[2] >= 35 and row[3] <= 95 and row[4] == 5
+def test_loads_of_routes(spark):
+    """Ties of ToS go to the smaller one; a route of one node loads no link; flows without a route are left out."""
+    flows = spark.createDataFrame([("g", "r", 0, 5.0, 2), ("g", "r", 0, 7.0, 1), ("g", "r", 1, 4.0, 0), ("g", "r", 2, 9.0, 1), ("g", "r", 9, 1.0, 1)],
+                                  "graph string, routing string, route_no int, offered_bandwidth double, tos int")
+    routes = spark.createDataFrame([("r", 0, [1, 2, 3]), ("r", 1, [1, 4, 2, 3]), ("r", 2, [6])], "routing string, route_no int, nodes array<int>")
+    routed = loads.routed_flows(flows, routes)
+    assert {tuple(r) for r in loads.traffic_matrix(routed).collect()} == {("g", 1, 3, 3, 16 / 3, 0), ("g", 6, 6, 1, 9.0, 1)}
+    assert {tuple(r) for r in loads.link_loads(routed).collect()} == {
+        ("g", 1, 2, 2, 12.0), ("g", 2, 3, 3, 16.0), ("g", 1, 4, 1, 4.0), ("g", 4, 2, 1, 4.0)}
 
 
 def test_linear_folds_from_gram_matrices(spark):
