@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.adapters import DELAY_SQL, delay_flows, table
-from catalog.evaluation import DELAY_METRICS, FLOWS, SETS, SLICE_KEYS
+from catalog.evaluation import CONFUSION, DELAY_METRICS, FLOWS, LINE_SQL, MEAN_SQL, PREDICTED, SETS, SLICE_KEYS
 from catalog.registry import query, r, rounded
 from linkgauge.functions.numeric import log_target
 from linkgauge.operators import attribution, encoding, evaluation, models
@@ -165,7 +165,12 @@ def loss_classifiers(spark, sf):
     return training.evaluate_loss_classifiers(flows(spark, sf).drop("fold"), ["row_id"], k=2, specs=specs)
 
 
-@query("evaluate_delay_models", None)
+def _sla_sql(name: str, scored: str) -> str:
+    return f"""SELECT '{name}' AS model, * FROM (WITH {scored}, s AS (SELECT *, CASE qos_class WHEN 'Gold' THEN 30e0 WHEN 'Silver' THEN 50e0 ELSE 60e0 END AS lim FROM scored)
+SELECT qos_class, lim AS sla_threshold_ms, {CONFUSION.format(extra=PREDICTED)} FROM s GROUP BY 1, 2)"""
+
+
+@query("evaluate_delay_models", _sla_sql("mean", MEAN_SQL) + " UNION ALL " + _sla_sql("line_routing_hops", LINE_SQL))
 def evaluate_delay_models(spark, sf):
     _, sla = training.evaluate_delay_models(
         flows(spark, sf), [models.mean_model(), models.line_model("routing_hops")], ["row_id"])
@@ -250,7 +255,13 @@ def permute_column(spark, sf):
     return attribution.permute_column(orders, ["o_orderkey"], "o_totalprice")
 
 
-@query("permutation_importance")
+@query("permutation_importance", f"""
+WITH f AS (SELECT row_id, routing_hops AS x, ln(greatest(avg_delay, 1e-9)) AS y FROM ({DELAY_SQL})),
+ft AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM f),
+g AS (SELECT x, y, row_number() OVER (ORDER BY md5(concat_ws('|', '42', row_id))) AS k FROM f),
+p AS (SELECT x AS px, row_number() OVER (ORDER BY md5(concat_ws('|', '43', row_id))) AS k FROM f)
+SELECT 'routing_hops' AS feature, round(avg(power(a + b * px - y, 2)) - avg(power(a + b * x - y, 2)), 6) AS importance FROM g JOIN p USING (k), ft
+UNION ALL SELECT 'n_nodes', 0e0 FROM (SELECT count(*) AS n FROM f) WHERE n > 0""")
 def permutation_importance(spark, sf):
     df = flows(spark, sf).select("row_id", "routing_hops", "n_nodes", "log_avg_delay")
     fitted = models.line_model("routing_hops").fit(df, "log_avg_delay", [])
