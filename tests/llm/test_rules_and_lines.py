@@ -120,3 +120,24 @@ def test_equal_rows_and_null_keys(spark):
     text = "one\ntwo\nthree"
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (None, text)], "doc_id long, text string")
     assert sorted(r.text for r in line_windows.remove_repeats(docs).collect()) == ["", "", text, text]
+
+
+def test_verdicts_agree_with_judge_and_keep_long_lines_once(spark):
+    """Without texts: the same counts and verdicts; a long line stays in the text of the least key; odd rows and names stay."""
+    short, long = "read our license terms", " ".join(f"l{i}" for i in range(25))
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(70))
+    rows = [(i, f"{body(i)}\n{short}\n{short.upper()}", "a", 1, "q") for i in range(30)]
+    rows += [(100 + i, f"{body(100 + i)}\n{long}", "b", 1, "q") for i in (3, 1, 2, *range(4, 30))]
+    rows += [(102, f"{body(102)}\n{long}", "b", 1, "q"), (None, None, None, None, None), (7, "", "a", 1, "q"), (None, f"{body(500)}\n{long}", "b", 1, None), (8, short, None, 1, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, host long, quality string")
+    got = line_frequency.verdicts(df, max_percent=50)
+    assert got.columns == ["doc_id", "source", "host", "quality", "_quality"] and got.count() == len(rows)
+    lost = {r.doc_id: r._quality.n_removed_words for r in got.where("source = 'b'").collect()}
+    assert lost == {k: 0 if k == 101 else 25 for k in lost} and None in lost
+    assert {r._quality.n_removed_words for r in got.where("source = 'a' AND doc_id < 30 AND doc_id != 7").collect()} == {8}
+    odd = {(r.doc_id, r.source): r._quality for r in got.where("source IS NULL OR doc_id = 7").collect()}
+    assert odd[None, None].n_words == 0 and odd[None, None].base_failed and odd[8, None].n_removed_words == 0
+    plain = df.where("source = 'a'")
+    counts = lambda table, name: sorted((r.doc_id, *[x for k, x in r[name].asDict().items() if k != "clean_text"]) for r in table.collect())
+    assert counts(line_frequency.verdicts(plain, max_percent=50), "_quality") == counts(line_frequency.judge(plain, max_percent=50), "_quality")
+    assert line_frequency.verdicts(df.limit(0)).count() == 0
