@@ -8,6 +8,7 @@ says which blocks are the article. The tree becomes a Column expression, so only
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from linkgauge.llm.text import spare_name
 FEATURES = ["words", "links", "prev_words", "prev_links", "next_words", "next_links", "in_article", "in_chrome", "heading", "has_article"]
 
 # HTML elements by their role in the page
-RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select", "button", "math", "audio", "video", "title", "datalist"}
+RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select", "button", "audio", "video", "title", "datalist"}
 # Of these, the ones whose content is no markup: only their own end tag ends them
 RAW_TEXT = {"script", "style", "noscript", "iframe", "textarea", "title"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
@@ -31,7 +32,7 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "caption", "cente
 CONTAINERS = {"article", "aside", "blockquote", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "header", "hgroup", "li", "main",
               "menu", "nav", "ol", "p", "section", "span", "table", "td", "th", "tr", "ul", "a", "ins"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-CHROME_TAGS = {"nav", "aside", "footer", "form", "menu", "dialog", "header"}
+CHROME_TAGS = {"nav", "aside", "footer", "menu", "dialog", "header"}
 ARTICLE_TAGS = {"article", "main"}
 # Closed without an end tag when the same element, or a container, begins or ends
 SELF_ENDING = {"p", "li", "td", "th", "tr"}
@@ -42,10 +43,15 @@ CHROME_WORDS = {"nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumb
                 "discussion", "tags", "pagination", "pager", "copyright", "toolbar", "toc", "contentinfo", "complementary", "menubar", "alertdialog"}
 ARTICLE_WORDS = {"article", "content", "post", "entry", "story", "main"}
 
+# made pages of the labelled table
+MADE_PAGES = 600
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>|<[!?/][^>]*+>""", re.DOTALL)
 _END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.IGNORECASE) for tag in [*RAW, "head"]}
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?=[\s=/]|$)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
 _WORD = re.compile("[a-z]+")
+# behind these a class name tells what a page lacks or holds elsewhere
+_ABOUT = {"no", "not", "has", "with", "without", "hide"}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -55,8 +61,12 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
-            words = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-            chrome, article = chrome or bool(words & CHROME_WORDS), article or bool(words & ARTICLE_WORDS)
+            for token in value.split():
+                words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token).lower())
+                words = words[: next((i for i, w in enumerate(words) if w in _ABOUT), len(words))]
+                if words:
+                    chrome = chrome or words[0] in CHROME_WORDS or words[-1] in CHROME_WORDS
+                    article = article or bool(ARTICLE_WORDS.intersection(words))
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             hidden = True
     return article and not chrome, chrome, hidden
@@ -78,26 +88,27 @@ def blocks_of(page: str | None) -> list[tuple[str, list[float]]]:
     Scripts, styles, forms' fields, the head and hidden elements have no blocks. Character references
     are decoded after the markup is cut, white space becomes one space, and no text is cut off.
     """
-    found: list[list] = []  # text, words, link words, in_article, in_chrome, heading
+    found: list[list] = []  # text, words, link words, in_article, in_chrome, heading, innermost form
+    forms = 0
     text: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, in article, in chrome, hidden
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, in article, in chrome, hidden, form
     links, heading, raw, outer, at, page = 0, "", "", "", 0, page or ""
     position, unclosed = 0, set()
 
-    def state() -> tuple[bool, bool, bool]:
-        return stack[-1][1:] if stack else (False, False, False)
+    def state() -> tuple[bool, bool, bool, int]:
+        return stack[-1][1:] if stack else (False, False, False, 0)
 
     def end_block() -> None:
         nonlocal text
         if text:
             whole = " ".join(html.unescape("".join(x for x, _ in text)).split())
-            article, chrome, hidden = state()
+            article, chrome, hidden, form = state()
             if whole and not hidden:
                 n = whole.count(" ") + 1
                 linked = len(html.unescape(" ".join(x for x, link in text if link)).split()) if any(link for _, link in text) else 0
                 # a header's heading inside an article is the article's title
                 titled = bool(heading) and article and all(not s[2] or s[0] in ("header", "hgroup", "div") and "article" in {t[0] for t in stack} for s in stack)
-                found.append([whole, n, min(1.0, linked / n), article, chrome and not titled, bool(heading)])
+                found.append([whole, n, min(1.0, linked / n), article, chrome and not titled, bool(heading), form])
             text = []
 
     while token := _TOKEN.search(page, position):
@@ -160,15 +171,25 @@ def blocks_of(page: str | None) -> list[tuple[str, list[float]]]:
                         if stack[-1][0] != "p" and not any(s[0] == "p" for s in stack):
                             break
                         stack.pop()
-                article, chrome, hidden = state()
+                article, chrome, hidden, form = state()
+                if tag == "form":
+                    forms += 1
+                    form = forms
                 own = _marks(tag, token[3]) if token[3] or tag in CHROME_TAGS or tag in ARTICLE_TAGS else (False, False, False)
-                stack.append((tag, article or own[0], chrome or own[1], hidden or own[2]))
+                stack.append((tag, article or own[0], chrome or own[1], hidden or own[2], form))
     if at < len(page) and not raw:
         text.append((page[at:], links > 0))
     end_block()
+    # a form is no part of the article, unless it holds most of the page's words outside links: such a form wraps the page
+    unlinked: dict[int, float] = {}
+    for b in found:
+        unlinked[b[6]] = unlinked.get(b[6], 0.0) + b[1] * (1 - b[2])
+    for b in found:
+        if b[6] and 2 * unlinked[b[6]] <= sum(unlinked.values()):
+            b[4] = True
     has = any(b[3] and not b[4] for b in found)
     out = []
-    for i, (whole, n, density, article, chrome, head) in enumerate(found):
+    for i, (whole, n, density, article, chrome, head, _) in enumerate(found):
         before = found[i - 1][1:3] if i else [0, 0.0]
         after = found[i + 1][1:3] if i + 1 < len(found) else [0, 0.0]
         out.append((whole, [float(x) for x in (n, density, *before, *after, article, chrome, head, has)]))
@@ -214,10 +235,49 @@ _PAGES = [
 ]
 
 
-def labelled_blocks(spark: SparkSession) -> DataFrame:
+def _made_page(seed: int) -> str:
+    """A labelled page: short and linked lines around paragraphs, of which some are short or linked too.
+
+    Every third page names nothing in its markup. What tells a short paragraph from a short line, and a long notice
+    from a paragraph, is then what stands next to it. The others name their parts by elements or by classes, and have
+    lines and paragraphs of any length in them.
+    """
+    draw, style = random.Random(seed), seed % 3
+    text = lambda n: " ".join(draw.choice(_PROSE[2:].split()) for _ in range(n))
+    named = {0: ("<div>", "</div>"), 1: ("<nav>", "</nav>"), 2: (f"<div class={draw.choice(['menu', 'sidebar', 'post-comments', 'ad-top'])}>", "</div>")}
+
+    def lines(most: int) -> str:
+        sizes = [draw.randint(1, 3 if not style else draw.choice([3, 30])) for _ in range(draw.randint(2, most))]
+        out = [f"<div>0|{text(n)}</div>" if draw.random() < 0.6 else f"<div><a href=x>0|{text(n)}</a></div>" for n in sizes]
+        if draw.random() < 0.5:  # a notice among short lines
+            out.insert(draw.randrange(1, len(out)), f"<div>0|{text(draw.randint(8, 14))}</div>")
+        return named[style][0] + "".join(out) + named[style][1]
+
+    def paragraph(n: int) -> str:
+        linked = f" <a href=y>{text(draw.randint(1, 3))}</a>" if n > 9 and draw.random() < 0.3 else ""
+        tag = draw.choice(["p", "div"])
+        return f"<{tag}>1|{text(n)}{linked}</{tag}>"
+
+    lengths = [draw.randint(15, 60), *[draw.choice([2, 3, 4, 12, 25, 40, 60]) for _ in range(draw.randint(0, 6))], draw.randint(15, 60)]
+    if style:
+        lengths = [draw.choice([1, 2, 4, 8, 9, 15, 40]) for _ in range(draw.randint(1, 8))]
+    else:  # no two short ones in a row
+        lengths = [n if n > 4 or lengths[i - 1] > 4 else 30 for i, n in enumerate(lengths)]
+    begin, end = {0: ("", ""), 1: ("<article>", "</article>"), 2: ("<div class=post-content>", "</div>")}[style]
+    heading = f"<h1>1|{text(draw.randint(3, 9))}</h1>" if draw.random() < 0.6 else ""
+    before, after = (lines(n) if draw.random() < 0.6 else "" for n in (6, 5))
+    return before + begin + heading + "".join(map(paragraph, lengths)) + end + after
+
+
+def labelled_pages() -> list[str]:
+    """The labelled table: pages written by hand and ``MADE_PAGES`` made ones."""
+    return [*_PAGES, *[_made_page(seed) for seed in range(MADE_PAGES)]]
+
+
+def labelled_blocks(spark: SparkSession, pages: list[str] | None = None) -> DataFrame:
     """features and label of every block of the labelled pages."""
     rows = []
-    for page in _PAGES:
+    for page in labelled_pages() if pages is None else pages:
         for text, features in blocks_of(page):
             rows.append((*features, float(text.startswith("1|"))))
     return spark.createDataFrame(rows, ", ".join(f"{f} double" for f in [*FEATURES, "label"]))
