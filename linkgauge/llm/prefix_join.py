@@ -261,6 +261,9 @@ def _open_rows(shared: DataFrame, spans: DataFrame, percent: int) -> DataFrame:
     components, tell. ``main`` is the component with most rows at the token.
     """
     rows = shared.join(spans, "g").withColumn("reach", _reach(F.col("n"), F.col("pos"), percent))
+    # most shingles are in one component by now
+    mixed = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token")
+    rows = materialize(rows.join(mixed, "token", "left_semi"), "mixed")
     cells = rows.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least"), F.max("reach").alias("most"))
     cells = materialize(cells, "cells")
     first = cells.groupBy("token").agg(
