@@ -69,9 +69,10 @@ def result_archives(spark, sf, folder: str) -> str:
 def graph_files(spark, sf, folder: str) -> str:
     """Nodes as GML; each node is linked to the next one of its graph."""
     node = F.format_string('  node [\n    id %d\n    label "%d"\n    schedulingPolicy "%s"\n    schedulingWeights "%s"\n  ]', "node", "node", "policy", "weights")
-    numbers = F.array_sort(F.collect_set("node"))
-    edge = F.transform(F.slice(numbers, 2, F.size(numbers)), lambda n, i: F.format_string(
-        "  edge [\n    source %d\n    target %d\n    bandwidth %d\n  ]", F.get(numbers, i), n, n * 1000))
+    numbers = F.sort_array(F.collect_set("node"))
+    last = F.greatest(F.size(numbers) - 1, F.lit(0))
+    edge = F.zip_with(F.slice(numbers, F.lit(1), last), F.slice(numbers, F.lit(2), last), lambda a, b: F.format_string(
+        "  edge [\n    source %d\n    target %d\n    bandwidth %d\n  ]", a, b, b * 1000))
     text = F.concat(F.lit("graph [\n  levelsToS 3\n"), lines_text("node", "block"), F.lit("\n"), F.array_join(edge, "\n"), F.lit("\n]\n"))
     given = nodes(spark, sf).withColumn("block", node)
     return write_named(given.groupBy("graph").agg(text.alias("text")).select(F.col("graph").alias("name"), "text"), folder)
