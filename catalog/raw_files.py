@@ -19,13 +19,9 @@ from linkgauge.sources.archives import MEMBERS
 
 
 def write_named(df, folder: str) -> str:
-    """A file for each row of (name, text or members): plain text, or a tar.gz of named texts. Written by tasks."""
-    packed = "members" in df.columns
+    """A plain text file for each row of (name, text). Written by tasks."""
 
     def write(batches):
-        import io
-        import tarfile
-
         import pandas as pd
 
         filesystem, base = files.located(folder)
@@ -33,21 +29,58 @@ def write_named(df, folder: str) -> str:
         for batch in batches:
             for row in batch.itertuples():
                 with filesystem.open_output_stream(f"{base}/{row.name}", compression=None) as out:
-                    if not packed:
-                        out.write(row.text.encode())
-                        continue
-                    with tarfile.open(fileobj=out, mode="w|gz") as tar:
-                        for member in row.members:
-                            data = member["text"].encode()
-                            info = tarfile.TarInfo(f"results/{member['name']}")
-                            info.size = len(data)
-                            tar.addfile(info, io.BytesIO(data))
+                    out.write(row.text.encode())
             yield pd.DataFrame({"name": batch["name"]})
 
     df.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
     return folder
 
 
+def write_archives(lines, folder: str) -> str:
+    """A tar.gz for each name of (name, member, place, line): the lines of each member in order.
+
+    A task streams sorted lines into an archive and holds one batch of them. A member's size stands before its data, so a
+    row with the size comes before its lines. Members without text are left out.
+    """
+
+    def write(batches):
+        import gzip
+        import tarfile
+        from itertools import batched, groupby
+        from operator import itemgetter
+
+        import pyarrow as pa
+
+        filesystem, base = files.located(folder)
+        filesystem.create_dir(base, recursive=True)
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("name", "member", "size", "line")), strict=True))
+        for name, archive in groupby(rows, itemgetter(0)):
+            with filesystem.open_output_stream(f"{base}/{name}", compression=None) as out, gzip.GzipFile(fileobj=out, mode="wb", compresslevel=6) as packed:
+                for member, texts in groupby(archive, itemgetter(1)):
+                    info = tarfile.TarInfo(f"results/{names[member]}")
+                    info.size = next(texts)[2]
+                    if not info.size:
+                        continue
+                    packed.write(info.tobuf())
+                    ahead = ""
+                    for some in batched((text[3] for text in texts), 1000):
+                        packed.write((ahead + "\n".join(some)).encode())
+                        ahead = "\n"
+                    packed.write(bytes(-info.size % tarfile.BLOCKSIZE))
+                packed.write(bytes(2 * tarfile.BLOCKSIZE))
+            yield pa.RecordBatch.from_pydict({"name": pa.array([name], pa.string())})
+
+    names = list(MEMBERS)
+    sizes = lines.groupBy("name", "member").agg((F.sum(F.octet_length("line") + 1) - 1).alias("size"))
+    order = ["name", "member", "size", "place", "line"]
+    every = lines.withColumn("size", F.lit(None).cast("long")).select(order).unionAll(
+        sizes.select("name", "member", "size", F.lit(None).cast("long"), F.lit(None).cast("string")))
+    # an archive is written by one task; its lines are sorted there, on disk when they are many
+    sorted_lines = every.repartition("name").sortWithinPartitions("name", "member", F.col("size").desc_nulls_last(), "place", "line")
+    sorted_lines.select("name", "member", "size", "line").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
 def lines_text(order: str, line: str):
     """All lines of a group as one text, in order."""
     return F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, F.col(line).alias("line")))), lambda x: x["line"]), "\n")
@@ -61,14 +94,15 @@ def result_archives(spark, sf, folder: str) -> str:
     gone = lines.filter("archive = 'sim4'").withColumns({"archive": F.lit("gone"), "manifest_line": F.lit(None)})
     odd = lines.filter("line_no % 97 = 0").withColumns({"archive": F.lit("odd"), "sim_line": F.lit("1,2|x")})
     every = lines.unionByName(cut).unionByName(gone).unionByName(odd)
-    texts = every.groupBy("archive").agg(*[lines_text("line_no", c).alias(c) for c in MEMBERS.values()])
-    kept = F.filter(F.array(*[F.struct(F.lit(m).alias("name"), F.col(c).alias("text")) for m, c in MEMBERS.items()]), lambda x: x["text"] != "")
-    return write_named(texts.select(F.concat("archive", F.lit(".tar.gz")).alias("name"), kept.alias("members")), folder)
+    texts = F.array(*[F.struct(F.lit(i).alias("member"), F.col(c).alias("line")) for i, c in enumerate(MEMBERS.values())])
+    rows = every.select(F.concat("archive", F.lit(".tar.gz")).alias("name"), F.col("line_no").cast("long").alias("place"), F.inline(texts))
+    return write_archives(rows.filter(F.col("line").isNotNull()), folder)
 
 
 def graph_files(spark, sf, folder: str) -> str:
     """Nodes as GML; each node is linked to the next one of its graph."""
     node = F.format_string('  node [\n    id %d\n    label "%d"\n    schedulingPolicy "%s"\n    schedulingWeights "%s"\n  ]', "node", "node", "policy", "weights")
+    # neighbours are paired as a whole: a lambda that looks a neighbour up sorts all numbers again for each element
     numbers = F.sort_array(F.collect_set("node"))
     last = F.greatest(F.size(numbers) - 1, F.lit(0))
     edge = F.zip_with(F.slice(numbers, F.lit(1), last), F.slice(numbers, F.lit(2), last), lambda a, b: F.format_string(

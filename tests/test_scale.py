@@ -1,5 +1,6 @@
 """Steps whose work must grow no faster than their rows."""
 
+import tarfile
 import time
 
 from pyspark.sql import functions as F
@@ -16,3 +17,20 @@ def test_neighbours_of_a_large_graph(spark, tmp_path):
     (file,) = [f for f in (tmp_path / "graphs").iterdir() if not f.name.startswith(".")]
     text = file.read_text()
     assert folder and text.count("edge [") == 11999 and "source 0\n    target 1\n    bandwidth 1000\n" in text
+
+
+def test_archives_are_written_as_streams(spark, tmp_path):
+    """Lines of a member over several batches, blank lines, ties and a member without text."""
+    rows = [("a.tar.gz", 0, i % 7, f"é{i}" if i % 5 else "") for i in range(50)] + [("a.tar.gz", 2, 1, "only"), ("b.tar.gz", 1, 3, "x"), ("b.tar.gz", 0, 0, "")]
+    lines = spark.createDataFrame(rows, "name string, member int, place long, line string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        raw_files.write_archives(lines, str(tmp_path / "archives"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = {}
+    for name in ("a", "b"):
+        with tarfile.open(tmp_path / "archives" / f"{name}.tar.gz") as tar:
+            found[name] = {m.name: tar.extractfile(m).read().decode() for m in tar}
+    ordered = "\n".join(r[3] for r in sorted((r for r in rows if r[:2] == ("a.tar.gz", 0)), key=lambda r: (r[2], r[3].encode())))
+    assert found == {"a": {"results/simulationResults.txt": ordered, "results/input_files.txt": "only"}, "b": {"results/traffic.txt": "x"}}
