@@ -64,11 +64,14 @@ def surviving_flows(lines: DataFrame, strict: bool = False) -> DataFrame:
 def route_facts(pairs: DataFrame, routes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Hops and topology facts per (graph, routing, route_no, slot).
 
-    ``pairs`` are the distinct (graph, routing) of a manifest. A slot is a ToS code, cut at the
-    longest weight list: from there on every code gets the same equal share.
+    ``pairs`` are the distinct (graph, routing) of a manifest with ``flows``, the most flows of a line: only the first
+    ``flows`` routes can be used, so the facts grow with the flows and not with pairs times routes. A slot is a ToS
+    code, cut at the longest weight list: from there on every code gets the same equal share.
     """
     longest = nodes.agg(F.coalesce(F.max(F.size(weight_list(F.col("policy"), F.col("weights")))), F.lit(0)))
-    used = pairs.join(routes, "routing").select("*", F.explode(F.sequence(F.lit(0), longest.scalar())).alias("tos"))
+    reached = pairs.join(routes, (pairs["routing"] == routes["routing"]) & (F.col("route_no") < F.col("flows"))).select(
+        "graph", routes["routing"], "route_no", "nodes")
+    used = reached.select("*", F.explode(F.sequence(F.lit(0), longest.scalar())).alias("tos"))
     keys = ["graph", "routing", "route_no", "tos"]
     topology = path_topology(used, nodes, keys)
     return used.select(*keys, path_hops(F.col("nodes")).alias("hops")).join(topology, keys, "left").withColumnRenamed(
@@ -98,7 +101,9 @@ def path_topology(paths: DataFrame, nodes: DataFrame, id_columns: list[str]) ->
 def unknown_nodes(lines: DataFrame, routes: DataFrame, nodes: DataFrame) -> DataFrame:
     """graph, routing, node: nodes on routes that simulations use in a known graph which does not have them."""
     pairs = with_manifest(lines).select("graph", "routing").distinct().join(nodes.select("graph").distinct(), "graph", "left_semi")
-    steps = pairs.join(routes, "routing").select("graph", "routing", F.explode("nodes").alias("node")).distinct()
+    # the nodes of a routing first: its routes are many, and each belongs to every graph the routing is used with
+    known = routes.select("routing", F.explode("nodes").alias("node")).distinct()
+    steps = pairs.join(known, "routing")
     return steps.join(nodes, ["graph", "node"], "left_anti").select("graph", "routing", "node")
 
 
@@ -141,7 +146,8 @@ def flow_rows(lines: DataFrame, nodes: DataFrame, routes: DataFrame, strict: boo
         "slot": F.least(F.col("tos"), longest.scalar()),
     })
     # written first: one row per route and slot, so Spark sees its true size and joins it by broadcast if small
-    facts = materialize(route_facts(manifest.select("graph", "routing").distinct(), routes, nodes), "routes")
+    pairs = manifest.groupBy("graph", "routing").agg(F.max(F.size(line_records(F.col("traffic_line")))).alias("flows"))
+    facts = materialize(route_facts(materialize(pairs, "pairs"), routes, nodes), "routes")
     sizes = nodes.groupBy("graph").agg(F.count("*").cast("int").alias("graph_nodes"))
     joined = flows.join(facts, ["graph", "routing", "route_no", "slot"], "left").join(sizes, "graph", "left")
     return joined.select(

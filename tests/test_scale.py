@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from catalog import raw_files
+from linkgauge.operators import delays
 
 
 def test_neighbours_of_a_large_graph(spark, tmp_path):
@@ -34,3 +35,23 @@ def test_archives_are_written_as_streams(spark, tmp_path):
             found[name] = {m.name: tar.extractfile(m).read().decode() for m in tar}
     ordered = "\n".join(r[3] for r in sorted((r for r in rows if r[:2] == ("a.tar.gz", 0)), key=lambda r: (r[2], r[3].encode())))
     assert found == {"a": {"results/simulationResults.txt": ordered, "results/input_files.txt": "only"}, "b": {"results/traffic.txt": "x"}}
+
+
+def test_route_facts_only_of_routes_that_flows_can_use(spark):
+    pairs = spark.createDataFrame([("g", "r", 2), ("h", "r", 1), ("g", "none", 3)], "graph string, routing string, flows int")
+    routes = spark.createDataFrame([("r", i, [1, 2]) for i in range(5)], "routing string, route_no int, nodes array<int>")
+    nodes = spark.createDataFrame([("g", 1, "WFQ", "60,30"), ("g", 2, "SP", "1,1")], "graph string, node int, policy string, weights string")
+    facts = delays.route_facts(pairs, routes, nodes).select("graph", "routing", "route_no").distinct()
+    assert sorted(map(tuple, facts.collect())) == [("g", "r", 0), ("g", "r", 1), ("h", "r", 0)]
+
+
+def test_unknown_nodes_of_many_routes(spark):
+    """Routes are reduced to their nodes before they meet the graphs."""
+    lines = spark.createDataFrame([(f"{i};g{i};r.txt",) for i in range(3)], "manifest_line string")
+    routes = spark.createDataFrame([("r", i, [1, 9]) for i in range(4)], "routing string, route_no int, nodes array<int>")
+    nodes = spark.createDataFrame([("g0", 1), ("g1", 1), ("g1", 9)], "graph string, node int")
+    unknown = delays.unknown_nodes(lines, routes, nodes)
+    assert [tuple(r) for r in unknown.collect()] == [("g0", "r", 9)]
+    plan = unknown._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = [i for i, line in enumerate(plan) if "Generate explode" in line][0]
+    assert "Aggregate [routing" in plan[depth - 1] + plan[depth - 2]
