@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgauge.operators.ordering import hash_key, hash_rank
+from linkgauge.operators.ordering import hash_digits, hash_key, hash_rank
+from linkgauge.session import materialize
 
 
 def univariate_slopes(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -51,15 +52,22 @@ def mean_abs_attribution(df: DataFrame, weights: DataFrame, features: list[str])
 
 def permute_column(df: DataFrame, id_columns: list[str], column: str, seed: int = 42) -> DataFrame:
     """The table with one column's values dealt to other rows: an exact permutation by hash rank."""
-    left = hash_rank(df.withColumn("_key", hash_key(seed, *id_columns)), "_key", name="_rank").drop("_key", column)
-    values = df.select(hash_key(seed + 1, *id_columns).alias("_key"), F.col(column))
-    right = hash_rank(values, "_key", name="_rank").drop("_key")
+    # keys as bytes are half as long in the shuffles and have the same order; a byte is two hex digits of a bucket
+    key = lambda n: F.unhex(hash_key(n, *id_columns))
+    prefix = (hash_digits(df) + 1) // 2
+    left = hash_rank(df.withColumn("_key", key(seed)), "_key", prefix=prefix, name="_rank").drop("_key", column)
+    values = df.select(key(seed + 1).alias("_key"), F.col(column))
+    right = hash_rank(values, "_key", prefix=prefix, name="_rank").drop("_key")
     return left.join(right, "_rank").drop("_rank").select(*df.columns)
 
 
 def permutation_importance(df: DataFrame, predict, target: str, features: list[str], id_columns: list[str],
                            seed: int = 42) -> DataFrame:
-    """Rise of the squared error when a feature's values are permuted, for any fitted model."""
+    """Rise of the squared error when a feature's values are permuted, for any fitted model.
+
+    The table is written once: each feature reads it several times.
+    """
+    df = materialize(df, "permuted")
     error = F.avg(F.pow(F.col("y_pred") - F.col(target), F.lit(2)))
     base = predict(df).agg(error).scalar()
     rows = [

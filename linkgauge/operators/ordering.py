@@ -58,10 +58,11 @@ def hash_buckets(df: DataFrame, key: str, by: list[str], prefix: int) -> DataFra
 def hash_rank(df: DataFrame, key: str, by: list[str] | None = None, prefix: int | None = None, name: str = "rank") -> DataFrame:
     """Exact 1-based rank of each row in hash order, per group; NULL is a group.
 
-    Without ``prefix`` the number of buckets follows the number of rows.
+    Without ``prefix`` the number of buckets follows the number of rows. The bucket table is written first: joined
+    by broadcast when it is small, the rows are shuffled once, for the ranks.
     """
     by, prefix = by or [], prefix or hash_digits(df)
-    buckets = hash_buckets(df, key, by, prefix).drop("_rows")
+    buckets = materialize(hash_buckets(df, key, by, prefix).drop("_rows"), "buckets")
     inside = Window.partitionBy(*by, "_bucket").orderBy(key)
     return (
         null_safe_join(df.withColumn("_bucket", F.substring(key, 1, prefix)), buckets, [*by, "_bucket"])
