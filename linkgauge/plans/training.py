@@ -12,7 +12,7 @@ from linkgauge.functions.numeric import delay_ms, log_target
 from linkgauge.functions.rules import EVALUATION_SLA_MS
 from linkgauge.operators.allocation import evaluate_profiles
 from linkgauge.operators.evaluation import (
-    auc_roc, binary_metrics, class_weights, cv_summary, grouped_metrics, metric_slices, rank_importance,
+    SLICES, auc_roc, binary_metrics, class_weights, cv_summary, grouped_metrics, metric_slices, rank_importance,
     regression_metrics, resolve_unit, sla_confusion, slice_metrics, with_delay_ms,
 )
 from linkgauge.operators.models import (
@@ -90,28 +90,42 @@ def benchmark_models(
     return spark.createDataFrame(results, RESULT_SCHEMA), rank_importance(table, ["dataset", "model", "target"])
 
 
-def delay_scored(
-    flows: DataFrame, spec: ModelSpec, id_columns: list[str], k: int = 5, seed: int = 42
-) -> DataFrame:
-    """Out-of-fold log-delay predictions with slice columns and delays in ms."""
+def delay_folds(flows: DataFrame, id_columns: list[str], k: int = 5, seed: int = 42) -> tuple[DataFrame, list[str]]:
+    """The rows of the delay models with their fold, written once for all folds and models, and the model inputs.
+
+    Only ids, inputs, slice columns and the delay are written.
+    """
     require_columns(flows, ["log_avg_delay", "avg_delay", "qos_class", "scenario", "scheduling_policy"])
     data = split_target(flows, "log_avg_delay", [])
     if "fold" not in data.columns:
         data = kfold(data, id_columns, k, seed)
-    data = materialize(data, "folds")
     features = [c for c in feature_columns(data.columns, "delay", "log_avg_delay") if c not in id_columns]
+    kept = dict.fromkeys([*id_columns, *features, *SLICES, "avg_delay", "log_avg_delay", "fold"])
+    return materialize(data.select(*kept), "folds"), features
+
+
+def _delay_scored(data: DataFrame, features: list[str], spec: ModelSpec, k: int) -> DataFrame:
     scored = out_of_fold(data, spec, "log_avg_delay", features, k)
     return with_delay_ms(scored.withColumn("y_true", F.col("log_avg_delay")), "avg_delay").withColumn(
         "model", F.lit(spec.name)
     )
 
 
+def delay_scored(
+    flows: DataFrame, spec: ModelSpec, id_columns: list[str], k: int = 5, seed: int = 42
+) -> DataFrame:
+    """Out-of-fold log-delay predictions with ids, slice columns and delays in ms."""
+    data, features = delay_folds(flows, id_columns, k, seed)
+    return _delay_scored(data, features, spec, k)
+
+
 def evaluate_delay_models(
     flows: DataFrame, specs: list[ModelSpec], id_columns: list[str], k: int = 5, seed: int = 42,
     sla_ms: dict[str, float] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Slice metrics and SLA confusion of several models."""
-    scored = reduce(DataFrame.unionByName, [delay_scored(flows, spec, id_columns, k, seed) for spec in specs])
+    data, features = delay_folds(flows, id_columns, k, seed)
+    scored = reduce(DataFrame.unionByName, [_delay_scored(data, features, spec, k) for spec in specs])
     scored = materialize(
         scored.select("model", "qos_class", "scenario", "scheduling_policy", "y_true", "y_pred", "true_ms", "pred_ms"),
         "scored",
@@ -130,6 +144,8 @@ def metric_target_eval(
         data = kfold(data, id_columns, k, seed)
     dropped = drop_list("delay", "_log")
     features = [c for c in data.columns if c not in {*dropped, *id_columns, "_log", "fold"}]
+    # written once: every fold reads all rows to fit and its own to score
+    data = materialize(data.select(*dict.fromkeys([*id_columns, *features, *SLICES, target, "_log", "fold"])), "folds")
     scored = out_of_fold(data, spec, "_log", features, k).select(
         "qos_class", "scenario", "scheduling_policy", F.col(target).alias("y_true"), F.exp("y_pred").alias("y_pred")
     )

@@ -2,11 +2,14 @@
 
 import tarfile
 import time
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalog import raw_files
-from linkgauge.operators import delays
+from linkgauge.operators import attribution, delays, encoding, models
+from linkgauge.plans import training
 
 
 def test_neighbours_of_a_large_graph(spark, tmp_path):
@@ -55,3 +58,46 @@ def test_unknown_nodes_of_many_routes(spark):
     plan = unknown._jdf.queryExecution().optimizedPlan().toString().splitlines()
     depth = [i for i, line in enumerate(plan) if "Generate explode" in line][0]
     assert "Aggregate [routing" in plan[depth - 1] + plan[depth - 2]
+
+
+@pytest.fixture()
+def counted(monkeypatch):
+    """How often fills are searched and tables are written, by name."""
+    calls = Counter()
+    fills, written = encoding.fill_values, training.materialize
+
+    def count_fills(*args):
+        calls["fills"] += 1
+        return fills(*args)
+
+    def count_written(df, name="table"):
+        calls[name] += 1
+        return written(df, name)
+
+    monkeypatch.setattr(encoding, "fill_values", count_fills)
+    for module in (training, attribution):
+        monkeypatch.setattr(module, "materialize", count_written, raising=False)
+    return calls
+
+
+@pytest.fixture(scope="module")
+def flows(spark):
+    return spark.range(400).select(
+        F.col("id").alias("row_id"), (F.col("id") % 3).alias("scenario"), F.element_at(F.array(F.lit("Gold"), F.lit("Bronze")), (F.col("id") % 2 + 1).cast("int")).alias("qos_class"),
+        F.when(F.col("id") % 5 == 0, "SP").otherwise("WFQ").alias("scheduling_policy"), F.when(F.col("id") % 11 > 0, F.col("id") % 7).alias("routing_hops"),
+        (F.col("id") % 13 / 100 + 0.01).alias("avg_delay"), F.when(F.col("id") % 3 == 0, 0.1).otherwise(0.0).alias("packet_loss_rate"),
+    ).withColumn("log_avg_delay", F.ln("avg_delay")).localCheckpoint()
+
+
+def test_folds_are_written_once_for_all_models(flows, counted):
+    specs = [models.mean_model(), models.line_model("routing_hops")]
+    training.evaluate_delay_models(flows, specs, ["row_id"], k=2)
+    assert counted["folds"] == 1
+    training.metric_target_eval(flows, "avg_delay", specs[1], ["row_id"], k=2)
+    assert counted["folds"] == 2
+
+
+def test_permutations_read_a_written_table(flows, counted):
+    fitted = models.line_model("routing_hops").fit(flows, "log_avg_delay", [])
+    attribution.permutation_importance(flows, fitted.predict, "log_avg_delay", ["routing_hops", "scenario"], ["row_id"]).collect()
+    assert counted["permuted"] == 1
