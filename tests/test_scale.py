@@ -101,3 +101,18 @@ def test_permutations_read_a_written_table(flows, counted):
     fitted = models.line_model("routing_hops").fit(flows, "log_avg_delay", [])
     attribution.permutation_importance(flows, fitted.predict, "log_avg_delay", ["routing_hops", "scenario"], ["row_id"]).collect()
     assert counted["permuted"] == 1
+
+
+def test_benchmark_fits_each_encoder_once(flows, counted):
+    """Two folds and all rows, whatever the models; shared or not, a model is the same."""
+    specs = [models.linear_model(), models.forest_model(2, 2)]
+    together, _ = training.benchmark_models(flows, "log_avg_delay", "delay", ["row_id"], "d", specs, k=2)
+    assert counted["fills"] == 3
+    names = ["model", "status", "mae", "cv_mae_mean"]
+    alone = [training.benchmark_models(flows, "log_avg_delay", "delay", ["row_id"], "d", [s], k=2)[0].select(names).first() for s in specs]
+    assert together.select(names).collect() == alone and {r["status"] for r in alone} == {"ok"}
+
+
+def test_loss_classifiers_share_encoders(flows, counted):
+    training.evaluate_loss_classifiers(flows, ["row_id"], k=2, specs=models.loss_specs(trees=2, depth=2, rounds=1)).collect()
+    assert counted["fills"] == 2
