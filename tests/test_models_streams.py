@@ -3,7 +3,9 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from linkgauge.operators import allocation, attribution, encoding, evaluation, loads, models, routing
@@ -254,3 +256,30 @@ def test_stream_recommendation_infeasible(spark, tmp_path):
               "weighted_violation_score double, weighted_delay_score double")
     got = runner.run_each_batch(stream, lambda b: telemetry.recommend_batch(b, predict), schema)
     assert sorted(r["decision"] for r in got.collect()) == ["60/30/10", "infeasible"]
+
+
+def test_kernel_model_encodes_its_rows_once(flows, monkeypatch):
+    """The facts, the fit and its summary encoded every training row again; a batch is one block of numbers."""
+    given, mapped = [], models.fourier_features
+
+    def spy(encoded, *more):
+        given.append(encoded)
+        return mapped(encoded, *more)
+
+    monkeypatch.setattr(models, "fourier_features", spy)
+    rows = flows.withColumn("y", F.col("avg_delay"))
+    models.kernel_model(components=7).fit(rows, "y", ["offered_bandwidth", "qos_class"])
+    assert given[0].columns == ["features", "y"]
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Relation") and "Project" not in plan
+
+
+def test_fourier_features_by_hand(flows):
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        flows.sparkSession.range(25).select("id", F.col("id").cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b")))
+    got = {r["id"]: r["features"].toArray() for r in models.fourier_features(rows.repartition(30), 6, 0.1, 2, 3).collect()}
+    rng = np.random.default_rng(3)
+    weights, offsets = rng.normal(scale=np.sqrt(0.2), size=(2, 6)), rng.uniform(0, 2 * np.pi, size=6)
+    assert len(got) == 25
+    for i, found in got.items():
+        assert np.allclose(found, np.sqrt(2 / 6) * np.cos(np.array([i, i % 3]) @ weights + offsets))
