@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,19 @@ def number_of(df, name: str) -> Column:
     return number_in_text(col) if df.schema[name].dataType == T.StringType() else number(col)
 
 
+def parsed_once(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with the text columns among ``names`` as doubles (see ``number_in_text``), each text parsed once a row.
+
+    Catalyst moves filters below a projection and would parse a text again wherever its number is used; what a
+    generator gives is made before them.
+    """
+    texts = [c for c in names if df.schema[c].dataType == T.StringType()]
+    if not texts:
+        return df
+    parsed = F.struct(*[number_in_text(F.col(f"`{c}`")).alias(c) for c in texts])
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in texts], F.inline(F.array(parsed)))
+
+
 def whole(value: Column) -> Column:
     """A double without a fraction as a bigint, else NULL: ``80.0`` is 80, ``80.5`` is missing."""
     return F.when(value == F.floor(value), value.try_cast("bigint"))

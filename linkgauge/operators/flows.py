@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkgauge.functions.numeric import MISSING_TOKENS, clip, finite, number_of, whole
+from linkgauge.functions.numeric import MISSING_TOKENS, clip, finite, number_of, parsed_once, whole
 from linkgauge.functions.rules import (
     clean_label_keep, infer_application, infer_protocol, recommend_bandwidth_flow,
 )
@@ -31,8 +31,9 @@ def flow_features(df: DataFrame, capacity_mbps: float = 1000.0) -> DataFrame:
     """Latency, jitter, loss and load proxies per flow; a row with any missing value is dropped.
 
     ``df`` holds the raw columns (names already trimmed) and ``source_file``. Rows are dropped on
-    the raw values, so the filter sits right above the scan and derives nothing twice.
+    the raw values, so the filter sits right above the scan and derives nothing twice; texts are parsed once, below it.
     """
+    df = parsed_once(df, [c for c in RAW_COLUMNS if c != "Label"])
     value = lambda name: finite(number_of(df, name))
     label = F.when(~F.col("Label").isin(MISSING_TOKENS), F.col("Label"))
     base = df.select(

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkgauge.operators import profiling
+from linkgauge.operators.flows import RAW_COLUMNS
 from linkgauge.plans import datasets
 from linkgauge.sources import archives, files, sinks
 
@@ -307,3 +308,15 @@ def test_flow_dataset(spark, tmp_path):
     assert {r["source_file"]: r["count"] for r in full.groupBy("source_file").count().collect()} == {"mon.csv": 8, "tue.csv": 2}
     sample = datasets.prepare_flow_dataset(spark, str(tmp_path), sample=6)
     assert {r["source_file"]: r["count"] for r in sample.groupBy("source_file").count().collect()} == {"mon.csv": 3, "tue.csv": 2}
+
+
+def test_texts_of_flows_are_parsed_once(spark, tmp_path):
+    """The number of a text was found again for the filter and for each of its uses, eleven times and more."""
+    head = ",".join(RAW_COLUMNS) + "\n"
+    rows = ["80,10,1,2,3,4,5,6,7,0,BENIGN", "80.0,1e1,1,2,3,4,5,6,7,,DoS", "80,10,1.5,2,3,4,5,6,7,0,DoS", "80,10d,1,2,3,4,5,6,7,0,DoS", "80,10,1,2,3,4,Infinity,6,7,0,DoS",
+            "80,10,1,2,3,4,1e999,6,7,0,DoS", "NaN,10,1,2,3,4,5,6,7,0,DoS", "80,10,1,2,3,4,5,n/a,7,0,DoS", " 80 ,10,1,2,3,4,5,6,7,nan,"]
+    (tmp_path / "day.csv").write_text(head + "\n".join(rows) + "\n")
+    full = datasets.prepare_flow_dataset(spark, str(tmp_path))
+    assert full._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= len(RAW_COLUMNS)
+    got = sorted((r["destination_port"], r["flow_duration_sec"], r["packet_loss_percent"], r["attack_label"] or "") for r in full.collect())
+    assert [g[:3] for g in got] == [(80, 1e-05, 0.0)] * 3 and {"BENIGN", "DoS"} <= {g[3] for g in got}
