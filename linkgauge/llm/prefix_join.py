@@ -214,11 +214,7 @@ def _labelled_rows(docs: DataFrame, key: str, text: str, size: int, percent: int
     rows = materialize(prefixes(docs, key, text, size, percent), "prefixes")
     full = rows.where(F.col("n") > 0)
     g64 = F.xxhash64("gid").alias("g")
-    groups = full.groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = groups.select(g64, "n", F.posexplode("prefix").alias("pos", "token"))
-    # a shingle that one group alone has in its prefix links nothing
-    several = postings.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low != high").select("token")
-    shared = materialize(postings.join(several, "token", "left_semi"), "shared")
+    shared = materialize(_shared_shingles(full), "shared")
     # members: the different sets of groups that share a shingle, or that hold several sets
     many = full.groupBy(g64).agg(F.min("cid").alias("low"), F.max("cid").alias("high")).where("low != high").select("g")
     wanted = materialize(shared.select("g").unionAll(many).distinct(), "groups")
@@ -236,6 +232,16 @@ def _labelled_rows(docs: DataFrame, key: str, text: str, size: int, percent: int
     return _labelled(rows, parts.now)
 
 
+def _shared_shingles(full: DataFrame) -> DataFrame:
+    """g, n, pos, token: the prefix shingles of each group, where several groups have them; others link nothing."""
+    # gid tells n; as a key n is in both uses of the groups, which so are one shuffle
+    groups = full.groupBy("gid", "n").agg(F.first("prefix").alias("prefix"))
+    postings = groups.select(F.xxhash64("gid").alias("g"), "n", F.posexplode("prefix").alias("pos", "token"))
+    # a group has a shingle once, and a count is shorter than two ids
+    several = postings.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
+    return postings.join(several, "token", "left_semi")
+
+
 def _star_pairs(shared: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of groups: one for each shared shingle, and each other that has it.
 

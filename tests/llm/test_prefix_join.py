@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -148,3 +149,18 @@ def test_rows_that_reach_no_other_component_are_dropped(spark):
     parts = spark.createDataFrame([(14, 5), (15, 6)], "g long, part long")
     left = prefix_join._open_rows(shared.unionAll(more), spans.unionAll(parts), 80)
     assert {(r.token, r.g, r.main) for r in left.collect()} == {(1, 10, 7), (1, 11, 7), (1, 13, 7), (1, 14, 7), (1, 15, 7)}
+
+
+def test_groups_are_shuffled_once_for_their_shared_shingles(spark):
+    """The prefixes of all groups went through two shuffles: one to find shared shingles, one to keep them."""
+    rows = [(b"a", 9, [5, 1, 2]), (b"a", 9, [5, 1, 2]), (b"b", 8, [2, 3]), (b"c", 4, [4]), (b"d", 7, [6, 5])]
+    full = spark.createDataFrame(rows, "gid binary, n long, prefix array<long>").repartition(3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        shared = prefix_join._shared_shingles(full)
+        plan = shared._jdf.queryExecution().executedPlan().toString()
+        got = Counter((r["token"], r["pos"], r["n"]) for r in shared.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == {(5, 0, 9): 1, (2, 2, 9): 1, (2, 0, 8): 1, (5, 1, 7): 1}
+    assert plan.count("Exchange hashpartitioning(gid") == 2 and plan.count("ReusedExchange") == 1
