@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkgauge.llm.components import components
-from linkgauge.llm.text import WHITE, WordHashes, split_words, text_key, window_hashes
+from linkgauge.llm.text import WHITE, shingle_sets, text_key
 from linkgauge.session import materialize
 
 WORDS = 5
@@ -39,9 +39,30 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def shingle_set(text: str | None, words: WordHashes, size: int) -> np.ndarray:
-    """Sorted distinct shingle hashes; empty without words."""
-    return np.unique(window_hashes(words.of(split_words(text)), size))
+def several_times(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that come more than once, and how often."""
+    values = np.sort(values)
+    same = np.concatenate([[False], values[1:] == values[:-1], [False]])
+    first, last = np.flatnonzero(~same[:-1] & same[1:]), np.flatnonzero(same[:-1] & ~same[1:])
+    return values[first], last - first + 1
+
+
+class Listed:
+    """Which hashes stand in a sorted list; most others are told by their first bits, without a search."""
+
+    BITS = 23
+
+    def __init__(self, values: np.ndarray):
+        self.values, self.shift = values, np.uint64(64 - self.BITS)
+        self.cells = np.zeros(1 << self.BITS, bool)
+        self.cells[values >> self.shift] = True
+
+    def has(self, found: np.ndarray) -> np.ndarray:
+        there = self.cells[found >> self.shift]
+        at = np.flatnonzero(there)
+        if len(at):
+            there[at] = self.values[np.minimum(np.searchsorted(self.values, found[at]), len(self.values) - 1)] == found[at]
+        return there
 
 
 def frequent_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
@@ -53,12 +74,9 @@ def frequent_shingles(docs: DataFrame, text: str, size: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
-            sets = [shingle_set(x.as_py(), words, size) for x in batch["text"]]
-            found, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
-            often = counts > 1
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often])], names=["h", "n"])
+            found, counts = several_times(np.concatenate([*shingle_sets(batch["text"], size), np.zeros(0, np.uint64)]))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["h", "n"])
 
     counted = docs.select(F.col(text).alias("text")).mapInArrow(run, "h long, n long")
     often = materialize(counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_DOCS), "common")
@@ -91,17 +109,13 @@ def prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int) -> D
     common = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, text, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last = WordHashes(), common.value
+        listed = Listed(common.value)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for value in batch["text"]:
-                found = shingle_set(value.as_py(), words, size)
+            for found in shingle_sets(batch["text"], size):
                 n = len(found)
-                if len(last):
-                    late = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
-                    ordered = np.concatenate([found[~late], found[late]])
-                else:
-                    ordered = found
+                late = listed.has(found)
+                ordered = np.concatenate([found[~late], found[late]])
                 head = ordered[: n - needed(n, percent) + 1] if n else ordered
                 rows[0].append(n)
                 rows[1].append(blake2b(found.tobytes(), digest_size=16).digest())
@@ -124,10 +138,9 @@ def whole_sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """cid, hashes: the set of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
-                sets = [shingle_set(x.as_py(), words, size) for x in batch["text"].slice(start, 1000)]
+                sets = shingle_sets(batch["text"].slice(start, 1000), size)
                 lengths = np.cumsum([0, *map(len, sets)])
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(

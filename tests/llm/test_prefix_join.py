@@ -1,11 +1,13 @@
 import random
+import time
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from linkgauge.llm import prefix_join
+from linkgauge.llm import prefix_join, text
 from linkgauge.llm.components import components
 
 SCHEMA = "doc_id long, text string, cid string, n int"
@@ -164,3 +166,60 @@ def test_groups_are_shuffled_once_for_their_shared_shingles(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert got == {(5, 0, 9): 1, (2, 2, 9): 1, (2, 0, 8): 1, (5, 1, 7): 1}
     assert plan.count("Exchange hashpartitioning(gid") == 2 and plan.count("ReusedExchange") == 1
+
+
+def odd_texts():
+    draw = random.Random(5)
+    word = lambda: draw.choice(["a", "A", "\x00", "\x00\x00", "caf\u00e9", "\u00c9", "\u00a0", "eightby8", "ninebytes", "x" * 32, "x" * 33, "x" * 32 + "y", "y" * 5000, f"w{draw.randint(0, 99)}"])
+    some = [draw.choice(["", " ", "\n\t"]) + draw.choice([" ", "\x0b\x0c", "\r\n"]).join(word() for _ in range(draw.randint(0, 30))) + draw.choice(["", "\x0b"]) for _ in range(300)]
+    return [None, "", " \n", "ends", "begins", None, *some, "one two three four", "One  two three four five", ""]
+
+
+@pytest.mark.parametrize("size,piece,kind", [(5, 1, pa.string()), (5, 100, pa.large_string()), (1, 1 << 18, pa.string()), (9, 1 << 18, pa.string()), (40, 1 << 18, pa.string())])
+def test_sets_of_many_texts_at_once(monkeypatch, size, piece, kind):
+    """Equal windows have equal hashes, others others, whatever stands beside a text and wherever it is cut off."""
+    monkeypatch.setattr(text, "PIECE", piece)
+    texts = odd_texts()
+    sets = text.shingle_sets(pa.array(["before", *texts, "behind"], kind).slice(1, len(texts)), size)
+    hashes = {}
+    for value, found in zip(texts, sets, strict=True):
+        words = (value or "").encode().lower().split()
+        windows = {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+        assert len(found) == len(windows) and (found[1:] > found[:-1]).all()
+        assert np.array_equal(text.shingle_sets(pa.array([value], kind), size)[0], found)
+        if len(windows) == 1:
+            hashes[windows.pop()] = found[0]
+    assert len(set(hashes.values())) == len(hashes)
+    assert text.shingle_sets(pa.array([], kind), size) == []
+
+
+def test_long_windows_keep_the_order_of_their_words(spark):
+    """The first and the ninth word of a window could change places without a change of its hash."""
+    words = [f"w{i}" for i in range(9)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([words[8], *words[1:8], words[0]]))], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in prefix_join.near_duplicates(docs, size=9).collect()} == {(1, 1), (2, 2)}
+
+
+def test_listed_hashes_are_told():
+    draw = np.random.default_rng(1)
+    values = np.unique(draw.integers(0, 2**64, 5000, dtype=np.uint64))
+    near = np.concatenate([values, values + np.uint64(1), draw.integers(0, 2**64, 5000, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+    assert np.array_equal(prefix_join.Listed(values).has(near), np.isin(near, values))
+    assert not prefix_join.Listed(values[:0]).has(near).any()
+    found, counts = prefix_join.several_times(np.array([7, 1, 7, 3, 1, 7, 9], np.uint64))
+    assert found.tolist() == [1, 7] and counts.tolist() == [2, 3]
+    assert [len(x) for x in prefix_join.several_times(values[:0])] == [0, 0]
+
+
+def test_sets_cost_no_python_for_each_word():
+    """Every word was looked up in a dictionary of Python; texts of one batch are now hashed together."""
+    draw = random.Random(3)
+    texts = pa.array([" ".join(f"w{draw.randrange(10**6)}" for _ in range(500)) for _ in range(400)])
+
+    def cpu(work):
+        start = time.process_time()
+        work()
+        return time.process_time() - start
+
+    plain = lambda: [dict.fromkeys(x.as_py().encode().lower().split()) for x in texts]
+    assert min(cpu(lambda: text.shingle_sets(texts, 5)) for _ in range(5)) < 2 * min(cpu(plain) for _ in range(5))
