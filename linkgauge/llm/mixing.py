@@ -52,7 +52,8 @@ def source_targets(docs: DataFrame, source: str, size: str, weights: tuple[int,
             break
         left, shares = total - full, found
         capped = F.lit(False) if not found else wide(F.col("cap")) * found < wide(F.lit(left)) * F.col("weight")
-    share = (F.lit(left) * F.col("weight")).cast("double") / F.lit(float(shares or 1))
+    # wide: a literal of under 2^31 words is an int, and its product with the weight need not be one
+    share = (wide(F.lit(left)) * F.col("weight")).cast("double") / F.lit(float(shares or 1))
     return table.select("source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 

@@ -156,6 +156,16 @@ def test_mix_meets_targets(spark, many_ranges, seed):
     assert emitted.columns[-1] == "copy" and emitted.agg(F.max("copy")).first()[0] <= 3
 
 
+@pytest.mark.parametrize("total", [2**29, 2**31 - 8, 2**33])
+def test_mix_of_many_words(spark, total):
+    """Words that fit an int as their weighted share does not, and words that fit none."""
+    df = spark.createDataFrame([(i, s, total // 8, "m", 1, 2) for i, s in enumerate("aaaabbcc")], DOCS)
+    got = mixing.mix(df).collect()
+    target = fill({"a": total // 2, "b": total // 4, "c": total // 4})
+    assert len(got) == 8 and all(r._mix.target == pytest.approx(target[r.source]) for r in got)
+    assert all(abs(sum(r._mix.taken for r in got if r.source == s) - target[s]) <= total // 8 for s in "abc")
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([(1, "a", 0, "m", 1, 2), (2, None, None, "m", 1, 2)], DOCS)
     assert mixing.mix(df.limit(0)).collect() == []
