@@ -70,6 +70,26 @@ def test_benchmark_statuses(flows):
     assert ranks == list(range(1, len(ranks) + 1))
 
 
+def test_benchmark_query_fits_the_documented_sizes(flows, monkeypatch):
+    """Trees, rounds, depths and folds of the query are the operators' defaults; fits are only looked at here."""
+    from catalog import modelling
+
+    seen = set()
+
+    def fit(self, data):
+        trees = self.getNumTrees() if hasattr(self, "getNumTrees") else self.getMaxIter()
+        seen.add((type(self).__name__, trees, self.getMaxDepth()))
+        raise RuntimeError("seen")
+
+    for kind in (models.RandomForestRegressor, models.GBTRegressor):
+        monkeypatch.setattr(kind, "fit", fit)
+    monkeypatch.setattr(models, "linear_model", models.mean_model)
+    monkeypatch.setattr(modelling, "flows", lambda spark, sf: flows.withColumn("fold", F.lit(0)))
+    got = modelling.benchmark_models(None, None).collect()
+    assert seen == {("RandomForestRegressor", 200, 30), ("GBTRegressor", 200, 4)}
+    assert len(got) == 4 and {r["cv_folds"] for r in got} == {5}
+
+
 def test_out_of_fold_never_sees_its_row(flows):
     """With one row per fold value the closed forms equal leave-one-out sums."""
     small = flows.filter("row_id < 5").withColumn("fold", F.col("row_id"))
