@@ -115,6 +115,19 @@ def test_loss_classifiers(flows):
         training.evaluate_loss_classifiers(flows.withColumn("packet_loss_rate", F.lit(0.0)), ["row_id"], k=2)
 
 
+def test_loss_query_fits_the_documented_sizes(flows, monkeypatch):
+    from catalog import modelling
+
+    seen = {}
+    monkeypatch.setattr(training, "evaluate_loss_classifiers", lambda df, ids, k=5, specs=None: seen.update(k=k, specs=specs or models.loss_specs()))
+    monkeypatch.setattr(modelling, "flows", lambda spark, sf: flows.withColumn("fold", F.lit(0)))
+    modelling.loss_classifiers(None, None)
+    made = {name: make() for name, (make, _) in seen["specs"].items()}
+    forest, boosted = made.pop("forest_balanced"), list(made.values())
+    assert seen["k"] == 5 and (forest.getNumTrees(), forest.getMaxDepth()) == (200, 30)
+    assert [(x.getMaxIter(), x.getMaxDepth()) for x in boosted] == [(200, 4)] * 2
+
+
 def test_units():
     assert evaluation.resolve_unit(["packet_loss_rate"]) == (100.0, "%")
     assert evaluation.resolve_unit(["packet_loss_rate", "jitter"]) == (1000.0, "ms")
