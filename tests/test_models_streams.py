@@ -90,6 +90,18 @@ def test_benchmark_query_fits_the_documented_sizes(flows, monkeypatch):
     assert len(got) == 4 and {r["cv_folds"] for r in got} == {5}
 
 
+def test_benchmark_writes_ids_only_where_they_are_read(flows, monkeypatch):
+    written = []
+    monkeypatch.setattr(training, "materialize", lambda df, name: written.append(set(df.columns)) or df)
+    unread = models.ModelSpec("unread", lambda *given: None, fit_encoded=lambda *given: None)
+    plain = models.external_model("plain", lambda df: df.withColumn("y_pred", F.col("row_id") * 0.0))
+    for specs, k in (([unread], 1), ([unread, plain], 1), ([unread], 2)):
+        results, _ = training.benchmark_models(flows, "log_avg_delay", "delay", ["row_id"], "t", specs, k=k)
+    assert ["row_id" in columns for columns in written] == [False, True, True]
+    inputs = targets.feature_columns(flows.columns, "delay", "log_avg_delay")
+    assert all(columns >= {*inputs, "log_avg_delay", "is_test"} for columns in written)
+
+
 def test_out_of_fold_never_sees_its_row(flows):
     """With one row per fold value the closed forms equal leave-one-out sums."""
     small = flows.filter("row_id < 5").withColumn("fold", F.col("row_id"))
